@@ -474,7 +474,7 @@ def _(t):
     with {sequential_sql('v_invoices')} select document_id, seller_tax_id, cast(first_number as varchar) as first_number, run_length, run_total from runs where run_length > 1""")
 def _(t):
     return invoices.sequential_runs(t.invoices).select(
-        "document_id", "seller_tax_id", F.col("first_number").cast("string").alias("first_number"), "run_length", "run_total"
+        "document_id", "seller_tax_id", "first_number", "run_length", "run_total"
     )
 
 

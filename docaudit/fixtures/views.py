@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.functions.geo import CITIES
 from docaudit.functions.scalars import USCC_ALPHABET, USCC_WEIGHTS
-from docaudit.session import tune
+from docaudit.session import materialize, tune
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -518,6 +518,7 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = tune(spark)
         self.sf_dir = sf_dir
+        self._views: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -532,7 +533,14 @@ class Tables:
         view = VIEWS.get(f"v_{name}")
         if view is None:
             raise AttributeError(name)
-        return self.sql(view(SparkDialect))
+        if name not in self._views:
+            self._views[name] = self.sql(view(SparkDialect))
+        return self._views[name]
+
+    def stored(self, name: str) -> DataFrame:
+        """The view as a stored table, as an audit would find its inputs."""
+        self._views[name] = materialize(getattr(self, name))
+        return self._views[name]
 
 
 def with_views(names: list[str], body: str) -> str:

@@ -64,27 +64,32 @@ def city_table(spark: SparkSession) -> DataFrame:
     return df.withColumn("hotel_limit", F.col("hotel_limit").cast("decimal(14,2)"))
 
 
+# The lookups are short literals that the optimizer folds; a long CASE chain would be copied by
+# every filter it is pushed through and blow up planning and code size.
+_EXACT = ",".join(f"{name}:{i}" for i, c in enumerate(CITIES, 1) for name in (c[0], c[1], c[1] + "市"))
+_BY_LENGTH = ",".join(sorted((c[1] for c in CITIES), key=lambda name: -len(name)))
+
+
 def city_rank(text: Column) -> Column:
     """Rank of the city a text names, or null.
 
     A code, short or full name decides first; else the first city whose short name occurs in the
-    text, longest short name first, then table order. No city name is part of another one, so one
-    ordered list of tests is enough and neither a join nor a shuffle is needed.
+    text, longest short name first, then table order. The expression is row-local: neither a join
+    nor a shuffle is needed.
     """
     cleaned = strip(text)
-    rank = F.lit(None).cast("int")
-    ordered = sorted(enumerate(CITIES, 1), key=lambda item: -len(item[1][1]))
-    for number, (_, short, *_rest) in reversed(ordered):
-        rank = F.when(cleaned.contains(short), F.lit(number)).otherwise(rank)
-    exact = []
-    for number, (code, short, *_rest) in enumerate(CITIES, 1):
-        for name in (code, short, short + "市"):
-            exact += [F.lit(name), F.lit(number)]
-    return F.coalesce(F.try_element_at(F.create_map(*exact), cleaned), rank)
+    known = F.str_to_map(F.lit(_EXACT), F.lit(","), F.lit(":"))
+    # The one-element transform binds the text once instead of once per city name.
+    inside = F.transform(
+        F.array(cleaned),
+        lambda value: F.get(F.filter(F.split(F.lit(_BY_LENGTH), ","), lambda name: value.contains(name)), F.lit(0)),
+    )
+    exact = F.try_element_at(known, cleaned)
+    return F.coalesce(exact, F.try_element_at(known, F.get(inside, F.lit(0)))).cast("int")
 
 
 def _pick(rank: Column, values) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), rank - 1)
+    return F.get(F.split(F.lit(",".join(str(v) for v in values)), ","), rank - 1)
 
 
 def city_short_name(rank: Column) -> Column:
@@ -100,11 +105,11 @@ def city_tier(rank: Column) -> Column:
 
 
 def city_latitude(rank: Column) -> Column:
-    return _pick(rank, [c[3] for c in CITIES])
+    return _pick(rank, [c[3] for c in CITIES]).cast("double")
 
 
 def city_longitude(rank: Column) -> Column:
-    return _pick(rank, [c[4] for c in CITIES])
+    return _pick(rank, [c[4] for c in CITIES]).cast("double")
 
 
 def city_limit(rank: Column) -> Column:

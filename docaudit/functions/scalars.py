@@ -101,6 +101,19 @@ def trailing_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(strip(c), r"([0-9]+)$", 1), F.lit("")).try_cast("decimal(36,0)")
 
 
+LOW_DIGITS_MAX = 10**18 - 1
+
+
+def trailing_parts(c: Column) -> tuple[Column, Column]:
+    """The trailing number as two whole numbers: ``high`` (leading digits) and ``low`` (last 18 digits)."""
+    digits = F.lpad(F.regexp_extract(strip(c), r"([0-9]{1,36})$", 1), 36, "0")
+    found = strip(c).rlike(r"(^|[^0-9])[0-9]{1,36}$")
+    return (
+        F.when(found, F.substring(digits, 1, 18).cast("bigint")).alias("high"),
+        F.when(found, F.substring(digits, 19, 18).cast("bigint")).alias("low"),
+    )
+
+
 def uscc_check_char(first17: Column) -> Column:
     total = F.lit(0)
     for i, weight in enumerate(USCC_WEIGHTS):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -38,15 +41,25 @@ def local_session(app: str = "docaudit", cores: str = "*", **conf: str) -> Spark
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize a result used by several branches.
+def shared_folder(spark: SparkSession) -> str | None:
+    """Folder for intermediate tables: the one the cluster names, or a temporary one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="docaudit-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
-    Reliable checkpoints survive the loss of an executor. Where the session names no shared
-    folder (``spark.checkpoint.dir``) the plan is returned unchanged and simply recomputed.
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a result that several branches use to the shared folder and read it back.
+
+    The table survives lost executors, cuts the lineage and keeps column pruning. On a cluster
+    without a shared folder the plan is returned unchanged and recomputed.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True) if context.getCheckpointDir() else df
+    folder = shared_folder(spark)
+    if folder is None:
+        return df
+    path = f"{folder.rstrip('/')}/docaudit/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
