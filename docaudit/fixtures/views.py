@@ -35,6 +35,10 @@ class SparkDialect:
     def micros(expr: str) -> str:
         return f"unix_micros(cast({expr} as timestamp))"
 
+    @classmethod
+    def numbered(cls, name: str, n: int) -> str:
+        return f"(select *, explode(sequence(0, {n - 1})) as i from {cls.t(name)})"
+
 
 class DuckDialect:
     @staticmethod
@@ -53,6 +57,10 @@ class DuckDialect:
     def micros(expr: str) -> str:
         return f"epoch_us({expr})"
 
+    @classmethod
+    def numbered(cls, name: str, n: int) -> str:
+        return f"(select *, unnest(range({n})) as i from {cls.t(name)})"
+
 
 def _pad(expr: str, n: int) -> str:
     return f"lpad(cast({expr} as string), {n}, '0')"
@@ -354,7 +362,7 @@ def v_tasks(d):
 
 def v_status_events(d):
     return f"""
-    select user_id as document_id, event_id, {d.ts('ts')} as at,
+    select user_id as document_id, event_id, {d.ts('ts')} as occurred_at,
       case event_id % 9 when 0 then 'DRAFT' when 1 then 'SUBMITTED' when 2 then 'IN_REVIEW' when 3 then 'PENDING_APPROVAL'
         when 4 then 'APPROVED' when 5 then 'REJECTED' when 6 then 'SUBMITTED' when 7 then 'NEED_SUPPLEMENT'
         else 'CANCELLED' end as status,
@@ -392,7 +400,7 @@ def v_audit_events(d):
     return f"""
     select concat('E', cast(event_id - case when event_id % 11 = 0 and event_id > 0 then 1 else 0 end as string)) as event_id,
       event_id as seq, {kind} as event, concat('K', cast(user_id as string)) as task_id, user_id as document_id,
-      cast(1 + event_id % 2 as int) as audit_version, {d.ts('ts')} as at,
+      cast(1 + event_id % 2 as int) as audit_version, {d.ts('ts')} as occurred_at,
       case event_id % 9
         when 0 then '{{"stage":"STAGE_1_PARSED","items_count":3}}'
         when 1 then concat('{{"current_stage":"STAGE_2","percent":', {percent}, '}}')
@@ -436,7 +444,7 @@ def v_model_texts(d):
 
 def v_verdict_requests(d):
     return f"""
-    select event_id, {d.ts('ts')} as at, user_id % 40 as request_key from {d.t('events')}"""
+    select event_id, {d.ts('ts')} as occurred_at, user_id % 40 as request_key from {d.t('events')}"""
 
 
 def v_tokens(d):
@@ -481,7 +489,7 @@ def v_tokens(d):
     select o_orderkey as file_id, cast(i as int) as token_idx, cast(case i {arms} end as string) as text,
       cast(case i {ymin} end as int) as ymin, cast(case i {xmin} end as int) as xmin,
       cast(50 + (o_orderkey + i) % 50 as double) / 100 as confidence
-    from {d.t('orders')} cross join (select * from (values {", ".join(f"({i})" for i in range(len(rows)))}) as s(i)) n"""
+    from {d.numbered('orders', len(rows))} n"""
 
 
 def v_tickets(d):
@@ -506,7 +514,7 @@ def v_tickets(d):
     select o_orderkey as file_id, cast(i as int) as token_idx, cast(case i {arms} end as string) as text,
       cast(case i {ymin} end as int) as ymin, cast(case i {xmin} end as int) as xmin,
       cast(0.9 as double) as confidence
-    from {d.t('orders')} cross join (select * from (values {", ".join(f"({i})" for i in range(len(rows)))}) as s(i)) n"""
+    from {d.numbered('orders', len(rows))} n"""
 
 
 VIEWS = {name: fn for name, fn in list(globals().items()) if name.startswith("v_") and callable(fn)}
