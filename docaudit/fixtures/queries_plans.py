@@ -42,13 +42,13 @@ PLAN_FACTS = f"""{R.SEGMENT_FACTS.format(view='v_segments')},
       case when segs >= 1 then 'travel_route_consistency,travel_date_consistency,departure_time_check,in_transit_collision_check,travel_segment_consistency' end,
       case when pts >= 2 then 'spatio_temporal_trajectory_conflict' end) as anomaly_caps from corp)"""
 
-PLAN_ROWS = """select document_id, 'amount' as role, true as enabled, true as mandatory, 'MANDATORY_DETERMINISTIC_RECONCILIATION' as reason, 'five_way_reconciliation' as capabilities from caps
-    union all select document_id, 'policy', true, true, case when document_type = 'TRAVEL_REIMBURSEMENT' then 'TRAVEL_POLICY_RULESET' when corporate then 'CORPORATE_PROCUREMENT_RULESET' else 'GENERAL_EXPENSE_RULESET' end,
+PLAN_ROWS = """select document_id, 'amount_agent' as role, true as enabled, true as mandatory, 'MANDATORY_DETERMINISTIC_RECONCILIATION' as reason, 'five_way_reconciliation' as capabilities from caps
+    union all select document_id, 'policy_agent', true, true, case when document_type = 'TRAVEL_REIMBURSEMENT' then 'TRAVEL_POLICY_RULESET' when corporate then 'CORPORATE_PROCUREMENT_RULESET' else 'GENERAL_EXPENSE_RULESET' end,
       case when document_type = 'TRAVEL_REIMBURSEMENT' then 'travel_hotel_limit,business_purpose_check' else 'business_purpose_check' end from caps
-    union all select document_id, 'anomaly', anomaly_caps <> '', false, case when segs >= 1 and exact_times = 0 and invs <= 1 then 'PARTIAL: TRAVEL_TIME_MISSING' when segs >= 1 then 'TRAVEL_SEGMENT_DETECTED'
+    union all select document_id, 'anomaly_agent', anomaly_caps <> '', false, case when segs >= 1 and exact_times = 0 and invs <= 1 then 'PARTIAL: TRAVEL_TIME_MISSING' when segs >= 1 then 'TRAVEL_SEGMENT_DETECTED'
       when anomaly_caps <> '' then 'INVOICE_OR_SPATIO_FACTS_DETECTED' when document_type = 'TRAVEL_REIMBURSEMENT' and lines > 0 then 'SKIPPED_INSUFFICIENT_FACTS'
       else 'NOT_APPLICABLE: NO_INVOICE_AND_INSUFFICIENT_TRAJECTORY_POINTS' end, anomaly_caps from caps
-    union all select document_id, 'supplier', corporate and sups > 0, corporate, case when not corporate then 'NOT_APPLICABLE: DOCUMENT_TYPE_EXEMPT' when sups > 0 then 'CORPORATE_PAYMENT_SUPPLIER_DILIGENCE'
+    union all select document_id, 'supplier_agent', corporate and sups > 0, corporate, case when not corporate then 'NOT_APPLICABLE: DOCUMENT_TYPE_EXEMPT' when sups > 0 then 'CORPORATE_PAYMENT_SUPPLIER_DILIGENCE'
       else 'DATA_MISSING: SUPPLIER_IDENTITY_MISSING' end, case when corporate and sups > 0 then 'uscc_checksum_validation,dishonest_debtor_check,shell_company_investigation,business_scope_matching' else '' end from caps"""
 
 
@@ -62,8 +62,8 @@ def _(t):
 @query("pl2_plan_summary", FACT_VIEWS, f"""
     with {PLAN_FACTS}, pr as ({PLAN_ROWS}) select document_id,
       cast(sum(case when enabled then len(string_split(capabilities, ',')) else 0 end) as int) as capability_count,
-      coalesce(string_agg(case when enabled then role end, ',' order by case role when 'amount' then 1 when 'policy' then 2 when 'anomaly' then 3 else 4 end), '') as enabled_roles,
-      coalesce(string_agg(case when not enabled then role || '(' || reason || ')' end, ',' order by case role when 'amount' then 1 when 'policy' then 2 when 'anomaly' then 3 else 4 end), '') as skipped_roles
+      coalesce(string_agg(case when enabled then role end, ',' order by case role when 'amount_agent' then 1 when 'policy_agent' then 2 when 'anomaly_agent' then 3 else 4 end), '') as enabled_roles,
+      coalesce(string_agg(case when not enabled then role || '(' || reason || ')' end, ',' order by case role when 'amount_agent' then 1 when 'policy_agent' then 2 when 'anomaly_agent' then 3 else 4 end), '') as skipped_roles
     from pr group by document_id""")
 def _(t):
     return PL.plan_summary(_plan_facts(t))
@@ -131,7 +131,7 @@ def _r02(t):
 
 
 @query("rf1_reflection", ["v_documents", "v_lines", "v_invoices"], f"""
-    with {RF} select document_id, rule_code, risk_level, case when action is null then 'amount' else 'reviewer' end as agent_role,
+    with {RF} select document_id, rule_code, risk_level, case when action is null then 'amount_agent' else 'reviewer_agent' end as agent_role,
       cast(case when action is null then discrepancy_amount else discrepancy_amount - allowance_total end as decimal(18,2)) as discrepancy_amount
     from rx where action is distinct from 'AUTO_RESOLVED_FULL'""")
 def _(t):
@@ -156,7 +156,7 @@ def _(t):
     raw = t.stored_findings.select(
         "document_id", "rule_code", "rule_name",
         F.when(F.col("risk_level") == "medium", F.lit("severe")).otherwise(F.col("risk_level")).alias("risk_level"),
-        F.lit("policy").alias("agent_role"), F.col("finding_id").alias("subject_key"),
+        F.lit("policy_agent").alias("agent_role"), F.col("finding_id").alias("subject_key"),
         F.when(F.length("title") % 2 == 0, F.lit("-7.5")).otherwise(F.lit("2")).cast("decimal(18,2)").alias("discrepancy_amount"),
         "is_overridable", F.create_map().cast("map<string,string>").alias("actual_value"),
         F.create_map().cast("map<string,string>").alias("expected_value"), "title", F.col("title").alias("description"),
@@ -166,15 +166,15 @@ def _(t):
 
 
 @query("hn2_role_outcome", FACT_VIEWS + ["v_purpose_verdicts"], f"""
-    with {PLAN_FACTS}, {R.PURPOSE} select document_id, 'anomaly' as role, case when no_departure + no_route + no_date > 0 then 'DEGRADED' else 'SUCCESS' end as status from caps
-    union all select document_id, 'policy', case when source = 'HEURISTIC_RULE' then 'DEGRADED' else 'SUCCESS' end from pf""")
+    with {PLAN_FACTS}, {R.PURPOSE} select document_id, 'anomaly_agent' as role, case when no_departure + no_route + no_date > 0 then 'DEGRADED' else 'SUCCESS' end as status from caps
+    union all select document_id, 'policy_agent', case when source = 'HEURISTIC_RULE' then 'DEGRADED' else 'SUCCESS' end from pf""")
 def _(t):
     facts = _capability_facts(t)
     purpose = policy.purpose_facts(t.documents, t.lines, t.purpose_verdicts)
     flags = facts.select("document_id").withColumns({
         "is_degraded": F.lit(False), "reason": F.lit(None).cast("string"), "source": F.lit(None).cast("string"),
     })
-    roles = flags.withColumn("role", F.lit("anomaly")).unionByName(
+    roles = flags.withColumn("role", F.lit("anomaly_agent")).unionByName(
         policy.policy_role_status(purpose).select("document_id", "is_degraded", "reason", "source", "role")
     )
     return score.role_outcome(roles, cap.capability_status(facts), policy.purpose_findings(purpose)).select(
@@ -183,8 +183,8 @@ def _(t):
 
 
 @query("hn3_role_timeouts", ["v_role_runs"], """
-    select document_id, 'H99_AGENT_TIMEOUT' as rule_code, role as agent_role, case when role = 'amount' then 'high' else 'low' end as risk_level
-    from v_role_runs where role <> 'supplier' and duration_ms > case role when 'amount' then 3000 when 'policy' then 15000 else 10000 end""")
+    select document_id, 'H99_AGENT_TIMEOUT' as rule_code, role as agent_role, case when role = 'amount_agent' then 'high' else 'low' end as risk_level
+    from v_role_runs where role <> 'supplier_agent' and duration_ms > case role when 'amount_agent' then 3000 when 'policy_agent' then 15000 else 10000 end""")
 def _(t):
     return score.role_timeouts(t.role_runs).select("document_id", "rule_code", "agent_role", "risk_level")
 
@@ -226,7 +226,7 @@ def _(t):
 def _(t):
     findings = t.stored_findings.select(
         F.col("report_id").alias("document_id"), "rule_code", F.col("finding_id").alias("subject_key"), "title",
-        F.lit("policy").alias("agent_role"), F.lit(None).cast("decimal(18,2)").alias("discrepancy_amount"),
+        F.lit("policy_agent").alias("agent_role"), F.lit(None).cast("decimal(18,2)").alias("discrepancy_amount"),
     )
     return score.leading_findings(findings)
 

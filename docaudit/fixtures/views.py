@@ -404,7 +404,7 @@ def v_audit_events(d):
       case event_id % 9
         when 0 then '{{"stage":"STAGE_1_PARSED","items_count":3}}'
         when 1 then concat('{{"current_stage":"STAGE_2","percent":', {percent}, '}}')
-        when 2 then concat('{{"role":"', case event_id % 4 when 0 then 'amount' when 1 then 'policy' when 2 then 'anomaly'
+        when 2 then concat('{{"role":"', case event_id % 4 when 0 then 'amount_agent' when 1 then 'policy_agent' when 2 then 'anomaly_agent'
           else 'nobody' end, '","status":"SUCCESS","elapsed_ms":', cast(cast(floor(value) as int) as string), '}}')
         when 6 then '{{"disambiguated_count":1}}'
         when 7 then concat('{{"report_id":', cast(event_id as string), ',"overall_risk_level":"low","risk_score":',
@@ -416,8 +416,8 @@ def v_audit_events(d):
 
 def v_role_runs(d):
     return f"""
-    select event_id as document_id, case event_id % 4 when 0 then 'amount' when 1 then 'policy' when 2 then 'anomaly'
-        else 'supplier' end as role,
+    select event_id as document_id, case event_id % 4 when 0 then 'amount_agent' when 1 then 'policy_agent' when 2 then 'anomaly_agent'
+        else 'supplier_agent' end as role,
       case event_id % 7 when 0 then 'DEGRADED' when 1 then 'FAILED' else 'SUCCESS' end as status,
       cast(floor(value * 300) as bigint) as duration_ms, cast(event_id % 5 as int) as findings_count
     from {d.t('events')}"""
@@ -555,6 +555,7 @@ def with_views(names: list[str], body: str) -> str:
     """DuckDB text: the named views as CTEs, then the body (a SELECT, or further CTEs)."""
     ctes = ",\n".join(f"{name} as ({VIEWS[name](DuckDialect)})" for name in names)
     body = body.strip()
-    if body[:5].lower() == "with ":
-        return f"with {ctes},\n{body[5:]}" if ctes else body
+    for head in ("with recursive ", "with "):
+        if body.lower().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}" if ctes else body
     return f"with {ctes}\n{body}" if ctes else body

@@ -6,29 +6,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docaudit import params as P
 from docaudit.schemas import FINDINGS, names
 
 # Rule variant -> rule code, rule name, level, role, overridable.
 RULES = {
-    "header_line": ("R01_HEADER_LINE_MISMATCH", "单据总额与明细行累加不符", "high", "amount", False),
-    "invoice_sum": ("R02_INVOICE_SUM_MISMATCH", "发票价税合计与申报总额不符", "high", "amount", False),
-    "tax": ("R05_TAX_AMOUNT_MISMATCH", "发票不含税金额与税额之和异常", "medium", "amount", True),
-    "policy_exceeded": ("R05_POLICY_EXCEEDED", "差旅住宿费用超标", "medium", "policy", True),
-    "manual": ("R07_MANUAL_OVERRIDE_FLAG", "经办人手动修正票面数据提示", "medium", "amount", True),
-    "duplicate_inside": ("R08_INVOICE_DUPLICATE", "发票单内重复报销", "high", "anomaly", False),
-    "duplicate_across": ("R08_INVOICE_DUPLICATE", "发票跨单重复报销 (全局红线)", "high", "anomaly", False),
-    "collision": ("R09_SPATIO_TEMPORAL_COLLISION", "跨单行程时空物理轨迹碰撞", "high", "anomaly", True),
-    "transit_collision": ("R09_SPATIO_TEMPORAL_COLLISION", "交通行程期间异地消费冲突", "high", "anomaly", True),
-    "destination": ("R09_TRAVEL_DESTINATION_MISMATCH", "交通行程目的地与报销申报城市不一致", "high", "anomaly", True),
-    "hotel_date": ("R09_TRAVEL_HOTEL_DATE_CONFLICT", "交通行程时间与住宿日期冲突", "high", "anomaly", True),
-    "overlap": ("R09_TRAVEL_SEGMENT_OVERLAP", "多段交通行程时间重叠冲突", "high", "anomaly", True),
-    "sequential": ("R10_SEQUENTIAL_INVOICES", "同商户连号发票拆单风险", "medium", "anomaly", True),
-    "unregistered": ("R12_SUPPLIER_UNREGISTERED", "统一社会信用代码校验失败", "high", "supplier", False),
-    "dishonest": ("R13_SUPPLIER_DISHONEST", "供应商为最高法失信被执行人 (老赖)", "high", "supplier", False),
-    "policy_missing": ("R14_POLICY_NOT_FOUND", "差旅城市缺失或无对应制度标准", "low", "policy", True),
-    "shell": ("R15_SHELL_COMPANY", "供应商经营状态异常 (已注销/吊销/空壳)", "high", "supplier", False),
-    "purpose": ("R16_BUSINESS_PURPOSE_MISMATCH", "报销事由与明细偏离(公款私用嫌疑)", "high", "policy", True),
-    "scope": ("R17_SUPPLIER_SCOPE_DEVIATION", "供应商经营范围与采购业务严重偏离", "high", "supplier", True),
+    "header_line": ("R01_HEADER_LINE_MISMATCH", "单据总额与明细行累加不符", "high", "amount_agent", False),
+    "invoice_sum": ("R02_INVOICE_SUM_MISMATCH", "发票价税合计与申报总额不符", "high", "amount_agent", False),
+    "tax": ("R05_TAX_AMOUNT_MISMATCH", "发票不含税金额与税额之和异常", "medium", "amount_agent", True),
+    "policy_exceeded": ("R05_POLICY_EXCEEDED", "差旅住宿费用超标", "medium", "policy_agent", True),
+    "manual": ("R07_MANUAL_OVERRIDE_FLAG", "经办人手动修正票面数据提示", "medium", "amount_agent", True),
+    "duplicate_inside": ("R08_INVOICE_DUPLICATE", "发票单内重复报销", "high", "anomaly_agent", False),
+    "duplicate_across": ("R08_INVOICE_DUPLICATE", "发票跨单重复报销 (全局红线)", "high", "anomaly_agent", False),
+    "collision": ("R09_SPATIO_TEMPORAL_COLLISION", "跨单行程时空物理轨迹碰撞", "high", "anomaly_agent", True),
+    "transit_collision": ("R09_SPATIO_TEMPORAL_COLLISION", "交通行程期间异地消费冲突", "high", "anomaly_agent", True),
+    "destination": ("R09_TRAVEL_DESTINATION_MISMATCH", "交通行程目的地与报销申报城市不一致", "high", "anomaly_agent", True),
+    "hotel_date": ("R09_TRAVEL_HOTEL_DATE_CONFLICT", "交通行程时间与住宿日期冲突", "high", "anomaly_agent", True),
+    "overlap": ("R09_TRAVEL_SEGMENT_OVERLAP", "多段交通行程时间重叠冲突", "high", "anomaly_agent", True),
+    "sequential": ("R10_SEQUENTIAL_INVOICES", "同商户连号发票拆单风险", "medium", "anomaly_agent", True),
+    "unregistered": ("R12_SUPPLIER_UNREGISTERED", "统一社会信用代码校验失败", "high", "supplier_agent", False),
+    "dishonest": ("R13_SUPPLIER_DISHONEST", "供应商为最高法失信被执行人 (老赖)", "high", "supplier_agent", False),
+    "policy_missing": ("R14_POLICY_NOT_FOUND", "差旅城市缺失或无对应制度标准", "low", "policy_agent", True),
+    "shell": ("R15_SHELL_COMPANY", "供应商经营状态异常 (已注销/吊销/空壳)", "high", "supplier_agent", False),
+    "purpose": ("R16_BUSINESS_PURPOSE_MISMATCH", "报销事由与明细偏离(公款私用嫌疑)", "high", "policy_agent", True),
+    "scope": ("R17_SUPPLIER_SCOPE_DEVIATION", "供应商经营范围与采购业务严重偏离", "high", "supplier_agent", True),
 }
 
 # Advice per rule code, in our own words.
@@ -117,7 +118,7 @@ def normalize_findings(findings: DataFrame) -> DataFrame:
         & F.col("rule_name").isNotNull()
         & F.col("title").isNotNull()
         & F.col("risk_level").isin("high", "medium", "low")
-        & F.col("agent_role").isin("amount", "policy", "anomaly", "supplier", "reviewer")
+        & F.col("agent_role").isin(*P.FINDING_ROLES)
     )
     return (
         findings.where(valid)

@@ -155,7 +155,7 @@ def amount_role_status(reconciled: DataFrame) -> DataFrame:
     degraded = lines_bad | invoices_bad
     return reconciled.select(
         "document_id",
-        F.lit("amount").alias("role"),
+        F.lit("amount_agent").alias("role"),
         F.when(~known, F.lit("FAILED")).when(degraded, F.lit("DEGRADED")).otherwise(F.lit("SUCCESS")).alias("status"),
         F.when(~known, F.lit(TOTAL_MISSING)).when(degraded, reason).otherwise(F.lit(RUN_OK)).alias("reason"),
         F.when(known, F.lit("DETERMINISTIC_RULE")).alias("source"),

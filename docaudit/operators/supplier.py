@@ -135,7 +135,7 @@ def supplier_role_status(facts: DataFrame) -> DataFrame:
     )
     return counts.select(
         "document_id",
-        F.lit("supplier").alias("role"),
+        F.lit("supplier_agent").alias("role"),
         status.alias("status"),
         F.concat_ws(
             ", ",

@@ -14,8 +14,10 @@ CORPORATE_TYPES = ("CORP_PAYMENT", "ADVANCE_PAYMENT", "BATCH_PAYMENT")
 DOCUMENT_TYPES = (TRAVEL, EXPENSE) + CORPORATE_TYPES
 
 # Roles, in plan order.
-ROLES = ("amount", "policy", "anomaly", "supplier")
-MANDATORY_STATES = ("SKIPPED", "TIMEOUT", "FAILED")
+ROLES = ("amount_agent", "policy_agent", "anomaly_agent", "supplier_agent")
+REVIEWER = "reviewer_agent"
+FINDING_ROLES = ROLES + (REVIEWER,)
+EVENT_ROLES = ("supervisor", "document_agent") + FINDING_ROLES + ("report_agent",)
 
 # Invoice types that mean travel.
 TICKET_WORDS = ("铁路", "火车", "航空", "机票", "客票", "行程单")
@@ -73,7 +75,7 @@ class AuditParams:
     score_low: int = 3
     active_statuses: tuple[str, ...] = ACTIVE_STATUSES
     role_limits_ms: dict[str, int] = field(
-        default_factory=lambda: {"amount": 3000, "policy": 15000, "anomaly": 10000, "supplier": 15000}
+        default_factory=lambda: {"amount_agent": 3000, "policy_agent": 15000, "anomaly_agent": 10000, "supplier_agent": 15000}
     )
     role_limit_default_ms: int = 30000
     task_deadline_s: int = 120
