@@ -402,8 +402,8 @@ def _(t):
       select k.*, h.amt as h_amt, h.document_no, row_number() over (partition by k.document_id, k.id_key order by h.document_id desc) as pick
       from k join hist h on h.id_key = k.id_key and h.document_id <> k.document_id where k.rn = 1) where pick = 1""")
 def _(t):
-    history = invoices.historical_fingerprints(t.invoices, t.documents)
-    found = invoices.duplicates_across(t.invoices, history)
+    shared = invoices.shared_invoices(t.invoices)
+    found = invoices.duplicates_across(shared, invoices.historical_fingerprints(shared, t.documents))
     return found.select(
         "document_id", "subject_key", F.col("actual_value")["conflict_document_no"].alias("conflict"), "discrepancy_amount",
         (F.col("actual_value")["is_amount_modified"] == "true").alias("amount_changed"),

@@ -83,7 +83,7 @@ def _uscc(key: str) -> str:
     fixed = sum(USCC_ALPHABET.index(ch) * w for ch, w in zip(prefix, USCC_WEIGHTS))
     padded = _pad(f"{key} % 10000000", 7)
     digits = " + ".join(
-        f"cast(substr({padded}, {i + 1}, 1) as int) * {USCC_WEIGHTS[10 + i]}" for i in range(7)
+        f"cast(floor(({key}) % 10000000 / {10 ** (6 - i)}) as int) % 10 * {USCC_WEIGHTS[10 + i]}" for i in range(7)
     )
     check = f"((31 - ({fixed} + {digits}) % 31) % 31 + case when {key} % 10 = 0 then 1 else 0 end) % 31"
     return f"concat('{prefix}', {padded}, substr('{USCC_ALPHABET}', cast({check} as int) + 1, 1))"
