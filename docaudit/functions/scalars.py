@@ -18,6 +18,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
+def has_text(c: Column) -> Column:
+    """True when the text holds a character that is not blank (the same as a non-empty strip)."""
+    return F.coalesce(c.rlike(f"[^{BLANKS}]"), F.lit(False))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
@@ -65,6 +70,11 @@ def identity_key(code: Column, number: Column) -> Column:
     return F.concat(F.upper(blank_to_null(code)), F.lit("#"), F.upper(blank_to_null(number)))
 
 
+def identity_of(code: Column, number: Column) -> Column:
+    """CODE#NUMBER of parts known to hold text (see has_text); each part is evaluated once."""
+    return F.upper(F.concat(strip(code), F.lit("#"), strip(number)))
+
+
 def money_text(amount: Column, default: str = "0.00") -> Column:
     return F.coalesce(amount.cast("decimal(18,2)").cast("string"), F.lit(default))
 
