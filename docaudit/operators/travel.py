@@ -14,6 +14,11 @@ from docaudit.params import DEFAULTS, AuditParams
 # Fixed patterns: a route "A-B" or "A至B", and a train number.
 ROUTE = r"([^\s\-—至]+)[—\-至到]([^\s\-—次]+)"
 TRAIN_NUMBER = r"([A-Z]\d{1,4})次?"
+# Payload fields of a ticket.
+PAYLOAD_FIELDS = (
+    "departure_city", "arrival_city", "departure_time", "arrival_time", "train_no", "flight_no", "item_desc",
+    "travel_date", "departure_date", "journey_date",
+)
 
 
 def parse_time(text: Column) -> Column:
@@ -51,10 +56,15 @@ def extract_segments(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     """Travel segments from invoice payloads; nothing is guessed, missing stays null."""
 
     def payload(key: str) -> Column:
-        return F.nullif(F.get_json_object("raw_payload", f"$.{key}"), F.lit(""))
+        return F.nullif(F.col(f"_payload.{key}"), F.lit(""))
 
     kind = F.coalesce("invoice_type", F.lit(""))
-    facts = invoices.select(
+    # Without a payload only a transport type can give a segment; the payload is parsed once.
+    parsed = invoices.where(F.col("raw_payload").isNotNull() | contains_any(kind, P.TRANSPORT_WORDS)).select(
+        "document_id", "invoice_key", "invoice_number", "invoice_type",
+        F.from_json("raw_payload", ", ".join(f"{name} string" for name in PAYLOAD_FIELDS)).alias("_payload"),
+    )
+    facts = parsed.select(
         "document_id", "invoice_key", "invoice_number", "invoice_type",
         geo.city_or_text(payload("departure_city")).alias("_dep"),
         geo.city_or_text(payload("arrival_city")).alias("_arr"),
