@@ -29,7 +29,13 @@ def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, str
     A repeated batch overwrites its own folder, so a restart does not duplicate rows.
     """
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/docaudit-stream/{uuid.uuid4().hex}"
+    root = shared_folder(spark)
+    if root is None:
+        raise ValueError("a stream job needs a shared folder: set spark.checkpoint.dir")
+    folder = f"{root.rstrip('/')}/docaudit-stream/{uuid.uuid4().hex}"
+    # A source without rows runs no batch; the empty part keeps the result readable.
+    columns = _landed(stream, handle)
+    spark.createDataFrame([], columns).drop("batch").write.parquet(f"{folder}/out/batch=-1")
 
     def land(batch: DataFrame, batch_id: int) -> None:
         target = f"{folder}/out/batch={batch_id}"
@@ -43,7 +49,7 @@ def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, str
         .trigger(availableNow=True).foreachBatch(land).start()
     )
     query.awaitTermination()
-    return spark.read.schema(_landed(stream, handle)).parquet(f"{folder}/out")
+    return spark.read.schema(columns).parquet(f"{folder}/out")
 
 
 def _landed(stream: DataFrame, handle) -> str:
