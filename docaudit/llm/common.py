@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docaudit.session import materialize, tune
@@ -55,7 +56,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         first = total = 0
         for i, size in enumerate(sizes):
             if total and total + (size or 0) > limit:
