@@ -44,9 +44,9 @@ def keyed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 def dropped_positions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(id, version, position) of lines whose key a document with a smaller id also holds."""
     lines = store(keyed_lines(docs, least_chars))
-    sample = lines.sample(SAMPLE, 11).groupBy("high", "low").agg(F.count("*").alias("n"))
-    total = sample.agg(F.sum("n").alias("total"))
-    heavy = store(sample.join(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(20), F.col("total") * HEAVY)).select("high", "low", F.lit(True).alias("heavy")))
+    sample = lines.sample(SAMPLE, 11)
+    share = max(20.0, sample.count() * HEAVY)
+    heavy = store(sample.groupBy("high", "low").agg(F.count("*").alias("n")).where(F.col("n") > share).select("high", "low", F.lit(True).alias("heavy")))
     block = F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS))).otherwise(F.lit(-1)).cast("int")
     dealt = (
         lines.join(F.broadcast(heavy), ["high", "low"], "left").withColumn("block", block).drop("heavy")

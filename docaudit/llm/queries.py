@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docaudit.llm import chunks, lines, minhash, mixing
+from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pii, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are; OWN_TOKENIZERS names another folder."""
+    folder = os.environ.get("OWN_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.fit(docs))
+
+
+@query("op4_language")
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query(
     "op5_line_dedup",
     rf"""
@@ -46,6 +71,30 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op6_records")
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encoded_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+@query(
+    "op7_embeddings",
+    """
+    with recursive parts as (
+      select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda v: v::double * v::double))) as norm from embeddings
+      where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda v: v is not null and isfinite(v)))),
+    good as (select vec_id, label, list_transform(embedding, lambda v: v::double / norm) as u from parts where norm > 0),
+    links as (
+      select a.vec_id as x, b.vec_id as y from good a join good b on a.label = b.label and a.vec_id <> b.vec_id
+      where list_inner_product(a.u, b.u) >= 0.98),
+    reach(v, c) as (select vec_id, vec_id from embeddings union select l.y, r.c from reach r join links l on l.x = r.v)
+    select e.vec_id, (select count(*) from links where x = e.vec_id) as n_links, min(r.c) as component_id, e.vec_id = min(r.c) as kept
+    from embeddings e join reach r on r.v = e.vec_id group by e.vec_id
+    """,
+)
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 @query(
     "op8_exact_dedup",
     f"""
