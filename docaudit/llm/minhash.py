@@ -9,8 +9,8 @@
    over bands. Pairs that the sketches rule out by more than five standard errors are left, the rest are confirmed on
    the full sets.
 4. A bucket whose sets are still in several components may hold links the stars did not try. Such buckets are
-   compared in pieces of bounded size across components, by sketch first and then on full sets, so no link between
-   different texts is lost that a bucket holds.
+   compared in pieces of bounded size on full sets, and one link per joined pair of components leaves a piece, so no
+   link between different texts that a bucket holds is lost and no pairs are listed.
 5. Links are contracted to connected components.
 """
 
@@ -30,8 +30,8 @@ from docaudit.llm.components import components
 #: Bands times rows are the bins. A pair of similarity 0.85 shares no band with probability 7e-9, one of 0.8 with 3e-6.
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Sets of one bucket compared by one task at a time.
-PIECE = 256
+#: Sets, and bytes of sets, of one part of a bucket; two parts are compared at a time.
+PIECE, PIECE_BYTES = 256, 16 << 20
 #: Standard errors below the threshold at which a sketch rules a pair out.
 SLACK = 5.0
 _ATTEMPTS = 512
@@ -157,37 +157,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(reaches("members_a", "members_b")).select("a", "b")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs between components inside buckets; members: bucket, size, id, component, n_shingles, sketch.
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections; only members that two sets hold take part, in strips of bounded width."""
+    sizes = [len(s) for s in sets]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held > 1
+    place = np.cumsum(shared) - 1
+    mine = shared[column]
+    owner, column = owner[mine], place[column[mine]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 4096
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(shared.sum()), width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        strip = np.zeros((len(sets), width), np.float32)
+        strip[owner[part], column[part] - low] = 1
+        out += strip @ strip.T
+    return out
+
 
-    A bucket is cut into parts of about PIECE sets by a hash of the id; every two parts meet in one group, so a
-    group is bounded whatever the bucket's size. The first and the last id of a pair alone leave the task.
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Links between components inside buckets; members: band, key, n, weight, id, component, members (their full set).
+
+    A bucket is cut into parts of about PIECE sets or PIECE_BYTES by a hash of the id; every two parts meet in one group,
+    so a group is bounded whatever the bucket's size. All pairs of a group are tested on their full sets inside the task;
+    what leaves it is one link per set that joins another component there.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / PIECE)).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / PIECE), F.ceil(F.col("weight") * 8 / PIECE_BYTES)).cast("int")
     cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = cut.withColumn("other", other).select(
-        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "n_shingles", "sketch"
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component", "members"
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        own_part = frame["part"].to_numpy()
-        first = int(own_part.min())
-        ids, comp, n = (frame[c].to_numpy() for c in ("id", "component", "n_shingles"))
-        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, BINS)
-        single = bool((own_part == first).all())
-        left = np.arange(len(ids)) if single else np.flatnonzero(own_part == first)
-        right = np.arange(len(ids)) if single else np.flatnonzero(own_part != first)
+        ids, component = frame["id"].to_numpy(), frame["component"].to_numpy()
+        if (component == component[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sets = [np.frombuffer(m, U) for m in frame["members"]]
+        sizes = np.array([len(s) for s in sets], float)
+        both = _intersections(sets)
+        linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (component[:, None] != component[None, :])
+        # Merge components greedily: a link is reported if its two components are not yet joined in this group.
+        _, home = np.unique(component, return_inverse=True)
         found = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (not single))]
-            y = y[np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9]
-            if len(y):
-                y = y[(sketch[y] == sketch[x]).mean(1) >= _floor(threshold, n[y], n[x])]
-                found += [(min(ids[x], i), max(ids[x], i)) for i in ids[y]]
+        for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
+            if home[x] != home[y]:
+                found.append((ids[x], ids[y]))
+                home[home == home[y]] = home[x]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return met.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    keys = ["band", "key", "i", "j"]
+    dealt = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt.groupBy(*keys).applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -217,22 +240,24 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     some = texts(docs).join(candidates, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = store(full_sets(some, words_per_shingle))
 
-    tried = store(_near_sketches(stars, reps, threshold))
-    links = store(_confirmed(tried, sets, percent))
+    links = store(_confirmed(_near_sketches(stars, reps, threshold), sets, percent))
     labels = components(links)
 
-    labelled = store(placed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    labelled = store(
+        placed.select("id", "band", "key").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        .join(classes.select("id", "n_shingles"), "id")
+        .select("id", "band", "key", "n_shingles", F.coalesce("component", "id").alias("component"))
+    )
     mixed = (
         labelled.groupBy("band", "key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight"),
              F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y"))
         .where("low <> high")
-        .groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("bucket"))  # buckets of the same sets are compared once
-        .select("bucket.*")
+        .groupBy("n", "weight", "x", "y").agg(F.min(F.struct("band", "key")).alias("bucket"))  # buckets of the same sets are compared once
+        .select("bucket.*", "n", "weight")
     )
-    members = labelled.join(store(mixed), ["band", "key"]).join(reps, "id")
-    untried = _across(members, threshold).join(stars, ["a", "b"], "left_anti")
-    more = store(_confirmed(untried, sets, percent))
+    members = labelled.drop("n_shingles").join(store(mixed), ["band", "key"]).join(sets, "id")
+    more = store(_across(members, percent).distinct())
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
