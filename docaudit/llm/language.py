@@ -25,7 +25,7 @@ from docaudit.llm.common import pieces, store, texts
 BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 1000
 #: A vector of few trigrams cannot come near a centroid: reach(g) = sqrt(g / (g + HALF)) of the cosine is expected.
 HALF = 200.0
-#: Rejected below this share of the smallest expected-cosine ratio seen in training.
+#: Rejected below this share of the smallest ratio of cosine to reach that the language's own sample shows.
 MARGIN = 0.5
 UNKNOWN = "und"
 
@@ -135,10 +135,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         x = np.frombuffer(b"".join(frame["vector"]), np.float32).reshape(len(frame), BUCKETS)
         centre, own = cluster(x, centroids)
         ratio = (x * centre[own]).sum(1) / reach(frame["grams"].to_numpy())
-        rows = [(frame["lang"].iloc[0], centre[j].tobytes(), MARGIN * float(ratio[own == j].min())) for j in range(len(centre)) if (own == j).any()]
+        floor = MARGIN * float(ratio.min())
+        rows = [(frame["lang"].iloc[0], centre[j].tobytes(), floor) for j in range(len(centre)) if (own == j).any()]
         return pd.DataFrame(rows, columns=["lang", "centroid", "floor"])
 
-    model = sampled.groupBy("lang").applyInPandas(per_language, "lang string, centroid binary, floor double").orderBy("lang", "floor").collect()
+    model = sampled.groupBy("lang").applyInPandas(per_language, "lang string, centroid binary, floor double").orderBy("lang", "centroid").collect()
     flat = np.frombuffer(b"".join(r["centroid"] for r in model), np.float32).reshape(-1, BUCKETS)
     return Model(idf, [r["lang"] for r in model], flat, np.array([r["floor"] for r in model]))
 
