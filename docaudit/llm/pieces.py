@@ -40,7 +40,7 @@ class Trie:
         order = sorted(range(len(keys)), key=keys.__getitem__)
         size = 1 << 16
         self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        self.check[0] = 0
+        self.check[0] = np.iinfo(np.int32).max  # taken, and no state is its parent
         todo, free = [(0, 0, len(order), 0)], 1
         while todo:
             state, low, high, depth = todo.pop()
@@ -144,6 +144,8 @@ class PieceModel:
             while len(live):
                 inside = s + k < sizes[row[live]]
                 live, state = live[inside], state[inside]
+                if not len(live):
+                    break
                 child = trie.base[state] + data[row[live], s + k]
                 ok = trie.check[child] == state
                 live, state, k = live[ok], child[ok], k + 1
