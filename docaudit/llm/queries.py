@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pii, records
+from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, quality, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.fit(docs))
 
 
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_pieces")
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_pieces", "ids", "text_sha256", "round_trip")
+
+
 @query("op4_language")
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
