@@ -12,33 +12,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docaudit.llm import chunks, language, minhash, mixing, pieces
-from docaudit.llm.common import id_column, ready, store
+from docaudit.llm.common import fresh, id_column, ready, store
 from docaudit.llm.queries import tokenizer_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _chosen(docs: DataFrame, decided: DataFrame, *more: str) -> DataFrame:
-    """Rows of docs whose doc_id a table of decisions names (one row per doc_id there), with further columns of it."""
-    named = decided.select(id_column().alias("_id"), *more)
-    return docs.join(named, id_column() == F.col("_id"), "inner").drop("_id")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose text has no letter or lies too far from every centroid. Learns from the stage's own input,
     without the documents held out by their id."""
     model = language.fit(docs.where(~language.held_out()))
-    return language.identify(docs, model).where("not rejected").select(*docs.columns)
+    found = fresh(docs, "language")
+    return language.with_language(docs, model, found).where(~F.col(f"{found}.rejected")).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     kept = chunks.exact_duplicates(docs).where("kept").select("doc_id", "text_sha256").distinct()
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    named = kept.select(id_column().alias("_id"), F.col("text_sha256").alias("_sha"))
-    found = docs.join(named, (id_column() == F.col("_id")) & (sha == F.col("_sha")), "inner")
+    id_, sha_ = fresh(docs, "kept_id"), fresh(docs, "kept_sha256")
+    named = kept.select(id_column().alias(id_), F.col("text_sha256").alias(sha_))
+    found = docs.join(named, (id_column() == F.col(id_)) & (sha == F.col(sha_)), "inner")
     # A row repeated whole, id included, is one document; the join has already put such rows together.
-    return found.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    return found.dropDuplicates([id_, sha_]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +46,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    times = store(mixing.mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("_times")))
-    taken = _chosen(docs, times, "_times")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    id_, times_, copy = fresh(docs, "mixed_id"), fresh(docs, "times"), fresh(docs, "copy")
+    taken = mixing.mix(docs).where("times > 0").groupBy("doc_id").agg(F.max("times").cast("int").alias(times_))
+    named = store(taken.select(id_column().alias(id_), times_))
+    found = docs.join(named, id_column() == F.col(id_), "inner")
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times_)))).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,8 +16,6 @@ ARROW_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
-__all__ = ["ready", "store", "texts", "id_column", "binary_rows", "NULL_ID"]
-
 #: Stands for a missing doc_id where an order is needed: after every real id.
 NULL_ID = 2**63 - 1
 
@@ -46,9 +44,12 @@ def id_column(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name), F.lit(NULL_ID))
 
 
-def binary_rows(data: bytes, width: int) -> pa.Array:
-    """A binary column whose rows are consecutive pieces of equal width."""
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(data) // width, [None, pa.py_buffer(data)]).cast(pa.binary())
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name the table does not have yet."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

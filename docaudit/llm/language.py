@@ -149,8 +149,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``docs``: its columns and lang_pred, score, rejected (names already there are replaced).
+def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """``docs`` with one more column ``name``: a struct of lang_pred, score and rejected.
 
     Null texts and texts without a letter get ``und``, score 0 and are rejected. Long texts are read whole. An empty
     table gives an empty result; a model without languages answers ``und`` throughout.
@@ -172,6 +172,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         frame = pd.DataFrame({"lang_pred": langs, "score": np.concatenate([f[1] for f in found]), "rejected": np.concatenate([f[2] for f in found])})
         return frame.iloc[: len(values)]
 
-    answered = docs.withColumn("_language", predict(F.col("text").cast("string")))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return answered.select(*keep, "_language.lang_pred", "_language.score", "_language.rejected")
+    return docs.withColumn(name, predict(F.col("text").cast("string")))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score and rejected of every row; other columns are ignored. See with_language."""
+    found = with_language(docs.select("doc_id", "text"), model, "found")
+    return found.select("doc_id", "found.lang_pred", "found.score", "found.rejected")

@@ -61,7 +61,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~language.held_out()))
-    found = language.identify(docs.select("doc_id", "text"), model)
+    found = language.identify(docs, model)
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
