@@ -18,8 +18,8 @@ from docaudit.llm.common import id_column, store, texts
 
 #: Lines shorter than this many code points stay.
 LEAST_CHARS = 10
-#: Share of sampled lines from which a key is dealt out in blocks, and the blocks.
-HEAVY, BLOCKS, SAMPLE = 0.002, 64, 0.02
+#: Share of sampled lines (and at least so many) from which a key is dealt out in blocks, and the blocks.
+HEAVY, HEAVY_LINES, BLOCKS, SAMPLE = 0.002, 20, 64, 0.02
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = " \t\n\x0b\x0c\r"
@@ -45,7 +45,7 @@ def dropped_positions(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFr
     """(id, version, position) of lines whose key a document with a smaller id also holds."""
     lines = store(keyed_lines(docs, least_chars))
     sample = lines.sample(SAMPLE, 11)
-    share = max(20.0, sample.count() * HEAVY)
+    share = max(float(HEAVY_LINES), sample.count() * HEAVY)
     heavy = store(sample.groupBy("high", "low").agg(F.count("*").alias("n")).where(F.col("n") > share).select("high", "low", F.lit(True).alias("heavy")))
     block = F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(BLOCKS))).otherwise(F.lit(-1)).cast("int")
     dealt = (
