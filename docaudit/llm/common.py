@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docaudit.session import materialize, tune
 
@@ -44,6 +44,19 @@ def id_column(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name), F.lit(NULL_ID))
 
 
+def bounded_sample(df: DataFrame, group: str, n: int) -> DataFrame:
+    """At most ``n`` doc_ids of every value of ``group``, chosen by a hash of doc_id: (doc_id, group, n), stored.
+
+    Counts set how much of the hash range a group needs, so the ordering sees little more than ``n`` rows of a group
+    however large it is. The result has at most ``n`` rows a group.
+    """
+    counts = df.groupBy(group).agg(F.count("*").alias("rows"))
+    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
+    few = df.select("doc_id", group).join(counts, group).where(draw <= F.lit(1.5 * n * (1 << 30)) / F.col("rows"))
+    order = Window.partitionBy(group).orderBy(draw, "doc_id")
+    return store(few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).select("doc_id", group, "n"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name the table does not have yet."""
     held = {c.lower() for c in df.columns}

@@ -16,17 +16,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docaudit.llm import text as T
-from docaudit.llm.common import pieces, store, texts
+from docaudit.llm.common import bounded_sample, pieces, store, texts
 
 #: Hash buckets of trigrams, centroids per language, sampled documents per language.
 BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 1000
 #: A vector of few trigrams cannot come near a centroid: reach(g) = sqrt(g / (g + HALF)) of the cosine is expected.
 HALF = 200.0
 #: Rejected below this share of the smallest ratio of cosine to reach that the language's own sample shows.
-MARGIN = 0.5
+MARGIN = 0.35
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -113,8 +113,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     training = texts(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null")
     frequency, rows = _document_frequencies(training)
     idf = np.log((1 + rows) / (1 + frequency)).astype(np.float32) + np.float32(0.1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = training.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang", "n")
+    chosen = bounded_sample(training, "lang", sample)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

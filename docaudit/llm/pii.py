@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from docaudit.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_UNITS = 18
-SAMPLE, ROUNDS, MARGIN = 40, 30, 2.0
+MOST_UNITS = 24
+SAMPLE, ROUNDS, MARGIN = 40, 50, 2.0
 #: Units of context on both sides of a trigger.
 CONTEXT = 8
 
@@ -107,7 +107,8 @@ def segment_features(s: str, before: str, after: str) -> list[str]:
     if len(ats) == 1:
         host = s[ats[0].end() :].strip()
         names.append(f"host={bool(_DOT.search(host)) and host[-1:].isalnum()}")
-        names.append(f"user={s[: ats[0].start()].strip() != ''}")
+        user, plain_host = s[: ats[0].start()].strip(), _DOT.sub(".", host).replace(" . ", ".")
+        names.append(f"user={user != ''}+{any(c.isspace() for c in user)}+{any(c.isspace() for c in plain_host)}+{ats[0][0] == '@'}")
     if 13 <= digits <= 19 and not letters:
         names.append(f"luhn={luhn(_only_digits(s))}")
     if s.count(".") == 3 and len(groups) == 4 and not letters:
@@ -282,8 +283,8 @@ def variants(text: str, kind: str, start: int, end: int) -> Iterator[tuple[str,
         yield text[:start] + form + text[end:], start, start + len(form)
 
 
-def _example(text: str, spans: list[Span], low: int, high: int) -> tuple[Stretch, list[tuple[str, int, int]]]:
-    s = stretch(text, low, high)
+def _example(text: str, spans: list[Span]) -> tuple[Stretch, list[tuple[str, int, int]]]:
+    s = stretch(text, 0, len(text))
     at = {o: i for i, o in enumerate(s.offsets)}
     gold = [(k, at[a], at[b] - 1) for k, a, b in spans if a in at and b in at and b > a]
     # Gold segments of two kinds that overlap cannot be one segmentation: the first kind counts.
@@ -321,15 +322,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiMarkov:
     """Train on a bounded sample of snippets; without any the field adds nothing."""
     data = []
     for text, spans in _snippets(docs, sample):
-        data.append(_example(text, spans, 0, len(text)))
+        data.append((text, spans))
         for kind, start, end in spans[:1]:
             for other, a, b in variants(text, kind, start, end):
                 shift = b - end
                 moved = [(k, x + shift * (x >= end), y + shift * (x >= end)) for k, x, y in spans if y <= start or x >= end]
-                data.append(_example(other, sorted([(kind, a, b), *moved], key=lambda s: s[1]), 0, len(other)))
+                data.append((other, sorted([(kind, a, b), *moved], key=lambda s: s[1])))
     model = SemiMarkov()
-    if data:
-        model.fit(data)
+    # A text with a span that is no candidate segment would teach the wrong thing.
+    examples = [e for text, spans in data if len((e := _example(text, spans))[1]) == len(spans)]
+    if examples:
+        model.fit(examples)
     return model
 
 

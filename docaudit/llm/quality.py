@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docaudit.llm import text as T
-from docaudit.llm.common import pieces, store, texts
+from docaudit.llm.common import bounded_sample, pieces, store, texts
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8)
@@ -159,8 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     Labels without a grade or a document are ignored. Without any, every document gets the same probabilities.
     """
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade().alias("grade")).where("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = graded.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n")
+    chosen = bounded_sample(graded, "grade", sample).drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):

@@ -25,18 +25,15 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from docaudit.llm import text as T
 from docaudit.llm.common import pieces, store, texts
 from docaudit.session import shared_folder
 
+U = np.uint64
 _LENGTH, _CRC, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qQIB")
 _NULL_ID = -(2**63)
-#: Words remembered by a worker; forgetting them costs time only.
-MEMO = 300_000
-#: Longer words are encoded each time.
-LONGEST = 64
-#: ASCII signs that are never part of the same unit as a letter or digit before them.
-_TAIL = ".,!?;:#$%&*|"
-
+#: Units a worker remembers before it starts anew; forgetting them costs time only.
+MEMO = 1 << 20
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -64,67 +61,145 @@ def unframe(data: memoryview | bytes, at: int = 0) -> tuple[int | None, int, np.
     return (None if doc_id == _NULL_ID else doc_id), before, ids, at + 16 + size
 
 
-class WordEncoder:
-    """Encodes texts with a tokenizer file that never joins across white space, remembering words.
-
-    White space ends every unit of such a tokenizer and is dropped, so a text's ids are its words' ids in order. A word
-    that ends in signs after a letter or digit is two units at least, so its stem is encoded (lower-cased where the
-    file's normaliser does that to ASCII) and the signs apart; equal stems are encoded once.
+class Memo:
+    """Ids by a unit's 64-bit hash: open addressing over arrays, so a block is looked up at once."""
+
+    def __init__(self, bits: int = 21):
+        self._mask = U((1 << bits) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self._keys, self._rows = np.zeros(int(self._mask) + 1, U), np.zeros(int(self._mask) + 1, np.int32)
+        self.begin, self.size, self.ids, self.n, self._used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of every hash, -1 if unknown."""
+        out, slot, open_ = np.full(len(hashes), -1, np.int64), hashes & self._mask, np.arange(len(hashes))
+        while len(open_):
+            held = self._keys[slot]
+            hit = held == hashes[open_]
+            out[open_[hit]] = self._rows[slot[hit]]
+            on = ~hit & (held != 0)
+            open_, slot = open_[on], (slot[on] + U(1)) & self._mask
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct unknown hashes with their ids, one after the other."""
+        rows, slot, open_ = self.n + np.arange(len(hashes)), hashes & self._mask, np.arange(len(hashes))
+        while len(open_):
+            free = np.flatnonzero(self._keys[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self._keys[at], self._rows[at] = hashes[open_[taken]], rows[open_[taken]]
+            on = np.ones(len(open_), bool)
+            on[taken] = False
+            open_, slot = open_[on], (slot[on] + U(1)) & self._mask
+        while self._used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self._used : self._used + len(ids)] = ids
+        self.begin = np.concatenate([self.begin, self._used + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self._used += len(ids)
+        self.n += len(hashes)
+
+
+class UnitEncoder:
+    """Encodes texts with a tokenizer file whose units end at white space, remembering the ids of units.
+
+    The file drops white space and splits the rest into runs of letters, single digits and runs of signs, lower-cased,
+    each ending in an id that marks the end of a unit. So a text's ids are those of its units in order. A word of plain
+    ASCII is cut into units here; a word with other characters, an apostrophe (contractions) or a < (special tokens) goes
+    to the library whole. Units are told apart by 64-bit hashes of their bytes.
     """
 
+    _PLAIN = np.full(256, 4, np.uint8)  # 0 space, 1 letter, 2 digit, 3 sign, 4 left to the library
+    _PLAIN[33:127] = 3
+    _PLAIN[48:58] = 2
+    _PLAIN[65:91] = _PLAIN[97:123] = 1
+    _PLAIN[[39, 60]] = 4
+    _PLAIN[T.SPACE] = 0
+
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._end = np.array([end_id], "<u4").tobytes()
-        self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _encode(self, values: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(values, add_special_tokens=False)]
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, ...]:
-        stem = word.rstrip(_TAIL)
-        if stem and stem != word and stem[-1].isalnum():
-            return stem, word[len(stem) :]
-        return (word,)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self._words]
-        if len(self._words) + len(new) > MEMO:
-            self._words.clear()
-            new = list(words)
-        if len(self._parts) > MEMO:
-            self._parts.clear()
-        cut = [self._split(w) for w in new]
-        fold = lambda p: p.lower() if p.isascii() else p
-        missing = list({f for parts in cut for p in parts if (f := fold(p)) not in self._parts})
-        self._parts.update(zip(missing, self._encode(missing), strict=True))
-        for word, parts in zip(new, cut, strict=True):
-            self._words[word] = b"".join([self._parts[fold(p)] for p in parts])
-
-    def encode(self, values: list[str]) -> Iterator[np.ndarray]:
-        """Ids of every text, the end id last."""
-        split = [v.split() for v in values]
-        known = set().union(*split)
-        longer = {w for w in known if len(w) > LONGEST}
-        self.learn(known - longer)
-        once = dict(zip(longer, self._encode(list(longer)), strict=True)) if longer else {}
-        for words in split:
-            found = [self._words[w] if w not in once else once[w] for w in words] if once else list(map(self._words.__getitem__, words))
-            found.append(self._end)
-            yield np.frombuffer(b"".join(found), "<u4")
-
-
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
-def encoder(path: str, end_id: int) -> WordEncoder:
+        self._end_id = end_id
+        self._last = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        for piece, id_ in self._tokenizer.get_vocab().items():
+            self._last[id_] = piece.endswith("</w>")
+        self._memo = Memo()
+
+    def _encode(self, values: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+
+    def _together(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of many plain units: encoded in long lines, cut after the marked ids."""
+        found = [np.array(i, np.uint32) for i in self._encode([" ".join(values[i : i + 1000]) for i in range(0, len(values), 1000)])]
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(self._last[ids]) + 1
+        if len(ends) != len(values) or ends[-1] != len(ids):  # a file of another kind: one by one
+            each = self._encode(values)
+            return np.concatenate([np.array(i, np.uint32) for i in each]), np.array([len(i) for i in each])
+        return ids, np.diff(ends, prepend=0)
+
+    def _units(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and plainness of units, and the bytes to hash."""
+        starts, ends, _ = T.words(raw, offsets)
+        kind = self._PLAIN[raw]
+        other = np.concatenate([[0], np.cumsum(kind == 4)])
+        whole = other[ends] > other[starts]
+        inside = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(inside, starts[whole], 1)
+        np.add.at(inside, ends[whole], -1)
+        kept = np.cumsum(inside[:-1]) > 0
+        data = np.where(kept, raw, T.LOWER[raw])
+        border = np.zeros(len(raw) + 1, bool)
+        border[1:-1] = ~kept[1:] & (kind[1:] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        border[starts] = True
+        first = np.flatnonzero(border)
+        stop = np.append(first[1:], len(raw))
+        word = np.searchsorted(starts, first, side="right") - 1
+        return first, np.minimum(stop, ends[word]), ~whole[word], data
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of every text (null: empty), the end id last."""
+        raw, offsets = T.block(column)
+        if self._memo.n > MEMO:
+            self._memo.clear()
+        starts, ends, plain, data = self._units(raw, offsets)
+        hashes = np.maximum(T.span_hashes(data, starts, ends), U(1))
+        rows = self._memo.find(hashes)
+        new, at = np.unique(hashes[rows < 0], return_index=True)
+        if len(new):
+            at = np.flatnonzero(rows < 0)[at]
+            body = data.tobytes()
+            for group in (at[plain[at]], at[~plain[at]]):
+                values = [body[a:b].decode() for a, b in zip(starts[group].tolist(), ends[group].tolist(), strict=True)]
+                if not values:
+                    continue
+                if plain[group[0]]:
+                    ids, sizes = self._together(values)
+                else:
+                    each = self._encode(values)
+                    ids, sizes = np.concatenate([np.array(i, np.uint32) for i in each]), np.array([len(i) for i in each])
+                self._memo.add(hashes[group], ids, sizes)
+            rows = self._memo.find(hashes)
+        sizes = self._memo.size[rows]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self._memo.ids[np.repeat(self._memo.begin[rows] - total[:-1], sizes) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(starts, offsets)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield np.append(flat[a:b], np.uint32(self._end_id))
+
+
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
+
+
+def encoder(path: str, end_id: int) -> UnitEncoder:
     """One encoder per worker process."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
+        _ENCODERS[path, end_id] = UnitEncoder(path, end_id)
     return _ENCODERS[path, end_id]
 
 
@@ -155,7 +230,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 stream = files.open_output_stream(temporary)
             ids = batch.column("doc_id").to_pylist()
             sizes, counts = [], []
-            for doc_id, tokens in zip(ids, encoder(tokenizer_path, end_id).encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, tokens in zip(ids, encoder(tokenizer_path, end_id).encode(batch.column("text")), strict=True):
                 data = frame(doc_id, before, tokens)
                 stream.write(data)
                 sizes.append(len(data))
