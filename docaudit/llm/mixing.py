@@ -16,6 +16,8 @@ from docaudit.llm.common import ready, store
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2.0
 SLICES = 4096
+#: Documents of the rest that may be added to a source to close the gap to its target.
+FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,12 +61,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     size counts the words ``[^\\x20\\x09-\\x0D]+`` (null text: 0); taken = times * size. A document is taken whole once
     for every full epoch of its source, and once more if its draw falls in the fraction that is left. The sum over a
-    source then misses its target by less than one document; the document of the rest whose size comes nearest to
-    the gap is added if that brings the sum closer. Draws depend on doc_id, size and seed only, so reruns agree; rows
+    source then misses its target by less than one document; the largest documents of the rest that fit into the gap are
+    added, the last one also if it goes beyond the target by less than it was missed. Draws depend on doc_id, size and seed only, so reruns agree; rows
     that repeat both share a draw. A null source is a source of its own; a null doc_id is drawn like a value. Documents
     of size 0 count as whole epochs only. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = store(sized(docs, seed))
+    rows = store(sized(docs, seed).withColumn("row", F.monotonically_increasing_id()))
     by_slice = store(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")))
     goals = store(
         targets(by_slice.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
@@ -93,17 +95,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     drawn = store(outside.unionByName(inside))
 
     filled = drawn.where("drawn").groupBy("source").agg(F.sum("size").alias("filled"))
-    gaps = goals.alias("g").join(filled.alias("f"), same("g", "f"), "left").select("g.source", (F.col("g.rest") - F.coalesce("f.filled", F.lit(0))).alias("gap"))
-    gaps = store(gaps)
-    miss = F.abs(F.col("p.size") - F.col("g.gap"))
-    nearest = store(
-        drawn.alias("p").join(gaps.alias("g"), same("p", "g")).where("not p.drawn and p.size > 0").where(miss < F.abs(F.col("g.gap")))
-        .groupBy("p.source").agg(F.min(F.struct(miss.alias("miss"), F.col("p.draw").alias("draw"), F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"))).alias("add"))
+    gaps = store(
+        goals.alias("g").join(filled.alias("f"), same("g", "f"), "left")
+        .select("g.source", (F.col("g.rest") - F.coalesce("f.filled", F.lit(0))).alias("gap"))
     )
-    extra = (F.col("p.draw") == F.col("n.add.draw")) & F.col("p.doc_id").eqNullSafe(F.col("n.add.doc_id")) & (F.col("p.size") == F.col("n.add.size"))
-    times = (F.col("whole") + (F.col("drawn") | F.coalesce(extra & ~F.col("drawn"), F.lit(False))).cast("long")).alias("times")
+    left = drawn.where("not drawn and size > 0").select("source", "size", "draw", "doc_id", "row")
+    added = None
+    for step in range(FILLS):
+        last = step == FILLS - 1
+        free = left if added is None else left.join(added.select("row"), "row", "left_anti")
+        miss = F.abs(F.col("p.size") - F.col("g.gap"))
+        fits = miss < F.abs(F.col("g.gap")) if last else F.col("p.size") <= F.col("g.gap")
+        best = F.min(F.struct(miss.alias("miss"), F.col("p.draw").alias("draw"), F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.col("p.row").alias("row")))
+        chosen = store(
+            free.alias("p").join(gaps.alias("g"), same("p", "g")).where(fits)
+            .groupBy("p.source").agg(best.alias("best")).select("source", "best.size", "best.row")
+        )
+        added = chosen if added is None else store(added.unionByName(chosen))
+        gaps = store(
+            gaps.alias("g").join(chosen.alias("c"), same("g", "c"), "left").select("g.source", (F.col("g.gap") - F.coalesce("c.size", F.lit(0))).alias("gap"))
+        )
+    extra = added.select("row", F.lit(1).alias("extra"))
+    times = F.col("whole") + F.col("drawn").cast("long") + F.coalesce("extra", F.lit(0))
     return (
-        drawn.alias("p").join(nearest.alias("n"), same("p", "n"), "left")
-        .select("doc_id", F.col("p.source").alias("source"), F.col("p.size").alias("size"), "source_size", "target", times)
+        drawn.join(extra, "row", "left")
+        .select("doc_id", "source", "size", "source_size", "target", times.alias("times"))
         .withColumn("taken", F.col("times") * F.col("size"))
     )
