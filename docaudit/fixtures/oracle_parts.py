@@ -30,7 +30,7 @@ def km(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
 
 
 def dec(expr: str) -> str:
-    return f"try_cast(trim({expr}) as decimal(18,2))"
+    return f"try_cast(trim({expr}) as decimal(38,2))"
 
 
 IDENTITY = "case when trim(coalesce(invoice_code,'')) = '' or trim(coalesce(invoice_number,'')) = '' then null " \

@@ -10,21 +10,21 @@ from docaudit.functions.scalars import fraction_box
 from docaudit.operators import extract as E, tickets as K
 
 # The view prints every amount with two decimals and nothing else in that shape, so a plain pattern is enough.
-_M = r"""m as (select file_id, token_idx, text, confidence, cast(cast(regexp_extract(text, '([0-9]+\.[0-9]{2})', 1) as decimal(20,2)) * 100 as bigint) as cents
+_M = r"""m as materialized (select file_id, token_idx, text, confidence, cast(cast(regexp_extract(text, '([0-9]+\.[0-9]{2})', 1) as decimal(20,2)) * 100 as bigint) as cents
       from v_tokens where regexp_matches(text, '[0-9]+\.[0-9]{2}'))"""
-_R = r"""rt as (select file_id, token_idx * 2 as idx, confidence, cast(cast(regexp_extract(text, '([0-9]{1,2}(\.[0-9]{1,2})?)\s*%', 1) as decimal(6,2)) / 100 as decimal(8,4)) as rate
+_R = r"""rt as materialized (select file_id, token_idx * 2 as idx, confidence, cast(cast(regexp_extract(text, '([0-9]{1,2}(\.[0-9]{1,2})?)\s*%', 1) as decimal(6,2)) / 100 as decimal(8,4)) as rate
       from v_tokens where regexp_matches(text, '[0-9]\s*%') union all
       select file_id, token_idx * 2 + 1, confidence, cast(0 as decimal(8,4)) from v_tokens where contains(text, '免税') or contains(text, '不征税'))"""
-_D = r"""dt as (select file_id, token_idx, case when xmin > 780 then 'tax' else 'amount' end as kind,
+_D = r"""dt as materialized (select file_id, token_idx, case when xmin > 780 then 'tax' else 'amount' end as kind,
       cast(cast(regexp_extract(text, '([0-9]+\.[0-9]{2})', 1) as decimal(20,2)) * 100 as bigint) as cents
       from v_tokens where regexp_full_match(text, '[¥￥]?\s*[0-9]+\.[0-9]{2}') and ymin between 260 and 720 and xmin > 550)"""
 _C = "cap as (select file_id, 123400 as capital from v_tokens where contains(text, '壹仟贰佰叁拾肆圆整'))"
 _LAB_T = "regexp_matches({0}.text, '价税合计|小写|总计')"
 _LAB_U = "regexp_matches({0}.text, '合计|金额|不含税')"
 _TRIPLES = f"""{_M}, {_R}, {_D}, {_C},
-    dl as (select file_id, coalesce(list(cents) filter (where kind = 'amount'), []) as amts, coalesce(list(cents) filter (where kind = 'tax'), []) as txs from dt group by 1),
-    rl as (select file_id, list(rate order by idx) as rates from rt group by 1),
-    t0 as (select a.file_id, a.token_idx as i, b.token_idx as j, c.token_idx as k, a.cents as u, b.cents as x, c.cents as t, a.confidence as uc, b.confidence as xc, c.confidence as tc,
+    dl as materialized (select file_id, coalesce(list(cents) filter (where kind = 'amount'), []) as amts, coalesce(list(cents) filter (where kind = 'tax'), []) as txs from dt group by 1),
+    rl as materialized (select file_id, list(rate order by idx) as rates from rt group by 1),
+    t0 as materialized (select a.file_id, a.token_idx as i, b.token_idx as j, c.token_idx as k, a.cents as u, b.cents as x, c.cents as t, a.confidence as uc, b.confidence as xc, c.confidence as tc,
       {_LAB_T.format('c')} as lt, {_LAB_U.format('a')} as lu, round_even(b.cents::double / a.cents, 4) as ratio,
       list_filter(coalesce(dl.amts, []), lambda z: z <> a.cents and z <> c.cents) as la, list_filter(coalesce(dl.txs, []), lambda z: z <> b.cents and z <> c.cents) as lx,
       coalesce(rl.rates, []) as rates, coalesce(abs(c.cents - cap.capital) <= 1, false) as capok
@@ -35,16 +35,16 @@ _TRIPLES = f"""{_M}, {_R}, {_D}, {_C},
       list_filter(rates, lambda r: abs(ratio - r) <= 0.005)[1] as printed from t0),
     t2 as (select *, case when aok then 10 else 0 end + case when xok then 10 else 0 end + case when printed is not null then 10 else 0 end + case when capok then 15 else 0 end
       + case when lt then 5 else 0 end + case when lu then 3 else 0 end as score from t1),
-    best as (select * from (select *, row_number() over (partition by file_id order by score desc, i, j, k) as rn from t2) where rn = 1)"""
+    best as materialized (select * from (select *, row_number() over (partition by file_id order by score desc, i, j, k) as rn from t2) where rn = 1)"""
 _RATE = "cast(coalesce(case when printed <> 0 then printed end, ratio) as decimal(18,4))"
 _FALL = f"""fm as (select m.*, cap.capital from m left join cap using (file_id) where m.file_id not in (select file_id from best)),
-    ft as (select file_id, coalesce(arg_min(token_idx, token_idx) filter (where {_LAB_T.format('fm')}), arg_min(token_idx, token_idx) filter (where abs(cents - capital) <= 1),
+    ft as materialized (select file_id, coalesce(arg_min(token_idx, token_idx) filter (where {_LAB_T.format('fm')}), arg_min(token_idx, token_idx) filter (where abs(cents - capital) <= 1),
       arg_min(token_idx, (-cents, token_idx))) as ti, max(capital) as capital from fm group by 1),
     fb as (select f.*, ft.capital as cap2, tt.cents as t, tt.confidence as tc from fm f join ft using (file_id) join m tt on tt.file_id = f.file_id and tt.token_idx = ft.ti),
     fx as (select file_id, min(token_idx) as xi from fb where contains(text, '税额') and cents < t group by 1),
     fu as (select fb.file_id, min(token_idx) as ui from fb left join fx using (file_id) where {_LAB_U.format('fb')} and cents < t and token_idx is distinct from xi group by 1),
     fr as (select file_id, arg_min(rate, idx) as rate, arg_min(confidence, idx) as rc from rt group by 1),
-    fall as (select ft.file_id, tt.cents as t, tt.confidence as tc, coalesce(abs(tt.cents - ft.capital) <= 1, false) as sure, mx.cents as x0, mx.confidence as xc0, mu.cents as u0, mu.confidence as uc0, fr.rate, fr.rc
+    fall as materialized (select ft.file_id, tt.cents as t, tt.confidence as tc, coalesce(abs(tt.cents - ft.capital) <= 1, false) as sure, mx.cents as x0, mx.confidence as xc0, mu.cents as u0, mu.confidence as uc0, fr.rate, fr.rc
       from ft join m tt on tt.file_id = ft.file_id and tt.token_idx = ft.ti left join fx on fx.file_id = ft.file_id left join m mx on mx.file_id = ft.file_id and mx.token_idx = fx.xi
       left join fu on fu.file_id = ft.file_id left join m mu on mu.file_id = ft.file_id and mu.token_idx = fu.ui left join fr on fr.file_id = ft.file_id),
     amt as (select file_id, t as total_cents, 'CONFIRMED' as total_status, u as untaxed_cents, 'CONFIRMED' as untaxed_status, x as tax_cents, 'CONFIRMED' as tax_status, {_RATE} as tax_rate,
@@ -55,9 +55,14 @@ _FALL = f"""fm as (select m.*, cap.capital from m left join cap using (file_id)
         cast(rate as decimal(18,4)), case when rate is null then 'MISSING' else 'CONFIRMED' end, (x0 is null) <> (u0 is null), false, false, false, x0 is not null and u0 is not null from fall)"""
 
 
+def _whole(*names: str):
+    """Cents of the views fit a long."""
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
 @query("ex1_money_candidates", ["v_tokens"], f"with {_M} select file_id, token_idx, cents from m")
 def _(t):
-    return E.money_candidates(t.tokens).select("file_id", "token_idx", "cents")
+    return E.money_candidates(t.tokens).select("file_id", "token_idx", F.col("cents").cast("bigint").alias("cents"))
 
 
 @query("ex2_tax_rates", ["v_tokens"], f"with {_R} select file_id, cast(idx // 2 as int) as token_idx, rate from rt")
@@ -97,12 +102,12 @@ def _(t):
 
 @query("ex6_detail_rows", ["v_tokens"], f"with {_D} select file_id, token_idx, kind, cents from dt")
 def _(t):
-    return E.detail_rows(t.tokens)
+    return E.detail_rows(t.tokens).withColumn("cents", F.col("cents").cast("bigint"))
 
 
 @query("ex7_capital_amounts", ["v_tokens"], f"with {_C} select file_id, cast(capital as bigint) as capital from cap")
 def _(t):
-    return E.capital_amounts(t.tokens)
+    return E.capital_amounts(t.tokens).withColumn("capital", F.col("capital").cast("bigint"))
 
 
 @query("ex8_amount_triplets", ["v_tokens"], f"""
@@ -112,7 +117,7 @@ def _(t):
     money, rates = E.money_candidates(tokens), E.tax_rate_candidates(tokens)
     best = E.amount_triplets(money, rates, E.detail_rows(tokens), E.capital_amounts(tokens))
     return best.select(
-        "file_id", "score", "total_cents", "untaxed_cents", "tax_cents", "tax_rate", "detail_amount_sum_valid", "detail_tax_sum_valid"
+        "file_id", "score", *_whole("total_cents", "untaxed_cents", "tax_cents"), "tax_rate", "detail_amount_sum_valid", "detail_tax_sum_valid"
     )
 
 
@@ -120,7 +125,7 @@ def _(t):
     with {_TRIPLES}, {_FALL} select file_id, total_cents, total_status, untaxed_cents, untaxed_status, tax_cents, tax_status, tax_rate, rate_status, eq as amount_equation_valid, conflict as amount_conflict from amt""")
 def _(t):
     return E.amount_fields(t.stored("tokens")).select(
-        "file_id", "total_cents", "total_status", "untaxed_cents", "untaxed_status", "tax_cents", "tax_status", "tax_rate",
+        "file_id", "total_status", "untaxed_status", "tax_status", "tax_rate", *_whole("total_cents", "untaxed_cents", "tax_cents"),
         "rate_status", "amount_equation_valid", "amount_conflict",
     )
 
@@ -183,7 +188,7 @@ def _(t):
     select z.file_id, substr(s2, 1, 5) as train_no, z.dep as departure_station, z.arr as arrival_station, coalesce(a.short_name, replace(z.dep, '站', '')) as departure_city,
       coalesce(b.short_name, replace(z.arr, '站', '')) as arrival_city, replace(replace(replace(substr(t4, 1, 10), '年', '-'), '月', '-'), '日', '') as travel_date,
       replace(replace(substr(t4, 1, 10), '年', '-'), '月', '-') || 'T' || substr(t4, 12, 2) || ':05:00' as departure_time, t6 as seat_type, t0 as ticket_number,
-      case when file_id % 2 = 0 then '张三丰' else '李四' end as passenger_name, cast(cast(regexp_extract(t5, '([0-9.]+)', 1) as decimal(20,2)) as decimal(18,2)) as total_amount, 'SUCCESS' as parse_status
+      case when file_id % 2 = 0 then '张三丰' else '李四' end as passenger_name, cast(cast(regexp_extract(t5, '([0-9.]+)', 1) as decimal(20,2)) as decimal(38,2)) as total_amount, 'SUCCESS' as parse_status
     from z left join cmap a on a.txt = z.dep left join cmap b on b.txt = z.arr""")
 def _(t):
     return K.parse_tickets(t.tickets)
@@ -198,12 +203,14 @@ _PARSE = f"""{_TRIPLES}, {_FALL}, {_NUMBERS}, {_PARTIES}, {_TYPE},
 
 @query("ex15_parse_invoices", ["v_tokens"], f"""
     with {_PARSE} select ff.file_id, case when ty.file_id is not null then coalesce(nc.code, 'NONE') end as invoice_code, nc.number as invoice_number, ty.invoice_type,
-      cast(total_cents / 100 as decimal(18,2)) as total_amount, cast(untaxed_cents / 100 as decimal(18,2)) as untaxed_amount, cast(tax_cents / 100 as decimal(18,2)) as tax_amount, tax_rate,
+      cast(total_cents / 100 as decimal(38,2)) as total_amount, cast(untaxed_cents / 100 as decimal(38,2)) as untaxed_amount, cast(tax_cents / 100 as decimal(38,2)) as tax_amount, tax_rate,
       seller_name, seller_tax_id, buyer_name, buyer_tax_id, dd.issue_date, case when ty.file_id is null then 'FAILED' when total_cents is null or number is null then 'NEED_REVIEW' else 'SUCCESS' end as parse_status,
-      case when ty.file_id is null then 'OCR_PARSE_FAILED' else concat_ws(',', case when total_cents is null then 'INVOICE_TOTAL_AMOUNT_MISSING' end, case when number is null then 'INVOICE_NUMBER_MISSING' end) end as quality_issues,
+      case when ty.file_id is null then 'OCR_PARSE_FAILED' else concat_ws(',', case when total_cents is null then 'INVOICE_TOTAL_AMOUNT_MISSING' end,
+        case when coalesce(untaxed_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_UNTAXED_AMOUNT_MISSING' end,
+        case when coalesce(tax_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_TAX_AMOUNT_MISSING' end, case when number is null then 'INVOICE_NUMBER_MISSING' end) end as quality_issues,
       case when total_cents > 0 then {_CATEGORY} end as expense_type,
       case when total_cents > 0 then case when {_CATEGORY} = '住宿费' and (sh or contains(coalesce(seller_name, ''), '上海')) then '上海' else '北京' end end as expense_city,
-      case when number is not null and total_cents is not null then sha256(coalesce(nc.code, 'NONE') || '#' || number || '#' || cast(cast(total_cents / 100 as decimal(18,2)) as varchar) || '#' || coalesce(dd.issue_date, 'UNKNOWN')) end as invoice_hash
+      case when number is not null and total_cents is not null then sha256(coalesce(nc.code, 'NONE') || '#' || number || '#' || cast(cast(total_cents / 100 as decimal(38,2)) as varchar) || '#' || coalesce(dd.issue_date, 'UNKNOWN')) end as invoice_hash
     from ff left join ty using (file_id) left join nc using (file_id) left join amt using (file_id) left join pa using (file_id) left join dd using (file_id)""")
 def _(t):
     files = t.source("orders").select(F.col("o_orderkey").alias("file_id")).union(

@@ -112,7 +112,7 @@ def _(t):
 
 # ---------------------------------------------------------------- reflection
 
-ALLOW = f"""al as (select d.document_id, cast(coalesce(l.total, 0) as decimal(18,2)) as allowance_total,
+ALLOW = f"""al as (select d.document_id, cast(coalesce(l.total, 0) as decimal(38,2)) as allowance_total,
       coalesce(l.ev, false) or coalesce(json_extract_string(d.extra_attributes, '$.allowance_policy_verified') = 'true', false) as has_evidence
     from v_documents d left join (select document_id, sum(case when {R._ALLOW} and {R.dec('amount')} > 0 then {R.dec('amount')} end) as total,
       bool_or({R._ALLOW} and coalesce(allowance_verified, false)) as ev from v_lines group by 1) l using (document_id))"""
@@ -132,7 +132,7 @@ def _r02(t):
 
 @query("rf1_reflection", ["v_documents", "v_lines", "v_invoices"], f"""
     with {RF} select document_id, rule_code, risk_level, case when action is null then 'amount_agent' else 'reviewer_agent' end as agent_role,
-      cast(case when action is null then discrepancy_amount else discrepancy_amount - allowance_total end as decimal(18,2)) as discrepancy_amount
+      cast(case when action is null then discrepancy_amount else discrepancy_amount - allowance_total end as decimal(38,2)) as discrepancy_amount
     from rx where action is distinct from 'AUTO_RESOLVED_FULL'""")
 def _(t):
     return reflect.reflect(*_r02(t)).select("document_id", "rule_code", "risk_level", "agent_role", "discrepancy_amount")
@@ -140,7 +140,7 @@ def _(t):
 
 @query("rf2_reflection_log", ["v_documents", "v_lines", "v_invoices"], f"""
     with {RF} select document_id, action, rule_code as original_rule, discrepancy_amount as original_diff, allowance_total,
-      cast(case when action = 'PARTIAL_DEDUCTED' then discrepancy_amount - allowance_total end as decimal(18,2)) as remaining_gap from rx where action is not null""")
+      cast(case when action = 'PARTIAL_DEDUCTED' then discrepancy_amount - allowance_total end as decimal(38,2)) as remaining_gap from rx where action is not null""")
 def _(t):
     return reflect.reflection_log(*_r02(t))
 
@@ -150,14 +150,14 @@ def _(t):
 
 @query("hn1_finding_validation", ["v_stored_findings"], """
     select document_id, subject_key, discrepancy_amount from (select document_id, finding_id as subject_key, length(title) as n,
-      cast(case when length(title) % 2 = 0 then 7.5 else 2 end as decimal(18,2)) as discrepancy_amount, risk_level from v_stored_findings)
+      cast(case when length(title) % 2 = 0 then 7.5 else 2 end as decimal(38,2)) as discrepancy_amount, risk_level from v_stored_findings)
     where risk_level in ('high', 'low')""")
 def _(t):
     raw = t.stored_findings.select(
         "document_id", "rule_code", "rule_name",
         F.when(F.col("risk_level") == "medium", F.lit("severe")).otherwise(F.col("risk_level")).alias("risk_level"),
         F.lit("policy_agent").alias("agent_role"), F.col("finding_id").alias("subject_key"),
-        F.when(F.length("title") % 2 == 0, F.lit("-7.5")).otherwise(F.lit("2")).cast("decimal(18,2)").alias("discrepancy_amount"),
+        F.when(F.length("title") % 2 == 0, F.lit("-7.5")).otherwise(F.lit("2")).cast("decimal(38,2)").alias("discrepancy_amount"),
         "is_overridable", F.create_map().cast("map<string,string>").alias("actual_value"),
         F.create_map().cast("map<string,string>").alias("expected_value"), "title", F.col("title").alias("description"),
         F.lit("").alias("suggestion"), F.array().cast("array<string>").alias("evidence_ids"),
@@ -226,7 +226,7 @@ def _(t):
 def _(t):
     findings = t.stored_findings.select(
         F.col("report_id").alias("document_id"), "rule_code", F.col("finding_id").alias("subject_key"), "title",
-        F.lit("policy_agent").alias("agent_role"), F.lit(None).cast("decimal(18,2)").alias("discrepancy_amount"),
+        F.lit("policy_agent").alias("agent_role"), F.lit(None).cast("decimal(38,2)").alias("discrepancy_amount"),
     )
     return score.leading_findings(findings)
 
@@ -310,7 +310,7 @@ FULL = f"""{_tf1_head}{_cities}, {_tf1_tail.strip()},
       case when abs(discrepancy_amount - allowance_total) <= 0.01 then 'FULL' when allowance_total < discrepancy_amount then 'PART' end end as fix
       from raw join al using (document_id)),
     found as materialized (select document_id, rule_code, risk_level, subject_key, is_overridable,
-      cast(case when fix = 'PART' then discrepancy_amount - allowance_total else discrepancy_amount end as decimal(18,2)) as discrepancy_amount
+      cast(case when fix = 'PART' then discrepancy_amount - allowance_total else discrepancy_amount end as decimal(38,2)) as discrepancy_amount
       from act where fix is distinct from 'FULL')"""
 
 

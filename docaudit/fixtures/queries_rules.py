@@ -43,7 +43,7 @@ def _(t):
     )
 
 
-_MONEY = "coalesce(cast(cast(total_amount as decimal(18,2)) as varchar), '0.00')"
+_MONEY = "coalesce(cast(cast(total_amount as decimal(38,2)) as varchar), '0.00')"
 
 
 @query("sc5_content_hash", ["v_invoices"], f"""
@@ -73,7 +73,7 @@ def _(t):
 @query("sc7_ingest_hash", ["v_invoices"], """
     select document_id, invoice_key, case when coalesce(invoice_number, '') = '' or total_amount is null then null
       else sha256(coalesce(nullif(invoice_code, ''), 'NONE') || '#' || invoice_number || '#' ||
-        cast(cast(total_amount as decimal(18,2)) as varchar) || '#' || coalesce(nullif(issue_date, ''), 'UNKNOWN')) end as ingest_hash
+        cast(cast(total_amount as decimal(38,2)) as varchar) || '#' || coalesce(nullif(issue_date, ''), 'UNKNOWN')) end as ingest_hash
     from v_invoices""")
 def _(t):
     return t.invoices.select(
@@ -84,11 +84,11 @@ def _(t):
 
 @query("sc8_trailing_number", ["v_invoices"], """
     select document_id, invoice_key,
-      cast(try_cast(nullif(regexp_extract(trim(invoice_number), '([0-9]+)$', 1), '') as decimal(36,0)) as varchar) as trailing
+      nullif(regexp_replace(regexp_extract(trim(invoice_number), '([0-9]+)$', 1), '^0+([0-9])', '\\1'), '') as trailing
     from v_invoices""")
 def _(t):
     return t.invoices.select(
-        "document_id", "invoice_key", S.trailing_number(F.col("invoice_number")).cast("string").alias("trailing")
+        "document_id", "invoice_key", S.trailing_number(F.col("invoice_number")).alias("trailing")
     )
 
 
@@ -204,7 +204,7 @@ def _(t):
 @query("sc21_document_number", ["v_documents"], """
     select document_id, case document_type when 'TRAVEL_REIMBURSEMENT' then 'TRV' when 'EXPENSE_REIMBURSEMENT' then 'EXP'
       when 'CORP_PAYMENT' then 'CORP' when 'ADVANCE_PAYMENT' then 'ADV' when 'BATCH_PAYMENT' then 'BAT' else 'DOC' end
-      || '-' || strftime(created_at, '%Y%m%d') || '-' || upper(substr(sha256(cast(document_id as varchar)), 1, 6)) as generated_no
+      || '-' || strftime(created_at, '%Y%m%d') || '-' || upper(substr(sha256(cast(document_id as varchar)), 1, 32)) as generated_no
     from v_documents""")
 def _(t):
     return t.documents.select(
@@ -302,9 +302,9 @@ def _(t):
 # ---------------------------------------------------------------- amount rules
 
 LINE_SUMS = f"""ls as (select document_id, count(*) as line_count, bool_and({dec('amount')} is not null) as lines_valid,
-      cast(sum({dec('amount')}) as decimal(18,2)) as line_sum from v_lines group by document_id)"""
+      cast(sum({dec('amount')}) as decimal(38,2)) as line_sum from v_lines group by document_id)"""
 INVOICE_SUMS = """ivs as (select document_id, count(*) as invoice_count, bool_and(total_amount is not null) as invoices_valid,
-      cast(sum(total_amount) as decimal(18,2)) as invoice_sum from v_invoices group by document_id)"""
+      cast(sum(total_amount) as decimal(38,2)) as invoice_sum from v_invoices group by document_id)"""
 
 AM1 = brief_sql("R01_HEADER_LINE_MISMATCH", "'high'", "'document'", "abs(d.total_amount - s.line_sum)", False,
                 "from v_documents d join ls s using (document_id) where s.lines_valid and d.total_amount <> s.line_sum")
@@ -365,7 +365,7 @@ def _(t):
 
 
 @query("am7_unbalanced_requests", ["v_documents", "v_lines"], f"""
-    with {LINE_SUMS} select d.document_id, d.total_amount, s.line_sum, cast(abs(d.total_amount - s.line_sum) as decimal(18,2)) as difference
+    with {LINE_SUMS} select d.document_id, d.total_amount, s.line_sum, cast(abs(d.total_amount - s.line_sum) as decimal(38,2)) as difference
     from v_documents d join ls s using (document_id) where s.lines_valid and abs(d.total_amount - s.line_sum) > 0.01""")
 def _(t):
     return amount.unbalanced_requests(t.documents, t.lines)
@@ -373,7 +373,7 @@ def _(t):
 
 # ---------------------------------------------------------------- invoice anomaly rules
 
-KEYED = f"""k as (select * from (select document_id, invoice_key, {IDENTITY} as id_key, cast(coalesce(total_amount, 0) as decimal(18,2)) as amt,
+KEYED = f"""k as (select * from (select document_id, invoice_key, {IDENTITY} as id_key, cast(coalesce(total_amount, 0) as decimal(38,2)) as amt,
       row_number() over (partition by document_id, {IDENTITY} order by invoice_key) as rn,
       first_value(coalesce(total_amount, 0)) over (partition by document_id, {IDENTITY} order by invoice_key) as first_amt
       from v_invoices) where id_key is not null)"""
@@ -456,7 +456,7 @@ def sequential_sql(view: str) -> str:
     g as (select *, case when num - lag(num) over w = 1 then 0 else 1 end as brk from n where num is not null
       window w as (partition by document_id, seller_tax_id order by num, invoice_key)),
     i as (select *, sum(brk) over (partition by document_id, seller_tax_id order by num, invoice_key rows unbounded preceding) as island from g),
-    runs as (select document_id, seller_tax_id, island, count(*) as run_length, cast(sum(amt) as decimal(18,2)) as run_total,
+    runs as (select document_id, seller_tax_id, island, count(*) as run_length, cast(sum(amt) as decimal(38,2)) as run_total,
       arg_min(num, (num, invoice_key)) as first_number from i group by 1, 2, 3)"""
 
 

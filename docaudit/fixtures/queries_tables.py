@@ -41,7 +41,7 @@ def _(t):
       coalesce(i.n, 0) as invoice_count, i.s as invoice_sum
     from v_documents d left join (select document_id, count(*) as n from v_lines group by 1) l using (document_id)
     left join (select document_id, count(*) as n from v_attachments group by 1) a using (document_id)
-    left join (select document_id, count(*) as n, cast(sum(total_amount) as decimal(18,2)) as s from v_invoices group by 1) i using (document_id)
+    left join (select document_id, count(*) as n, cast(sum(total_amount) as decimal(38,2)) as s from v_invoices group by 1) i using (document_id)
     left join v_users u on u.user_id = d.applicant_id""")
 def _(t):
     out = tables.with_children(t.documents, t.lines, t.attachments, t.invoices, t.users)
@@ -210,7 +210,7 @@ def _(t):
 
 @query("lc8_ingest_defaults", ["v_invoices"], """
     select document_id, invoice_key, coalesce(nullif(invoice_code, ''), 'NONE') as invoice_code,
-      coalesce(nullif(invoice_number, ''), 'UNKNOWN_' || substr(sha256(cast(document_id as varchar) || '|' || invoice_key), 1, 8)) as invoice_number,
+      coalesce(nullif(invoice_number, ''), 'UNKNOWN_' || sha256(cast(document_id as varchar) || '|' || invoice_key)) as invoice_number,
       coalesce(nullif(invoice_type, ''), '增值税电子普通发票') as invoice_type, total_amount from v_invoices""")
 def _(t):
     return L.ingest_defaults(t.invoices).select(
@@ -306,19 +306,19 @@ def _(t):
 
 
 @query("da1_totals", ["v_documents"], """
-    select count(*) as total_documents, cast(sum(total_amount) as decimal(18,2)) as total_amount from v_documents""")
+    select count(*) as total_documents, cast(sum(total_amount) as decimal(38,2)) as total_amount from v_documents""")
 def _(t):
     return A.totals(t.documents)
 
 
 @query("da2_blocked_amount", ["v_documents", "v_reports"], """
-    select cast(sum(d.total_amount) as decimal(18,2)) as blocked_amount from v_documents d join v_reports r using (document_id) where r.overall_risk_level = 'high'""")
+    select cast(sum(d.total_amount) as decimal(38,2)) as blocked_amount from v_documents d join v_reports r using (document_id) where r.overall_risk_level = 'high'""")
 def _(t):
     return A.blocked_amount(t.documents, t.reports)
 
 
 @query("da2_blocked_amount_latest", ["v_documents", "v_reports"], """
-    select cast(sum(d.total_amount) as decimal(18,2)) as blocked_amount from v_documents d join (
+    select cast(sum(d.total_amount) as decimal(38,2)) as blocked_amount from v_documents d join (
       select *, row_number() over (partition by document_id order by created_at desc, report_id desc) as rn from v_reports) r using (document_id)
     where rn = 1 and r.overall_risk_level = 'high'""")
 def _(t):
@@ -340,7 +340,7 @@ def _(t):
 
 
 @query("da5_department_stats", ["v_documents", "v_reports"], f"""
-    select coalesce(nullif(department_name, ''), '{A.UNASSIGNED}') as department_name, count(*) as document_count, cast(sum(total_amount) as decimal(18,2)) as total_amount,
+    select coalesce(nullif(department_name, ''), '{A.UNASSIGNED}') as department_name, count(*) as document_count, cast(sum(total_amount) as decimal(38,2)) as total_amount,
       round(count(*) filter (where document_id not in (select document_id from v_reports where overall_risk_level = 'high')) * 100.0::double / count(*), 1) as compliance_rate
     from v_documents group by 1""")
 def _(t):

@@ -35,5 +35,5 @@ def brief(findings: DataFrame) -> DataFrame:
 def brief_sql(rule: str, level: str, subject: str, amount: str, overridable: bool, source: str, doc: str = "document_id") -> str:
     """SELECT of the same columns in DuckDB."""
     return f"""select {doc} as document_id, '{rule}' as rule_code, {level} as risk_level,
-      cast({subject} as varchar) as subject_key, cast({amount} as decimal(18,2)) as discrepancy_amount,
+      cast({subject} as varchar) as subject_key, cast({amount} as decimal(38,2)) as discrepancy_amount,
       {'true' if overridable else 'false'} as is_overridable {source}"""

@@ -553,7 +553,7 @@ class Tables:
 
 def with_views(names: list[str], body: str) -> str:
     """DuckDB text: the named views as CTEs, then the body (a SELECT, or further CTEs)."""
-    ctes = ",\n".join(f"{name} as ({VIEWS[name](DuckDialect)})" for name in names)
+    ctes = ",\n".join(f"{name} as materialized ({VIEWS[name](DuckDialect)})" for name in names)
     body = body.strip()
     for head in ("with recursive ", "with "):
         if body.lower().startswith(head):

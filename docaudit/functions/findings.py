@@ -83,7 +83,7 @@ def finding_row(
         (F.lit(default_level) if level is None else level).alias("risk_level"),
         F.lit(role).alias("agent_role"),
         subject.cast("string").alias("subject_key"),
-        (F.lit(None) if amount is None else amount).cast("decimal(18,2)").alias("discrepancy_amount"),
+        (F.lit(None) if amount is None else amount).cast("decimal(38,2)").alias("discrepancy_amount"),
         F.lit(overridable).alias("is_overridable"),
         _text_map(actual).alias("actual_value"),
         _text_map(expected).alias("expected_value"),

@@ -35,7 +35,7 @@ def contains_any(c: Column, words) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def safe_decimal(c: Column, precision: int = 18, scale: int = 2) -> Column:
+def safe_decimal(c: Column, precision: int = 38, scale: int = 2) -> Column:
     """Decimal of a text; anything that is not a plain number is null, never zero."""
     return strip(c.cast("string")).try_cast(f"decimal({precision},{scale})")
 
@@ -76,7 +76,7 @@ def identity_of(code: Column, number: Column) -> Column:
 
 
 def money_text(amount: Column, default: str = "0.00") -> Column:
-    return F.coalesce(amount.cast("decimal(18,2)").cast("string"), F.lit(default))
+    return F.coalesce(amount.cast("decimal(38,2)").cast("string"), F.lit(default))
 
 
 def content_hash(code: Column, number: Column, amount: Column, issue_date: Column) -> Column:
@@ -100,27 +100,37 @@ def ingest_hash(code: Column, number: Column, amount: Column, issue_date: Column
         "#",
         F.coalesce(F.nullif(code, F.lit("")), F.lit("NONE")),
         number,
-        amount.cast("decimal(18,2)").cast("string"),
+        amount.cast("decimal(38,2)").cast("string"),
         F.coalesce(F.nullif(issue_date, F.lit("")), F.lit("UNKNOWN")),
     )
     return F.when(F.nullif(number, F.lit("")).isNotNull() & amount.isNotNull(), F.sha2(raw, 256))
 
 
 def trailing_number(c: Column) -> Column:
-    """Digits at the end of the text as a whole decimal (up to 36 digits)."""
-    return F.nullif(F.regexp_extract(strip(c), r"([0-9]+)$", 1), F.lit("")).try_cast("decimal(36,0)")
+    """Digits at the end of the text, of any length, as text without leading zeros."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(strip(c), r"([0-9]+)$", 1), r"^0+(?=[0-9])", ""), F.lit(""))
 
 
 LOW_DIGITS_MAX = 10**18 - 1
 
 
 def trailing_parts(c: Column) -> tuple[Column, Column]:
-    """The trailing number as two whole numbers: ``high`` (leading digits) and ``low`` (last 18 digits)."""
-    digits = F.lpad(F.regexp_extract(strip(c), r"([0-9]{1,36})$", 1), 36, "0")
-    found = strip(c).rlike(r"(^|[^0-9])[0-9]{1,36}$")
+    """The trailing number, of any length: ``low``, its last 18 digits as a number, and ``high``, the digits before
+    them as text without leading zeros (empty for zero). Numbers order by length of high, high, low."""
+    digits = F.regexp_extract(strip(c), r"([0-9]+)$", 1)
     return (
-        F.when(found, F.substring(digits, 1, 18).cast("bigint")).alias("high"),
-        F.when(found, F.substring(digits, 19, 18).cast("bigint")).alias("low"),
+        F.when(digits != "", F.regexp_replace(F.left(digits, F.greatest(F.length(digits) - 18, F.lit(0))), "^0+", "")).alias("high"),
+        F.when(digits != "", F.right(digits, F.lit(18)).cast("bigint")).alias("low"),
+    )
+
+
+def next_digits(digits: Column) -> Column:
+    """A whole number in decimal text (empty: zero), plus one."""
+    stem = F.regexp_replace(digits, "9+$", "")
+    zeros = F.repeat(F.lit("0"), (F.length(digits) - F.length(stem)).cast("int"))
+    raised = (F.right(stem, F.lit(1)).cast("int") + 1).cast("string")
+    return F.when(stem == "", F.concat(F.lit("1"), zeros)).otherwise(
+        F.concat(F.left(stem, F.greatest(F.length(stem) - 1, F.lit(0))), raised, zeros)
     )
 
 
@@ -192,11 +202,12 @@ DOCUMENT_PREFIX = {
 
 
 def document_number(document_type: Column, day: Column, key: Column) -> Column:
-    """PREFIX-yyyyMMdd-XXXXXX; the suffix is a hash of the key, so reruns give the same number."""
+    """PREFIX-yyyyMMdd-suffix; the suffix is 32 hex characters of a hash of the key, so reruns give the same number and
+    two keys never share one."""
     prefix = F.lit("DOC")
     for name, short in DOCUMENT_PREFIX.items():
         prefix = F.when(document_type == name, F.lit(short)).otherwise(prefix)
-    suffix = F.upper(F.substring(F.sha2(key.cast("string"), 256), 1, 6))
+    suffix = F.upper(F.substring(F.sha2(key.cast("string"), 256), 1, 32))
     return F.concat_ws("-", prefix, F.date_format(day, "yyyyMMdd"), suffix)
 
 

@@ -14,7 +14,7 @@ def line_totals(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_amount", safe_decimal(F.col("amount"))).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.bool_and(F.col("_amount").isNotNull()).alias("lines_valid"),
-        F.sum("_amount").cast("decimal(18,2)").alias("line_sum"),
+        F.sum("_amount").cast("decimal(38,2)").alias("line_sum"),
     )
 
 
@@ -23,7 +23,7 @@ def invoice_totals(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("invoice_count"),
         F.bool_and(F.col("total_amount").isNotNull()).alias("invoices_valid"),
-        F.sum("total_amount").cast("decimal(18,2)").alias("invoice_sum"),
+        F.sum("total_amount").cast("decimal(38,2)").alias("invoice_sum"),
     )
 
 
@@ -41,7 +41,7 @@ def reconcile(documents: DataFrame, lines: DataFrame, invoices: DataFrame) -> Da
 
 def header_line_check():
     """(condition, finding) over reconciled documents."""
-    diff = F.col("line_diff").cast("decimal(18,2)")
+    diff = F.col("line_diff").cast("decimal(38,2)")
     return diff > 0, finding_row(
         "header_line",
         F.lit("document"),
@@ -54,7 +54,7 @@ def header_line_check():
 
 def invoice_sum_check():
     """(condition, finding) over reconciled documents."""
-    diff = F.col("invoice_diff").cast("decimal(18,2)")
+    diff = F.col("invoice_diff").cast("decimal(38,2)")
     return diff > 0, finding_row(
         "invoice_sum",
         F.lit("document"),
@@ -68,8 +68,8 @@ def invoice_sum_check():
 def tax_check(params: AuditParams = DEFAULTS):
     """(condition, finding) over invoices: total differs from untaxed plus tax."""
     total, untaxed, tax = F.col("total_amount"), F.col("untaxed_amount"), F.col("tax_amount")
-    diff = F.abs(total - (untaxed + tax)).cast("decimal(18,2)")
-    bad = (diff > F.lit(params.tax_tolerance).cast("decimal(18,2)")) & ((untaxed > 0) | (tax > 0))
+    diff = F.abs(total - (untaxed + tax)).cast("decimal(38,2)")
+    bad = (diff > F.lit(params.tax_tolerance).cast("decimal(38,2)")) & ((untaxed > 0) | (tax > 0))
     return bad, finding_row(
         "tax",
         F.col("invoice_key"),
@@ -168,8 +168,8 @@ def unbalanced_requests(documents: DataFrame, lines: DataFrame, params: AuditPar
     return (
         documents.select("document_id", "total_amount")
         .join(line_totals(lines), "document_id")
-        .withColumn("difference", F.abs(F.col("total_amount") - F.col("line_sum")).cast("decimal(18,2)"))
+        .withColumn("difference", F.abs(F.col("total_amount") - F.col("line_sum")).cast("decimal(38,2)"))
         .where(F.col("lines_valid"))
-        .where(F.col("difference") > F.lit(params.balance_tolerance).cast("decimal(18,2)"))
+        .where(F.col("difference") > F.lit(params.balance_tolerance).cast("decimal(38,2)"))
         .select("document_id", "total_amount", "line_sum", "difference")
     )

@@ -16,7 +16,7 @@ UNASSIGNED = "未分配部门"
 def totals(documents: DataFrame) -> DataFrame:
     """DA1: document count and sum of totals."""
     return documents.agg(
-        F.count(F.lit(1)).alias("total_documents"), F.sum("total_amount").cast("decimal(18,2)").alias("total_amount")
+        F.count(F.lit(1)).alias("total_documents"), F.sum("total_amount").cast("decimal(38,2)").alias("total_amount")
     )
 
 
@@ -28,7 +28,7 @@ def blocked_amount(documents: DataFrame, reports: DataFrame, latest_only: bool =
     source = latest_reports(reports) if latest_only else reports
     high = source.where("overall_risk_level = 'high'").groupBy("document_id").agg(F.count(F.lit(1)).alias("_n"))
     return documents.join(high, "document_id").agg(
-        F.sum(F.col("total_amount") * F.col("_n")).cast("decimal(18,2)").alias("blocked_amount")
+        F.sum(F.col("total_amount") * F.col("_n")).cast("decimal(38,2)").alias("blocked_amount")
     )
 
 
@@ -58,7 +58,7 @@ def department_stats(documents: DataFrame, reports: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("department_name", F.lit("")), F.lit(UNASSIGNED)).alias("department_name")
     ).agg(
         F.count(F.lit(1)).alias("document_count"),
-        F.sum("total_amount").cast("decimal(18,2)").alias("total_amount"),
+        F.sum("total_amount").cast("decimal(38,2)").alias("total_amount"),
         F.round(F.count_if(F.col("_high").isNull()) * 100.0 / F.count(F.lit(1)), 1).cast("double").alias("compliance_rate"),
     )
 

@@ -144,7 +144,7 @@ def link_attachments(invoices: DataFrame, attachments: DataFrame) -> DataFrame:
 
 def ingest_defaults(invoices: DataFrame, zero_fill_total: bool = False) -> DataFrame:
     """LC8: defaults of a stored invoice. A missing total stays missing unless ``zero_fill_total``."""
-    unknown = F.concat(F.lit("UNKNOWN_"), F.substring(F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), "invoice_key"), 256), 1, 8))
+    unknown = F.concat(F.lit("UNKNOWN_"), F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), "invoice_key"), 256))
     total = F.coalesce("total_amount", F.lit(0)) if zero_fill_total else F.col("total_amount")
     return invoices.withColumns({
         "invoice_code": F.coalesce(F.nullif("invoice_code", F.lit("")), F.lit("NONE")),

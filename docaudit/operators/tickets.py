@@ -81,7 +81,7 @@ def parse_tickets(tokens: DataFrame) -> DataFrame:
     departure = F.coalesce("_departure", F.when(several, F.col("_left")))
     arrived = F.coalesce("_arrival", F.when(several, F.col("_right")))
     number = F.coalesce("_top", "_any")
-    fare = (F.col("cents").cast("decimal(18,0)") / 100).cast("decimal(18,2)")
+    fare = (F.col("cents") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(38,2)")
     success = (F.col("train_no").isNotNull() | number.isNotNull()) & (departure.isNotNull() | arrived.isNotNull())
     status = F.when(fare.isNull(), F.lit("FAILED")).when(success, F.lit("SUCCESS")).otherwise(F.lit("NEED_REVIEW"))
     return fields.join(found, "file_id", "left").join(fares, "file_id", "left").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,25 +42,27 @@ def local_session(app: str = "docaudit", cores: str = "*", **conf: str) -> Spark
     return tune(spark)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder for intermediate tables: the one the cluster names, or a temporary one in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names, or a temporary one in local mode.
+
+    A cluster must name a folder that all machines share; there is no other way to run.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
+    if folder is None and re.match(r"local(\[|$)", spark.sparkContext.master):
         folder = tempfile.mkdtemp(prefix="docaudit-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several branches use to the shared folder and read it back.
 
-    The table survives lost executors, cuts the lineage and keeps column pruning. On a cluster
-    without a shared folder the plan is returned unchanged and recomputed.
+    The table survives lost executors, cuts the lineage and keeps column pruning.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    if folder is None:
-        return df
     path = f"{folder.rstrip('/')}/docaudit/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -49,14 +49,14 @@ def with_children(
     """IO4: one row per document with child counts, sums and the applicant's name.
 
     Every child is aggregated before its join, so no child multiplies another one and no list of
-    children is built; ``file_path`` of an invoice comes from ``invoice_files``.
+    children is built.
     """
     line = lines.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("line_count"), F.max("line_no").alias("last_line_no")
     )
     attachment = attachments.groupBy("document_id").agg(F.count(F.lit(1)).alias("attachment_count"))
     invoice = invoices.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("invoice_count"), F.sum("total_amount").cast("decimal(18,2)").alias("invoice_sum")
+        F.count(F.lit(1)).alias("invoice_count"), F.sum("total_amount").cast("decimal(38,2)").alias("invoice_sum")
     )
     out = documents
     for child in (line, attachment, invoice):
@@ -83,7 +83,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         F.upper(F.substring(extension, 2, 20)).alias("file_type"),
         digest.alias("file_hash"),
         F.col("length").alias("file_size_bytes"),
-        F.concat(F.lit("inv_"), F.substring(digest, 1, 12), extension).alias("stored_name"),
+        F.concat(F.lit("inv_"), digest, extension).alias("stored_name"),
     )
 
 

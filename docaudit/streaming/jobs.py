@@ -30,8 +30,6 @@ def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, str
     """
     spark = stream.sparkSession
     root = shared_folder(spark)
-    if root is None:
-        raise ValueError("a stream job needs a shared folder: set spark.checkpoint.dir")
     folder = f"{root.rstrip('/')}/docaudit-stream/{uuid.uuid4().hex}"
     # A source without rows runs no batch; the empty part keeps the result readable.
     columns = _landed(stream, handle)
@@ -163,7 +161,7 @@ def duplicate_stream(
     keyed = invoices.select(
         identity_key(F.col("invoice_code"), F.col("invoice_number")).alias("identity_key"),
         "document_id", "document_no", "invoice_key",
-        F.coalesce("total_amount", F.lit(0)).cast("decimal(18,2)").cast("string").alias("amount"),
+        F.coalesce("total_amount", F.lit(0)).cast("decimal(38,2)").cast("string").alias("amount"),
         F.col("status").isin(*params.active_statuses).alias("is_active"),
     ).where(F.col("identity_key").isNotNull())
     ttl = None if ttl_days is None else ttl_days * 86_400_000
