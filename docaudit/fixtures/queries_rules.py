@@ -587,12 +587,12 @@ LINE_CITIES = city_map("select city_name as txt from v_lines")
 
 @query("po1_lodging_over_limit", ["v_lines"], f"with {LINE_CITIES}, {LODGING} {PO1}")
 def _(t):
-    return brief(policy.lodging_findings(t.lines).where("rule_code = 'R05_POLICY_EXCEEDED'"))
+    return brief(policy.lodging_findings(t.lines, rules=("policy_exceeded",)))
 
 
 @query("po2_lodging_without_standard", ["v_lines"], f"with {LINE_CITIES}, {LODGING} {PO2}")
 def _(t):
-    return brief(policy.lodging_findings(t.lines).where("rule_code = 'R14_POLICY_NOT_FOUND'"))
+    return brief(policy.lodging_findings(t.lines, rules=("policy_missing",)))
 
 
 PURPOSE = f"""pf as (select d.document_id, coalesce({TO_BOOL.format('v.verdict')}, not coalesce(s.sensitive, false)) as is_rational,
@@ -657,11 +657,15 @@ def _(t):
 
 
 for _name, _rule, _sql in (
-    ("su3_unregistered", "R12_SUPPLIER_UNREGISTERED", SU3), ("su5_dishonest", "R13_SUPPLIER_DISHONEST", SU5),
-    ("su6_shell_company", "R15_SHELL_COMPANY", SU6), ("su7_scope_deviation", "R17_SUPPLIER_SCOPE_DEVIATION", SU7),
+    ("su3_unregistered", "unregistered", SU3), ("su7_scope_deviation", "scope", SU7),
 ):
     query(_name, SUPPLIER_VIEWS, f"with {SUPPLIER_FACTS} {_sql}")(
-        lambda t, rule=_rule: brief(supplier.supplier_findings(_supplier_facts(t)).where(F.col("rule_code") == rule))
+        lambda t, rule=_rule: brief(supplier.supplier_findings(_supplier_facts(t), (rule,)))
+    )
+
+for _name, _rule, _sql in (("su5_dishonest", "dishonest", SU5), ("su6_shell_company", "shell", SU6)):
+    query(_name, SUPPLIER_VIEWS, f"with {SUPPLIER_FACTS} {_sql}")(
+        lambda t, rule=_rule: brief(supplier.profile_findings(t.documents, t.invoices, t.suppliers, rule))
     )
 
 

@@ -96,8 +96,11 @@ def supplier_facts(
     )
 
 
-def supplier_findings(facts: DataFrame) -> DataFrame:
-    """R12, R13, R15 and R17 in one pass over the supplier facts."""
+SUPPLIER_RULES = ("unregistered", "dishonest", "shell", "scope")
+
+
+def supplier_findings(facts: DataFrame, rules: tuple[str, ...] = SUPPLIER_RULES) -> DataFrame:
+    """R12, R13, R15 and R17, or those asked for, in one pass over the supplier facts."""
     name = F.col("supplier_name")
     ok = F.col("error").isNull()
 
@@ -112,12 +115,42 @@ def supplier_findings(facts: DataFrame) -> DataFrame:
         "source": F.col("scope_source"),
         "is_degraded": F.col("scope_source") == HEURISTIC,
     }
-    return emit_where(facts, [
-        (ok & ~F.col("code_valid"), row("unregistered", " 登记代码非法", {"uscc": F.col("uscc")}, {"is_valid_uscc": F.lit(True)})),
-        (ok & F.col("dishonest"), row("dishonest", " 为失信被执行人", {"is_dishonest": F.lit(True)}, {"is_dishonest": F.lit(False)})),
-        (ok & (F.col("abnormal") | F.col("shell")), row("shell", " 经营状态异常", state, {"operating_status": F.lit("存续")})),
-        (ok & ~F.col("scope_match"), row("scope", " 经营范围不符", scope, {"is_scope_matched": F.lit(True)})),
-    ])
+    checks = {
+        "unregistered": (ok & ~F.col("code_valid"), row("unregistered", " 登记代码非法", {"uscc": F.col("uscc")}, {"is_valid_uscc": F.lit(True)})),
+        "dishonest": (ok & F.col("dishonest"), row("dishonest", " 为失信被执行人", {"is_dishonest": F.lit(True)}, {"is_dishonest": F.lit(False)})),
+        "shell": (ok & (F.col("abnormal") | F.col("shell")), row("shell", " 经营状态异常", state, {"operating_status": F.lit("存续")})),
+        "scope": (ok & ~F.col("scope_match"), row("scope", " 经营范围不符", scope, {"is_scope_matched": F.lit(True)})),
+    }
+    return emit_where(facts, [checks[rule] for rule in rules])
+
+
+def profile_findings(
+    documents: DataFrame, invoices: DataFrame, suppliers: DataFrame, rule: str, failures: DataFrame | None = None
+) -> DataFrame:
+    """R13 ("dishonest") or R15 ("shell") alone: both need a conspicuous profile.
+
+    Such profiles are few, so they are picked before invoices are read, and invoices of other suppliers are left out
+    before suppliers are made distinct per document.
+    """
+    profiles = supplier_profiles(suppliers)
+    abnormal = is_abnormal_status(F.col("operating_status"))
+    hit = F.col("is_dishonest") if rule == "dishonest" else F.col("is_shell_company") | abnormal
+    picked = profiles.where(hit)
+    code = F.upper(blank_to_null(F.col("seller_tax_id")))
+    named = invoices.where(blank_to_null(F.col("seller_name")).isNotNull()).withColumn("_code", code)
+    claimed = named.join(picked.select(F.col("uscc").alias("_code")), "_code", "left_semi")
+    corporate = documents.where(F.col("document_type").isin(*P.CORPORATE_TYPES)).select("document_id")
+    facts = document_suppliers(claimed).join(corporate, "document_id").join(picked, "uscc")
+    if failures is not None:
+        failed = failures.where(F.col("error").isNotNull()).select("document_id", "uscc")
+        facts = facts.join(failed, ["document_id", "uscc"], "left_anti")
+    facts = facts.select(
+        "document_id", "uscc", F.coalesce(F.nullif("supplier_name", F.lit("")), "name").alias("supplier_name"),
+        F.lit(None).cast("string").alias("error"), F.col("is_dishonest").alias("dishonest"), "operating_status",
+        abnormal.alias("abnormal"), F.col("is_shell_company").alias("shell"), F.lit("").alias("title"), F.lit("").alias("scope_source"),
+        F.lit(True).alias("scope_match"), F.lit(True).alias("code_valid"),
+    )
+    return supplier_findings(facts, (rule,))
 
 
 def supplier_role_status(facts: DataFrame) -> DataFrame:
