@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docaudit.fixtures.registry import query
 from docaudit.fixtures.views import VIEWS, SparkDialect
+from docaudit.params import DEFAULTS
 from docaudit.streaming import events as E, jobs as J
 
 
@@ -79,27 +80,48 @@ def _(t):
     return J.newest(J.run_available(stream, "update"), ["task_id"])
 
 
-@query("sm4_consume_once", ["v_audit_events"], """
+_ONCE = """
     with a as (select * from (select *, row_number() over (partition by event_id order by occurred_at, seq) as r from v_audit_events) where r = 1)
-    select task_id, audit_version, event_id from (select *, row_number() over (partition by task_id, audit_version order by occurred_at, seq) as q from a) where q = 1""")
-def _(t):
-    return E.consume_once(t.audit_events).select("task_id", "audit_version", "event_id")
+    select task_id, audit_version, event_id from (select *, row_number() over (partition by task_id, audit_version order by occurred_at, seq) as q from a) where q = 1"""
 
 
-@query("sm4_consume_once_stream")
+@query("sm4_consume_once", ["v_audit_events"], _ONCE)
 def _(t):
-    stream = E.consume_once_stream(event_stream(t), "400 days")
-    return J.run_available(stream, "append").select("task_id", "audit_version", "event_id")
+    return E.consume_once(t.audit_events).select("task_id", "audit_version", "event_id")
 
 
-@query("sm5_completion_stream")
+@query("sm4_consume_once_stream", ["v_audit_events"], _ONCE)
 def _(t):
-    stream = E.normalize_events(event_stream(t)).where("event = 'task_completed'").select(
-        "task_id", "audit_version", "document_id", F.get_json_object("data", "$.overall_risk_level").alias("overall_risk_level"),
-        F.lit("COMPLETE").alias("audit_completeness"), F.lit(False).alias("has_veto"), F.lit(False).alias("invoice_missing"),
-    )
-    landed = J.run_available(stream, "append", J.CompletionHandler(t.documents))
-    return landed.select("task_id", "document_id", "total_amount", "action", "target_state", "workflow_error")
+    landed = J.run_available(event_stream(t), "append", J.ConsumeOnce())
+    return landed.where("accepted").select("task_id", "audit_version", "event_id")
+
+
+def _run_completeness(t):
+    """Completeness per document from its role runs."""
+    bad, weak = F.col("status").isin("SKIPPED", "TIMEOUT", "FAILED"), F.col("status") == "DEGRADED"
+    value = F.when(F.bool_or(bad), F.lit("INCOMPLETE")).when(F.bool_or(weak), F.lit("DEGRADED")).otherwise(F.lit("COMPLETE"))
+    return t.role_runs.groupBy("document_id").agg(value.alias("audit_completeness"))
+
+
+@query("sm5_completion_stream", ["v_audit_events", "v_documents", "v_stored_findings", "v_role_runs"], f"""
+    with e as (select * from (select *, row_number() over (partition by task_id, audit_version order by occurred_at, seq) as r from v_audit_events
+        where event in ('task_completed', 'task_failed')) where r = 1),
+    fl as (select document_id, bool_or(risk_level = 'high' and not is_overridable) as veto, bool_or(rule_code = 'R14_MISSING_INVOICE') as missing from v_stored_findings group by 1),
+    co as (select document_id, case when bool_or(status in ('SKIPPED','TIMEOUT','FAILED')) then 'INCOMPLETE' when bool_or(status = 'DEGRADED') then 'DEGRADED' else 'COMPLETE' end as c from v_role_runs group by 1),
+    x as (select e.*, event = 'task_completed' as ok, d.document_id is not null as known, d.total_amount as amount, json_extract_string(data, '$.overall_risk_level') as lvl,
+        coalesce(veto, false) as veto, coalesce(missing, false) as missing, coalesce(c, 'COMPLETE') as c
+      from e left join v_documents d using (document_id) left join fl using (document_id) left join co using (document_id)),
+    y as (select *, case when ok and not known then 'DOCUMENT_MISSING' when ok and amount is null then 'TOTAL_MISSING' end as err from x),
+    z as (select *, case when not ok or err is not null then null when veto then 'REJECT' when lvl = 'high' and missing then 'NEED_SUPPLEMENT' when c <> 'COMPLETE' or lvl = 'high' then 'MANUAL_REVIEW'
+      when lvl = 'low' and amount <= {DEFAULTS.auto_approve_limit} then 'AUTO_APPROVE' else 'MANUAL_REVIEW' end as action from y)
+    select task_id, audit_version, document_id, case when ok then 'COMPLETED' else 'FAILED' end as status,
+      case when not ok then coalesce(json_extract_string(data, '$.error_detail'), json_extract_string(data, '$.error_code')) end as message, action,
+      case action when 'AUTO_APPROVE' then 'APPROVED' when 'MANUAL_REVIEW' then 'PENDING_APPROVAL' when 'REJECT' then 'REJECTED' when 'NEED_SUPPLEMENT' then 'NEED_SUPPLEMENT' end as target_state, err as workflow_error
+    from z""")
+def _(t):
+    handler = J.CompletionHandler(t.documents, t.stored_findings, _run_completeness(t))
+    landed = J.run_available(event_stream(t), "append", handler)
+    return landed.select("task_id", "audit_version", "document_id", "status", "message", "action", "target_state", "workflow_error")
 
 
 @query("sm6_missed_deadlines", ["v_audit_events"], """
@@ -110,20 +132,20 @@ def _(t):
     return E.missed_deadlines(t.audit_events).select("task_id", F.unix_micros("started_at").alias("started_us"))
 
 
-@query("sm6_deadline_stream")
+@query("sm6_deadline_stream", ["v_audit_events"], """
+    with s as (select task_id, min(occurred_at) as started_at from v_audit_events where event = 'task_started' group by 1)
+    select s.task_id, epoch_us(s.started_at) // 1000 as started_ms from s where not exists (select 1 from v_audit_events e where e.task_id = s.task_id and e.event in ('task_completed', 'task_failed')
+      and e.occurred_at between s.started_at and s.started_at + to_seconds(120)) and s.started_at + to_seconds(720) <= (select max(occurred_at) from v_audit_events)""")
 def _(t):
     J.use_rocksdb(t.spark)
     return J.run_available(J.deadline_stream(event_stream(t)), "append").drop("batch")
 
 
-@query("sm7_verdict_cache", ["v_verdict_requests"], """
-    with recursive miss as (select request_key, min(occurred_at) as occurred_at from v_verdict_requests group by 1
-      union all select m.request_key, (select min(r.occurred_at) from v_verdict_requests r where r.request_key = m.request_key and r.occurred_at > m.occurred_at + to_seconds(86400))
-      from miss m where m.occurred_at is not null)
-    select r.request_key, r.n as requests, r.n - m.n as hits, m.n as misses from (select request_key, count(*) as n from v_verdict_requests group by 1) r
-    join (select request_key, count(occurred_at) as n from miss group by 1) m using (request_key)""")
+@query("sm7_distinct_requests", ["v_verdict_requests"], """
+    select request_key, count(*) as requests, epoch_us(min(occurred_at)) as first_us, epoch_us(max(occurred_at)) as last_us from v_verdict_requests group by 1""")
 def _(t):
-    return E.verdict_statistics(E.verdict_reuse(t.verdict_requests))
+    asked = E.distinct_requests(t.verdict_requests)
+    return asked.select("request_key", "requests", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
 @query("sm8_duplicate_stream")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docaudit.fixtures.oracle_parts import CITY
 from docaudit.fixtures.registry import query
 from docaudit.functions import geo
 from docaudit.operators import analytics as A, lifecycle as L, workflow as W
+from docaudit.session import shared_folder
 from docaudit.sources import sinks, tables
 
 # ---------------------------------------------------------------- sources and sinks
@@ -66,8 +69,8 @@ def _(t):
     return tables.text_fingerprints(t.source("documents"), "doc_id", "text")
 
 
-def _saved(t):
-    """Stored reports, re-audits of every third document and tasks of all reports."""
+def _saved(t, name: str):
+    """A report store that held all reports, after re-audits of every third document were saved into it."""
     old = t.reports.select("task_id", "document_id", "overall_risk_level", "final_score")
     new = t.reports.where("report_id = document_id").select(
         "task_id", "document_id", F.lit("low").alias("overall_risk_level"), F.lit(100).alias("final_score")
@@ -79,28 +82,31 @@ def _saved(t):
     tasks = t.reports.where("report_id % 2 = 0").select(
         "task_id", "document_id", F.lit("RUNNING").alias("status"), F.lit(70).alias("progress_pct")
     )
-    return sinks.save_results(old, found, tasks, new, fresh)
+    store = sinks.ReportStore(t.spark, f"{shared_folder(t.spark)}/docaudit/reports-{uuid.uuid4().hex}")
+    store.load(old, found, tasks)
+    store.save(new, fresh)
+    return store.read(name)
 
 
 @query("io7_report_upsert", ["v_reports"], """
     select task_id, document_id, case when report_id = document_id then 'low' else overall_risk_level end as overall_risk_level,
       case when report_id = document_id then 100 else final_score end as final_score from v_reports""")
 def _(t):
-    return _saved(t)[0]
+    return _saved(t, "reports")
 
 
 @query("io7_finding_replace", ["v_reports", "v_stored_findings"], """
     select 'T' || cast(report_id as varchar) as task_id, finding_id, rule_code from v_stored_findings where report_id <> document_id
     union all select task_id, 'new', 'R01_HEADER_LINE_MISMATCH' from v_reports where report_id = document_id""")
 def _(t):
-    return _saved(t)[1]
+    return _saved(t, "findings")
 
 
 @query("io7_task_completion", ["v_reports"], """
     select task_id, document_id, case when report_id = document_id then 'COMPLETED' else 'RUNNING' end as status,
       case when report_id = document_id then 100 else 70 end as progress_pct from v_reports where report_id = document_id or report_id % 2 = 0""")
 def _(t):
-    return _saved(t)[2]
+    return _saved(t, "tasks")
 
 
 @query("io8_version_snapshot", ["v_documents", "v_lines"], """

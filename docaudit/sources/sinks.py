@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from docaudit.session import materialize
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -36,6 +38,46 @@ def write_partitions(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+class ReportStore:
+    """IO7: stored reports, findings and tasks, each a Parquet table partitioned by a hash of task_id.
+
+    A save reads and rewrites only the partitions its tasks fall into. The merged rows are stored before the overwrite,
+    so a partition is never read while it is replaced, and repeating a save after a failure gives the same tables.
+    """
+
+    BUCKETS = 32
+    TABLES = ("reports", "findings", "tasks")
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64("task_id"), F.lit(self.BUCKETS)).cast("int")
+
+    def _write(self, name: str, df: DataFrame) -> None:
+        write_partitions(df.withColumn("bucket", self._bucket()).repartition("bucket"), f"{self.folder}/{name}", "bucket")
+
+    def load(self, reports: DataFrame, findings: DataFrame, tasks: DataFrame) -> None:
+        """First content of the tables."""
+        for name, df in zip(self.TABLES, (reports, findings, tasks)):
+            self._write(name, df)
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}").drop("bucket")
+
+    def save(self, new_reports: DataFrame, new_findings: DataFrame) -> None:
+        """Replace the reports of these tasks with their findings, and complete the tasks."""
+        touched = [r[0] for r in new_reports.select(self._bucket()).distinct().collect()]  # at most BUCKETS numbers
+        old = [self.spark.read.parquet(f"{self.folder}/{n}").where(F.col("bucket").isin(touched)).drop("bucket") for n in self.TABLES]
+        merged = [materialize(df) for df in save_results(*old, new_reports, new_findings)]
+        for name, df in zip(self.TABLES, merged):
+            self._write(name, df)
+            # A partition left without rows is not among those just written, so it is emptied here.
+            filled = {r[0] for r in df.select(self._bucket()).distinct().collect()}
+            for bucket in set(touched) - filled:
+                df.limit(0).write.mode("overwrite").parquet(f"{self.folder}/{name}/bucket={bucket}")
+
+
 def snapshot_rows(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """IO8: the version snapshot as rows, one for the document and one per line.
 

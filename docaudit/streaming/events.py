@@ -1,13 +1,10 @@
-"""Transforms over audit events that run on a table and on a stream alike, and their stream jobs.
+"""Transforms over audit events that run on a table and, unless they say otherwise, on a stream.
 
 Events: event_id, event, task_id, document_id, audit_version, occurred_at, data (JSON text).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docaudit.functions.ordered import first_per_key
@@ -110,15 +107,6 @@ def consume_once(events: DataFrame) -> DataFrame:
     return first_per_key(once, ["task_id", "audit_version"], [F.col("occurred_at"), F.col("seq")])
 
 
-def consume_once_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """SM4 on a stream: repeated ids, then repeated (task, version), within the watermark."""
-    return (
-        events.withWatermark("occurred_at", delay)
-        .dropDuplicatesWithinWatermark(["event_id"])
-        .dropDuplicatesWithinWatermark(["task_id", "audit_version"])
-    )
-
-
 def missed_deadlines(events: DataFrame, params: AuditParams = DEFAULTS) -> DataFrame:
     """SM6 on a table: started tasks without a terminal event inside the deadline."""
     started = events.where("event = 'task_started'").groupBy("task_id").agg(F.min("occurred_at").alias("started_at"))
@@ -130,37 +118,11 @@ def missed_deadlines(events: DataFrame, params: AuditParams = DEFAULTS) -> DataF
     return started.join(ended.select("task_id").distinct(), "task_id", "left_anti")
 
 
-def _reuse(ttl_us: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, stored = None, 0
-        for batch in batches:
-            hits = []
-            for k, at in zip(batch["request_key"], batch["at_us"]):
-                fresh = k != key or at - stored > ttl_us
-                if fresh:
-                    key, stored = k, at
-                hits.append(not fresh)
-            yield pd.DataFrame({"request_key": batch["request_key"], "event_id": batch["event_id"], "hit": hits})
-
-    return fold
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """SM7 re-aimed: each distinct verdict request once, with how often and when it was made.
 
-
-def verdict_reuse(requests: DataFrame, params: AuditParams = DEFAULTS) -> DataFrame:
-    """SM7: is a verdict request served by an earlier one of the same key inside the time to live.
-
-    A stored verdict keeps its time when it is read, so hits depend on the last miss; requests are
-    sorted per key and streamed through a fold that remembers one time.
+    Asking once per distinct request is what a cache of verdicts saves; the cache itself is not rebuilt.
     """
-    return (
-        requests.select("request_key", "event_id", F.unix_micros("occurred_at").alias("at_us"))
-        .repartition("request_key").sortWithinPartitions("request_key", "at_us", "event_id")
-        .mapInPandas(_reuse(params.verdict_ttl_s * 1_000_000), "request_key bigint, event_id bigint, hit boolean")
-    )
-
-
-def verdict_statistics(reused: DataFrame) -> DataFrame:
-    """Requests, hits, misses and hit rate per key."""
-    hits = F.count_if("hit")
-    return reused.groupBy("request_key").agg(
-        F.count(F.lit(1)).alias("requests"), hits.alias("hits"), (F.count(F.lit(1)) - hits).alias("misses"),
+    return requests.groupBy("request_key").agg(
+        F.count(F.lit(1)).alias("requests"), F.min("occurred_at").alias("first_at"), F.max("occurred_at").alias("last_at")
     )

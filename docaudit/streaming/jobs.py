@@ -9,10 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docaudit.functions.ordered import first_per_key
 from docaudit.functions.scalars import identity_key
 from docaudit.params import DEFAULTS, AuditParams
 from docaudit.plans import decide
-from docaudit.session import shared_folder
+from docaudit.schemas import names
+from docaudit.session import materialize, shared_folder
+from docaudit.sources.sinks import ReportStore
 from docaudit.streaming.events import TERMINAL
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,22 +26,25 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
-def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, str], None] | None = None) -> DataFrame:
+def run_available(
+    stream: DataFrame, mode: str, handle: Callable[[DataFrame, str, DataFrame], None] | None = None, folder: str | None = None
+) -> DataFrame:
     """Process what the source holds now; every micro-batch becomes one partition of a table.
 
-    A repeated batch overwrites its own folder, so a restart does not duplicate rows.
+    ``folder`` names the job: it holds the output and the checkpoint. A job run again in its folder goes on where it
+    stopped; a batch repeated after a failure overwrites its own partition, so nothing is doubled. Without a folder the
+    job is a new one. ``handle`` gets the batch, the path to write to, and the rows landed by earlier batches.
     """
     spark = stream.sparkSession
-    root = shared_folder(spark)
-    folder = f"{root.rstrip('/')}/docaudit-stream/{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark).rstrip('/')}/docaudit-stream/{uuid.uuid4().hex}"
     # A source without rows runs no batch; the empty part keeps the result readable.
     columns = _landed(stream, handle)
-    spark.createDataFrame([], columns).drop("batch").write.parquet(f"{folder}/out/batch=-1")
+    spark.createDataFrame([], columns).drop("batch").write.mode("ignore").parquet(f"{folder}/out/batch=-1")
 
     def land(batch: DataFrame, batch_id: int) -> None:
         target = f"{folder}/out/batch={batch_id}"
         if handle:
-            handle(batch, target)
+            handle(batch, target, spark.read.schema(columns).parquet(f"{folder}/out").where(F.col("batch") < batch_id))
         else:
             batch.write.mode("overwrite").parquet(target)
 
@@ -50,6 +56,27 @@ def run_available(stream: DataFrame, mode: str, handle: Callable[[DataFrame, str
     return spark.read.schema(columns).parquet(f"{folder}/out")
 
 
+class ConsumeOnce:
+    """SM4: which events are consumed, remembered for ever in the landed table itself.
+
+    Of a batch the first event per id counts, then the first per (task, version); ids and pairs that earlier batches
+    consumed are left out. No watermark, so no event is too late.
+    """
+
+    schema = "event_id string, task_id string, audit_version int, occurred_at timestamp, seq bigint, accepted boolean"
+
+    def __call__(self, batch: DataFrame, target: str, earlier: DataFrame) -> None:
+        order = [F.col("occurred_at"), F.col("seq")]
+        once = first_per_key(batch.select("event_id", "task_id", "audit_version", "occurred_at", "seq"), ["event_id"], order)
+        new = once.join(earlier.select("event_id"), "event_id", "left_anti")
+        taken = earlier.where("accepted").select("task_id", "audit_version")
+        first = first_per_key(new, ["task_id", "audit_version"], order).join(taken, ["task_id", "audit_version"], "left_anti")
+        marked = new.join(first.select("event_id", F.lit(True).alias("_first")), "event_id", "left")
+        marked.select(
+            "event_id", "task_id", "audit_version", "occurred_at", "seq", F.coalesce("_first", F.lit(False)).alias("accepted")
+        ).write.mode("overwrite").parquet(target)
+
+
 def _landed(stream: DataFrame, handle) -> str:
     columns = handle.schema if handle else ", ".join(f"`{n}` {t}" for n, t in stream.dtypes)
     return f"{columns}, batch bigint"
@@ -171,36 +198,60 @@ def duplicate_stream(
 
 
 class CompletionHandler:
-    """SM5: per micro-batch of completed audits store the reports, then decide.
+    """SM5: per micro-batch of ended audits store the reports, then decide.
 
-    A report is kept even when no decision can be made; the reason goes to ``workflow_error``. The
-    batch folder is overwritten as a whole, so a retry is idempotent.
+    The first terminal event of a (task, version) counts, once for ever: what earlier batches landed is left out. A
+    failed audit marks its task FAILED with the message of its event. A completed one gets a decision from the stored
+    ``findings`` (document_id, rule_code, risk_level, is_overridable) and ``completeness`` (document_id,
+    audit_completeness); its report is kept even when no decision can be made, with the reason in ``workflow_error``.
+    With a ``store`` the reports are saved there too. A retry overwrites the batch and repeats the save with the same rows.
     """
 
     schema = (
-        "task_id string, document_id bigint, overall_risk_level string, audit_completeness string, total_amount decimal(14,2),"
-        " has_veto boolean, invoice_missing boolean, has_report boolean, action string, target_state string,"
-        " required_nodes array<string>, workflow_error string"
+        "task_id string, audit_version int, document_id bigint, status string, message string, overall_risk_level string,"
+        " audit_completeness string, total_amount decimal(14,2), has_veto boolean, invoice_missing boolean,"
+        " has_report boolean, action string, target_state string, required_nodes array<string>, workflow_error string"
     )
 
-    def __init__(self, documents: DataFrame, params: AuditParams = DEFAULTS):
-        self.documents, self.params = documents, params
-
-    def __call__(self, batch: DataFrame, target: str) -> None:
-        self.completed(batch).write.mode("overwrite").parquet(target)
-
-    def completed(self, batch: DataFrame) -> DataFrame:
-        """Reports of a batch (task_id, document_id, audit_version, occurred_at, seq, overall_risk_level,
-        audit_completeness, has_veto, invoice_missing) with their decision."""
-        known = self.documents.select("document_id", "total_amount")
-        reports = batch.dropDuplicates(["task_id", "audit_version"]).select(
-            "task_id", "document_id", "overall_risk_level", "audit_completeness", "has_veto", "invoice_missing"
+    def __init__(
+        self, documents: DataFrame, findings: DataFrame, completeness: DataFrame, params: AuditParams = DEFAULTS,
+        store: ReportStore | None = None,
+    ):
+        self.documents, self.params, self.store = documents, params, store
+        self.flags = findings.groupBy("document_id").agg(*decide.veto_counts())
+        self.completeness = completeness.select("document_id", "audit_completeness")
+
+    def __call__(self, batch: DataFrame, target: str, earlier: DataFrame) -> None:
+        done = materialize(self.ended(batch.join(earlier.select("task_id", "audit_version"), ["task_id", "audit_version"], "left_anti")))
+        if self.store:
+            reports = done.where("has_report").groupBy("task_id").agg(
+                F.max_by(F.struct("document_id", "overall_risk_level"), "audit_version").alias("_r")
+            ).select("task_id", "_r.*")
+            self.store.save(reports, reports.sparkSession.createDataFrame([], "task_id string"))
+        done.write.mode("overwrite").parquet(target)
+
+    def ended(self, batch: DataFrame) -> DataFrame:
+        """One row per ended (task, version) of audit events (task_id, audit_version, document_id, event, occurred_at,
+        seq, data) with its report and decision."""
+        terminal = batch.where(F.col("event").isin(*TERMINAL))
+        first = first_per_key(terminal, ["task_id", "audit_version"], [F.col("occurred_at"), F.col("seq")])
+        field = lambda name: F.get_json_object("data", f"$.{name}")
+        known = self.documents.select("document_id", "total_amount", F.lit(True).alias("_known"))
+        facts = (
+            first.select(
+                "task_id", "audit_version", "document_id",
+                (F.col("event") == "task_completed").alias("has_report"),
+                F.coalesce(field("error_detail"), field("error_code")).alias("message"),
+                field("overall_risk_level").alias("overall_risk_level"),
+            )
+            .join(known, "document_id", "left").join(self.flags, "document_id", "left").join(self.completeness, "document_id", "left")
+            .withColumn("status", F.when(F.col("has_report"), F.lit("COMPLETED")).otherwise(F.lit("FAILED")))
+            .withColumn("message", F.when(~F.col("has_report"), F.col("message")))
         )
-        facts = reports.join(known.withColumn("_known", F.lit(True)), "document_id", "left").withColumn("has_report", F.lit(True))
-        error = F.when(F.col("_known").isNull(), F.lit("DOCUMENT_MISSING")).when(
-            F.col("total_amount").isNull(), F.lit("TOTAL_MISSING")
+        error = F.when(F.col("has_report") & F.col("_known").isNull(), F.lit("DOCUMENT_MISSING")).when(
+            F.col("has_report") & F.col("total_amount").isNull(), F.lit("TOTAL_MISSING")
         )
         decided = decide.decide(facts, self.params).withColumn("workflow_error", error)
-        names = ("action", "target_state", "required_nodes")
-        decided = decided.withColumns({n: F.when(F.col("workflow_error").isNull(), F.col(n)) for n in names})
-        return decided.select(*[part.split()[0] for part in self.schema.split(", ")])
+        sure = F.col("has_report") & F.col("workflow_error").isNull()
+        decided = decided.withColumns({n: F.when(sure, F.col(n)) for n in ("action", "target_state", "required_nodes")})
+        return decided.select(*names(self.schema))

@@ -14,7 +14,7 @@ NAMES = (
     "st2_destination_mismatch", "st5_transit_collision", "po1_lodging_over_limit", "su7_scope_deviation", "pl1_audit_plan",
     "rf1_reflection", "sco2_completeness", "de1_decision", "de3_full_audit", "lc3_version_assignment", "lc7_attachment_links",
     "wf1_workflow_start", "da6_daily_trend", "da9_access_check", "da10_citations", "ex15_parse_invoices", "sm1_event_normalization",
-    "sm3_task_status_stream", "sm7_verdict_cache",
+    "sm3_task_status_stream", "sm7_distinct_requests", "sm4_consume_once_stream", "sm5_completion_stream", "io7_report_upsert",
 )
 
 
