@@ -50,7 +50,7 @@ def bounded_sample(df: DataFrame, group: str, n: int) -> DataFrame:
     Counts set how much of the hash range a group needs, so the ordering sees little more than ``n`` rows of a group
     however large it is. The result has at most ``n`` rows a group.
     """
-    counts = df.groupBy(group).agg(F.count("*").alias("rows"))
+    counts = store(df.groupBy(group).agg(F.count("*").alias("rows")))  # stored, so its size is known when the join is planned
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
     few = df.select("doc_id", group).join(counts, group).where(draw <= F.lit(1.5 * n * (1 << 30)) / F.col("rows"))
     order = Window.partitionBy(group).orderBy(draw, "doc_id")
