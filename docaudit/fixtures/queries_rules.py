@@ -182,7 +182,7 @@ _SENSITIVE = "regexp_matches(lower(coalesce(item_desc,'') || coalesce(expense_ty
 @query("sc18_sensitive_spending", ["v_lines"], f"""
     select document_id, bool_or({_SENSITIVE}) as sensitive from v_lines group by document_id""")
 def _(t):
-    return policy.sensitive_documents(t.lines)
+    return t.lines.groupBy("document_id").agg(policy.sensitive_column())
 
 
 @query("sc19_lodging_line", ["v_lines"], """

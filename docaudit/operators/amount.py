@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docaudit.functions.findings import emit, emit_where, finding_row, union_findings
 from docaudit.functions.scalars import safe_decimal
 from docaudit.params import DEFAULTS, AuditParams
 
 
+def line_total_columns() -> list[Column]:
+    """Aggregates over the lines of a document: count, all amounts valid, sum of the valid amounts."""
+    amount = safe_decimal(F.col("amount"))
+    return [
+        F.count(F.lit(1)).alias("line_count"), F.bool_and(amount.isNotNull()).alias("lines_valid"),
+        F.sum(amount).cast("decimal(38,2)").alias("line_sum"),
+    ]
+
+
 def line_totals(lines: DataFrame) -> DataFrame:
-    """Per document: line count, all amounts valid, sum of the valid amounts."""
-    return lines.withColumn("_amount", safe_decimal(F.col("amount"))).groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.bool_and(F.col("_amount").isNotNull()).alias("lines_valid"),
-        F.sum("_amount").cast("decimal(38,2)").alias("line_sum"),
-    )
+    return lines.groupBy("document_id").agg(*line_total_columns())
 
 
 def invoice_totals(invoices: DataFrame) -> DataFrame:
@@ -27,12 +31,16 @@ def invoice_totals(invoices: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(documents: DataFrame, lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Documents with both totals and the two differences; a difference exists only over valid data."""
+def reconcile(documents: DataFrame, lines: DataFrame, invoices: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Documents with both totals and the two differences; a difference exists only over valid data.
+
+    ``totals`` are line totals computed before.
+    """
+    totals = line_totals(lines) if totals is None else totals.select("document_id", "line_count", "lines_valid", "line_sum")
     total = F.col("total_amount")
     return (
         documents.select("document_id", "total_amount")
-        .join(line_totals(lines), "document_id", "left")
+        .join(totals, "document_id", "left")
         .join(invoice_totals(invoices), "document_id", "left")
         .withColumn("line_diff", F.when(F.col("lines_valid"), F.abs(total - F.col("line_sum"))))
         .withColumn("invoice_diff", F.when(F.col("invoices_valid"), F.abs(total - F.col("invoice_sum"))))
