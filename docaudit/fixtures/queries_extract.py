@@ -153,6 +153,9 @@ _TYPE = r"""ty as (select file_id, case when bool_or(contains(text, '专用发
       when bool_or(contains(text, '普通发票')) then '增值税普通发票' when bool_or(regexp_matches(text, '客运|车票|火车')) then '铁路电子客票' else '增值税电子普通发票' end as invoice_type,
       bool_or(regexp_matches(text, '住宿|客房|酒店|宾馆|房费')) as k1, bool_or(regexp_matches(text, '客票|车票|运输|火车|高铁|二等座|机票|滴滴|乘车')) as k2,
       bool_or(regexp_matches(text, '餐饮|餐费|外卖|酒楼|饭店|食品|咖啡')) as k3, bool_or(regexp_matches(text, '技术|服务|软件|运维|开发|咨询')) as k4, bool_or(contains(text, '上海')) as sh from v_tokens group by 1)"""
+_WORDS = "case {c} when '住宿费' then coalesce(seller_name, '') || ' 住宿' when '交通费' then '商务出行客票' when '餐饮费' then coalesce(seller_name, '') || ' 餐饮消费' " \
+    "when '技术服务费' then coalesce(seller_name, '') || ' 技术服务采购' else coalesce(seller_name, '') || ' 采购支出' end"
+_CITY = "case when {c} = '住宿费' and (sh or contains(coalesce(seller_name, ''), '上海')) then '上海' else '北京' end"
 _CATEGORY = "case when k1 or regexp_matches(coalesce(seller_name,''), '酒店|客栈|宾馆') then '住宿费' when k2 then '交通费' when k3 then '餐饮费' when k4 then '技术服务费' else '办公用品' end"
 
 
@@ -161,10 +164,13 @@ def _(t):
     return E.text_flags(t.tokens).select("file_id", E.invoice_type().alias("invoice_type"))
 
 
-@query("ex12_expense_category", ["v_tokens"], f"with {_TYPE}, {_PARTIES} select file_id, {_CATEGORY} as expense_type from ty join pa using (file_id)")
+@query("ex12_expense_category", ["v_tokens"], f"""
+    with {_TYPE}, {_PARTIES}, c as (select *, {_CATEGORY} as c from ty join pa using (file_id))
+    select file_id, c as expense_type, {_WORDS.format(c='c')} as item_desc, cast(file_id / 100 as decimal(38,2)) as amount, {_CITY.format(c='c')} as city_name from c where file_id > 0""")
 def _(t):
     facts = E.text_flags(t.tokens).join(E.party_fields(t.tokens), "file_id")
-    return facts.select("file_id", E.expense_category(F.lit(1), F.col("seller_name.value"))[0].alias("expense_type"))
+    line = E.recommended_line(F.col("file_id").cast("decimal(36,0)"), F.col("seller_name.value"))
+    return facts.select("file_id", line.alias("line")).where("line is not null").select("file_id", "line.*")
 
 
 @query("ex13_train_detection", ["v_tokens", "v_tickets"], r"""
@@ -208,7 +214,7 @@ _PARSE = f"""{_TRIPLES}, {_FALL}, {_NUMBERS}, {_PARTIES}, {_TYPE},
       case when ty.file_id is null then 'OCR_PARSE_FAILED' else concat_ws(',', case when total_cents is null then 'INVOICE_TOTAL_AMOUNT_MISSING' end,
         case when coalesce(untaxed_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_UNTAXED_AMOUNT_MISSING' end,
         case when coalesce(tax_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_TAX_AMOUNT_MISSING' end, case when number is null then 'INVOICE_NUMBER_MISSING' end) end as quality_issues,
-      case when total_cents > 0 then {_CATEGORY} end as expense_type,
+      case when total_cents > 0 then {_CATEGORY} end as expense_type, case when total_cents > 0 then {_WORDS.format(c='(' + _CATEGORY + ')')} end as item_desc,
       case when total_cents > 0 then case when {_CATEGORY} = '住宿费' and (sh or contains(coalesce(seller_name, ''), '上海')) then '上海' else '北京' end end as expense_city,
       case when number is not null and total_cents is not null then sha256(coalesce(nc.code, 'NONE') || '#' || number || '#' || cast(cast(total_cents / 100 as decimal(38,2)) as varchar) || '#' || coalesce(dd.issue_date, 'UNKNOWN')) end as invoice_hash
     from ff left join ty using (file_id) left join nc using (file_id) left join amt using (file_id) left join pa using (file_id) left join dd using (file_id)""")
@@ -219,7 +225,7 @@ def _(t):
     return E.parse_invoices(t.stored("tokens"), files).select(
         "file_id", "invoice_code", "invoice_number", "invoice_type", "total_amount", "untaxed_amount", "tax_amount", "tax_rate",
         "seller_name", "seller_tax_id", "buyer_name", "buyer_tax_id", "issue_date", "parse_status", "quality_issues",
-        "expense_type", "expense_city", "invoice_hash",
+        "expense_type", F.col("line.item_desc").alias("item_desc"), "expense_city", "invoice_hash",
     )
 
 

@@ -109,11 +109,17 @@ def _(t):
     return _saved(t, "tasks")
 
 
-@query("io8_version_snapshot", ["v_documents", "v_lines"], """
-    select document_id, current_version as version_no, 'document' as part, '' as line_key from v_documents
-    union all select l.document_id, d.current_version, 'line', l.line_key from v_lines l join v_documents d using (document_id)""")
+@query("io8_version_snapshot", ["v_documents", "v_lines", "v_attachments"], """
+    select document_id, current_version as version_no, 'document' as part, '' as part_key, cast(json_object('document_no', document_no, 'document_type', document_type, 'title', title,
+      'total_amount', cast(total_amount as varchar), 'currency', 'CNY', 'status', status, 'current_version', current_version, 'is_manual_override', document_id % 5 = 0) as varchar) as payload from v_documents
+    union all select l.document_id, d.current_version, 'line', l.line_key, cast(json_object('line_no', l.line_no, 'expense_type', l.expense_type, 'item_desc', l.item_desc, 'amount', l.amount,
+      'city_name', l.city_name) as varchar) from v_lines l join v_documents d using (document_id)
+    union all select a.document_id, d.current_version, 'attachment', a.attachment_key, cast(json_object('file_name', string_split(a.file_path, '/')[-1], 'file_hash', a.file_hash,
+      'file_size', cast(length(a.file_path) as bigint)) as varchar) from v_attachments a join v_documents d using (document_id)""")
 def _(t):
-    return sinks.snapshot_rows(t.documents, t.lines).select("document_id", "version_no", "part", "line_key")
+    documents = t.documents.withColumns({"currency": F.lit("CNY"), "is_manual_override": F.col("document_id") % 5 == 0})
+    attachments = t.attachments.withColumn("file_size_bytes", F.length("file_path").cast("bigint"))
+    return sinks.snapshot_rows(documents, t.lines, attachments)
 
 
 @query("io9_city_usage", ["v_points"], f"""
@@ -270,7 +276,30 @@ def _(t):
     return W.assignees(chosen, t.nodes, t.users, _role_users(t)).select("document_id", "node_id", "assignee_id")
 
 
-@query("wf3_workflow_replay")
+@query("wf3_workflow_replay", ["v_actions"], """
+    with recursive ins as materialized (select instance_id, min(operator_id) as applicant from v_actions group by 1),
+    a as materialized (select v.*, applicant, row_number() over (partition by instance_id order by seq) as r from v_actions v join ins using (instance_id)),
+    w as (
+      select instance_id, cast(0 as bigint) as r, cast(null as bigint) as seq, cast(null as varchar) as action, cast(null as varchar) as err, 'RUNNING' as st, 'PENDING_APPROVAL' as doc,
+        false as appr, 1 as ord, cast(1 + instance_id % 4 as bigint) as cur, cast([] as bigint[]) as stack, [cast(1 + instance_id % 4 as bigint)] as visited from ins
+      union all
+      select instance_id, r, seq, action, err,
+        case when err is not null then st when action = 'REJECT' then 'TERMINATED' when action = 'REVOKE' then 'CANCELLED' when done then 'COMPLETED' else st end,
+        case when err is not null then doc when action = 'REJECT' then 'REJECTED' when action = 'REVOKE' then 'CANCELLED' when done then 'APPROVED' else doc end,
+        appr or (err is null and (action = 'APPROVE' or (action = 'ADD_SIGN' and kind = 'AFTER'))),
+        case when moved then ord + 1 else ord end,
+        case when err is not null then cur when action in ('REJECT', 'REVOKE') or done then null when moved then 1 + (instance_id + ord) % 4 when action = 'APPROVE' then stack[-1] else target end,
+        case when err is not null then stack when action = 'APPROVE' then stack[:-2] when action = 'ADD_SIGN' and kind = 'BEFORE' then list_append(stack, cur) when action in ('TRANSFER', 'ADD_SIGN') then [] else stack end,
+        case when err is not null then visited when moved then [1 + (instance_id + ord) % 4] when action in ('TRANSFER', 'ADD_SIGN') then list_append(visited, target) else visited end
+      from (select *, err is null and action = 'APPROVE' and len(stack) = 0 and ord >= 2 as done, err is null and action = 'APPROVE' and len(stack) = 0 and ord < 2 as moved from (
+        select w.instance_id, a.r, a.seq, a.action, a.target_user_id as target, a.add_sign_type as kind, w.st, w.doc, w.appr, w.ord, w.cur, w.stack, w.visited,
+          case when w.cur is null then 'TASK_CLOSED' when a.operator_id <> case when a.action = 'REVOKE' then a.applicant else w.cur end then 'NOT_ALLOWED'
+            when a.action in ('TRANSFER', 'ADD_SIGN') and a.target_user_id is null then 'TARGET_MISSING' when a.action in ('TRANSFER', 'ADD_SIGN') and a.target_user_id = a.operator_id then 'TARGET_IS_SELF'
+            when a.action = 'TRANSFER' and list_contains(w.visited, a.target_user_id) then 'TRANSFER_LOOP'
+            when a.action = 'ADD_SIGN' and coalesce(a.add_sign_type not in ('BEFORE', 'AFTER'), true) then 'ADD_SIGN_TYPE_MISSING'
+            when a.action = 'REVOKE' and w.appr then 'REVOKE_AFTER_APPROVAL' end as err
+        from w join a on a.instance_id = w.instance_id and a.r = w.r + 1)))
+    select instance_id, seq, action, err is null as accepted, err as error, st as instance_status, doc as document_status, cast(ord as int) as current_order, cur as pending_assignee from w where r > 0""")
 def _(t):
     instances = t.actions.groupBy("instance_id").agg(F.min("operator_id").alias("applicant_id")).withColumn(
         "assignees", F.expr("array(cast(1 + instance_id % 4 as bigint), cast(1 + (instance_id + 1) % 4 as bigint))")
@@ -392,6 +421,22 @@ def _(t):
     return A.list_page(listed, 2, 20).select("document_id", "status")
 
 
+@query("da8_listing_total", ["v_documents"], """
+    select count(*) as n from v_documents where (status <> 'DRAFT' or applicant_id = 8) and document_type = 'CORP_PAYMENT'""")
+def _(t):
+    return A.listing_total(A.list_documents(t.documents, t.reports, user_id=8, roles=("FINANCE",), document_type="CORP_PAYMENT"))
+
+
+@query("da8_listing_after", ["v_documents"], """
+    with l as (select * from v_documents where (status <> 'DRAFT' or applicant_id = 8) and document_type = 'CORP_PAYMENT'),
+    m as (select created_at as stamp, document_id as id from l order by created_at desc, document_id desc limit 1 offset 39)
+    select document_id, status from l, m where created_at < stamp or (created_at = stamp and document_id < id) order by created_at desc, document_id desc limit 20""")
+def _(t):
+    listed = A.list_documents(t.documents, t.reports, user_id=8, roles=("FINANCE",), document_type="CORP_PAYMENT")
+    last = A.list_page(listed, 40, 1).first()  # the last row of the page before
+    return A.list_after(listed, last and last["created_at"], last and last["document_id"], 20).select("document_id", "status")
+
+
 _ASKED = "rq as (select distinct l_suppkey as user_id, l_orderkey as document_id from lineitem)"
 
 

@@ -137,6 +137,20 @@ def list_page(listed: DataFrame, page: int = 1, page_size: int = 20) -> DataFram
     )
 
 
+def list_after(listed: DataFrame, created_at, document_id: int | None, page_size: int = 20) -> DataFrame:
+    """The rows after a known one, newest first: a task keeps ``page_size`` rows however deep the page lies."""
+    if document_id is None:
+        return list_page(listed, 1, page_size)
+    at = F.lit(created_at)
+    later = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("document_id") < document_id))
+    return list_page(listed.where(later), 1, page_size)
+
+
+def listing_total(listed: DataFrame) -> DataFrame:
+    """Number of rows of a listing, for its pages."""
+    return listed.agg(F.count(F.lit(1)).alias("n"))
+
+
 def user_roles(users: DataFrame, memberships: DataFrame) -> DataFrame:
     """DA12: one row per user with a flag per role and their number."""
     flags = [F.bool_or(F.col("role_code") == r).alias(f"is_{r.lower()}") for r in ("ADMIN", "CFO", "FINANCE", "MANAGER")]

@@ -78,20 +78,39 @@ class ReportStore:
                 df.limit(0).write.mode("overwrite").parquet(f"{self.folder}/{name}/bucket={bucket}")
 
 
-def snapshot_rows(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """IO8: the version snapshot as rows, one for the document and one per line.
+def _payload(df: DataFrame, fields: dict[str, str | None]):
+    """JSON text of named columns; a field whose column the table lacks is null, decimals are text."""
+    parts = []
+    for name, column in fields.items():
+        known = (column or name) in df.columns
+        value = F.col(column or name) if known else F.lit(None).cast("string")
+        if known and df.schema[column or name].dataType.typeName() == "decimal":
+            value = value.cast("string")
+        parts.append(value.alias(name))
+    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("payload")
+
+
+def snapshot_rows(documents: DataFrame, lines: DataFrame, attachments: DataFrame) -> DataFrame:
+    """IO8: the version snapshot as rows: one for the document, one per line, one per attachment.
 
     The reference packs a document into one JSON value. A document may hold very many lines, so the
-    payload is stored as ordered JSON rows under (document_id, version_no, part).
+    payload is stored as ordered JSON rows under (document_id, version_no, part, part_key).
+    ``attachments``: document_id, attachment_key, file_path, file_hash, file_size_bytes.
     """
+    names = ("document_no", "document_type", "title", "total_amount", "currency", "status", "current_version", "is_manual_override")
     head = documents.select(
-        "document_id", F.col("current_version").alias("version_no"), F.lit("document").alias("part"),
-        F.lit("").alias("line_key"),
-        F.to_json(F.struct("document_no", "title", F.col("total_amount").cast("double").alias("total_amount"))).alias("payload"),
+        "document_id", F.col("current_version").alias("version_no"), F.lit("document").alias("part"), F.lit("").alias("part_key"),
+        _payload(documents, dict.fromkeys(names)),
     )
     versions = documents.select("document_id", F.col("current_version").alias("version_no"))
-    body = lines.join(versions, "document_id").select(
-        "document_id", "version_no", F.lit("line").alias("part"), "line_key",
-        F.to_json(F.struct("line_no", "expense_type", F.expr("try_cast(trim(amount) as double)").alias("amount"))).alias("payload"),
+    body = lines.select(
+        "document_id", F.lit("line").alias("part"), F.col("line_key").alias("part_key"),
+        _payload(lines, dict.fromkeys(("line_no", "expense_type", "item_desc", "amount", "city_name"))),
+    )
+    files = attachments.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
+    proof = files.select(
+        "document_id", F.lit("attachment").alias("part"), F.col("attachment_key").alias("part_key"),
+        _payload(files, {"file_name": None, "file_hash": None, "file_size": "file_size_bytes"}),
     )
-    return head.unionByName(body)
+    parts = body.unionByName(proof).join(versions, "document_id")
+    return head.unionByName(parts)
