@@ -224,7 +224,11 @@ def destination_mismatch(segments: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def hotel_before_arrival(segments: DataFrame, lines: DataFrame) -> DataFrame:
-    """R09: lodging in the arrival city dated before the arrival."""
+    """R09: lodging in the arrival city dated before the arrival.
+
+    A stay can only precede an arrival if it starts before its document's last one, and the other way round, so two
+    aggregates leave out most rows before stays meet arrivals.
+    """
     stays = lines.where(
         is_lodging(F.col("expense_type"), F.col("item_desc"))
         & (F.coalesce("city_name", F.lit("")) != "")
@@ -237,7 +241,11 @@ def hotel_before_arrival(segments: DataFrame, lines: DataFrame) -> DataFrame:
         "document_id", "segment_id", "_arr",
         F.coalesce(F.to_date("arrival_time"), "travel_date").alias("arrival_day"),
     ).where(F.col("arrival_day").isNotNull())
-    hits = stays.join(arrivals, "document_id").where(
+    last = arrivals.groupBy("document_id").agg(F.max("arrival_day").alias("_last"))
+    early = stays.join(last, "document_id").where(F.col("start_date") < F.col("_last")).drop("_last")
+    first = early.groupBy("document_id").agg(F.min("start_date").alias("_first"))
+    late = arrivals.join(first, "document_id").where(F.col("arrival_day") > F.col("_first")).drop("_first")
+    hits = early.join(late, "document_id").where(
         (F.col("start_date") < F.col("arrival_day")) & _touches(F.col("_city"), F.col("_arr"))
     )
     return emit(hits, finding_row(
@@ -271,7 +279,8 @@ def segment_overlaps(segments: DataFrame) -> DataFrame:
 def transit_collisions(segments: DataFrame, points: DataFrame, params: AuditParams = DEFAULTS) -> DataFrame:
     """R09: a point during a segment, 100 km or more from both ends; an unknown end is far away.
 
-    Segments are spread over the days they touch, so the join has the day as second equality key.
+    Segments first meet the days on which their document has points at all, so a mistyped year makes no rows; the join
+    with the points then has the day as second equality key.
     """
     dep, arr = geo.city_rank(F.col("departure_city")), geo.city_rank(F.col("arrival_city"))
     trips = (
@@ -280,13 +289,14 @@ def transit_collisions(segments: DataFrame, points: DataFrame, params: AuditPara
             "document_id", "segment_id", "departure_time", "arrival_time",
             geo.city_latitude(dep).alias("_dlat"), geo.city_longitude(dep).alias("_dlng"),
             geo.city_latitude(arr).alias("_alat"), geo.city_longitude(arr).alias("_alng"),
-            F.explode(F.sequence(F.to_date("departure_time"), F.to_date("arrival_time"))).alias("_day"),
         )
     )
     seen = points.select(
         F.col("scope_id").alias("document_id"), "point_id", "event_time", "city_name", "latitude", "longitude",
         F.to_date("event_time").alias("_day"),
     )
+    days = seen.select("document_id", "_day").distinct()
+    trips = trips.join(days, "document_id").where(F.col("_day").between(F.to_date("departure_time"), F.to_date("arrival_time")))
 
     def far(lat: str, lng: str) -> Column:
         km = geo.distance_km(F.col("latitude"), F.col("longitude"), F.col(lat), F.col(lng))
