@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docaudit.fixtures.oracle_parts import IDENTITY
 from docaudit.fixtures.registry import query
 from docaudit.fixtures.views import VIEWS, SparkDialect
 from docaudit.params import DEFAULTS
@@ -148,14 +149,25 @@ def _(t):
     return asked.select("request_key", "requests", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
-@query("sm8_duplicate_stream")
+@query("sm8_duplicate_stream", ["v_invoices", "v_documents"], f"""
+    with k as (select i.document_id, invoice_key, {IDENTITY} as identity_key, cast(coalesce(i.total_amount, 0) as decimal(38,2)) as amount,
+        d.status in ({', '.join(f"'{x}'" for x in DEFAULTS.active_statuses)}) as active from v_invoices i join v_documents d using (document_id)),
+    c as materialized (select * from k where identity_key is not null),
+    f as (select identity_key, document_id, min(invoice_key) as fk, arg_min(amount, invoice_key) as fa from c group by 1, 2),
+    ac as (select identity_key, document_id, arg_max(amount, invoice_key) as aa from c where active group by 1, 2),
+    tp as (select *, row_number() over (partition by identity_key order by document_id desc) as rn from ac),
+    x as (select c.*, fk < invoice_key as later, fa, case when t1.document_id <> c.document_id then t1.document_id when t2.document_id <> c.document_id then t2.document_id end as od,
+        case when t1.document_id <> c.document_id then t1.aa when t2.document_id <> c.document_id then t2.aa end as oa
+      from c join f using (identity_key, document_id) left join tp t1 on t1.identity_key = c.identity_key and t1.rn = 1 left join tp t2 on t2.identity_key = c.identity_key and t2.rn = 2)
+    select document_id, invoice_key, identity_key, case when later then 'inside' else 'across' end as kind, case when later then document_id else od end as conflict_document,
+      case when later then fa else oa end <> amount as amount_changed from x where later or od is not null""")
 def _(t):
-    J.use_rocksdb(t.spark)
     claims = t.invoices.join(t.documents.select("document_id", "document_no", "status"), "document_id")
     folder = f"{J.shared_folder(t.spark)}/docaudit/claims-{J.uuid.uuid4().hex}"
-    claims.write.parquet(folder)
+    claims.coalesce(8).write.parquet(folder)
     stream = t.spark.readStream.schema(claims.schema).parquet(folder)
-    return J.run_available(J.duplicate_stream(stream), "update").drop("batch")
+    landed = J.run_available(stream, "append", J.DuplicateHandler()).where("kind is not null")
+    return landed.select("document_id", "invoice_key", "identity_key", "kind", "conflict_document", "amount_changed")
 
 
 @query("io10_event_stream", ["v_audit_events"], "select seq, event_id, event, task_id from v_audit_events")

@@ -136,65 +136,56 @@ def deadline_stream(events: DataFrame, delay: str = "10 minutes", params: AuditP
     )
 
 
-_CLAIM = "document_id bigint, document_no string, amount string"
-DUPLICATE_SCHEMA = (
-    "document_id bigint, invoice_key string, identity_key string, kind string, conflict_document bigint, amount_changed boolean"
-)
+class DuplicateHandler:
+    """SM8: every micro-batch of invoices (with document_no and status of their document) judged like the table rules.
 
+    The landed table holds every claim for ever, so it is the history a batch is judged against: a claim after the
+    document's first one of its key is ``inside``; a first claim is ``across`` when another active document, stored
+    before or in the same batch, claims the key, and the highest such document is named. Other claims have no kind.
+    Only keys of the batch are read from the history; hot keys are reduced by aggregates before they meet the batch.
+    """
 
-class DuplicateProcessor(StatefulProcessor):
-    """SM8: one key's claims. The two newest active documents decide conflicts across documents;
-    the first amount per document, kept in map state, decides repeats inside one."""
-
-    def __init__(self, ttl_ms: int | None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getMapState("first", "document_id bigint", "amount string", self.ttl_ms)
-        self.newest = handle.getValueState("newest", _CLAIM, self.ttl_ms)
-        self.second = handle.getValueState("second", _CLAIM, self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        top = [s.get() for s in (self.newest, self.second) if s.exists()]
-        for frame in rows:
-            out = []
-            for row in frame.sort_values(["document_id", "invoice_key"]).itertuples(index=False):
-                doc = (int(row.document_id),)
-                if self.first.containsKey(doc):
-                    before = self.first.getValue(doc)[0]
-                    out.append((doc[0], row.invoice_key, key[0], "inside", doc[0], before != row.amount))
-                    continue
-                self.first.updateValue(doc, (row.amount,))
-                other = next((c for c in top if c[0] != doc[0]), None)
-                if other is not None:
-                    out.append((doc[0], row.invoice_key, key[0], "across", int(other[0]), other[2] != row.amount))
-                if row.is_active:
-                    claims = {c[0]: c for c in top} | {doc[0]: (doc[0], row.document_no, row.amount)}
-                    top = sorted(claims.values(), key=lambda c: -c[0])[:2]
-            if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in DUPLICATE_SCHEMA.split(", ")])
-        for state, claim in zip((self.newest, self.second), top):
-            state.update(claim)
-
-    def close(self) -> None:
-        pass
+    schema = (
+        "document_id bigint, invoice_key string, identity_key string, amount decimal(38,2), is_active boolean,"
+        " kind string, conflict_document bigint, amount_changed boolean"
+    )
+    _CLAIM = ("document_id", "invoice_key", "identity_key", "amount", "is_active")
 
+    def __init__(self, params: AuditParams = DEFAULTS):
+        self.params = params
 
-def duplicate_stream(
-    invoices: DataFrame, ttl_days: int | None = None, params: AuditParams = DEFAULTS
-) -> DataFrame:
-    """Duplicate invoices as they arrive (document_id, document_no, status and invoice columns in one
-    stream). With ``ttl_days`` "ever claimed" becomes "claimed within that time"; needs use_rocksdb."""
-    keyed = invoices.select(
-        identity_key(F.col("invoice_code"), F.col("invoice_number")).alias("identity_key"),
-        "document_id", "document_no", "invoice_key",
-        F.coalesce("total_amount", F.lit(0)).cast("decimal(38,2)").cast("string").alias("amount"),
-        F.col("status").isin(*params.active_statuses).alias("is_active"),
-    ).where(F.col("identity_key").isNotNull())
-    ttl = None if ttl_days is None else ttl_days * 86_400_000
-    return keyed.groupBy("identity_key").transformWithStateInPandas(
-        DuplicateProcessor(ttl), DUPLICATE_SCHEMA, "Update", "ProcessingTime" if ttl else "None"
-    )
+    def __call__(self, batch: DataFrame, target: str, earlier: DataFrame) -> None:
+        self.judged(batch, earlier).write.mode("overwrite").parquet(target)
+
+    def judged(self, batch: DataFrame, earlier: DataFrame) -> DataFrame:
+        new = batch.select(
+            "document_id", "invoice_key", identity_key(F.col("invoice_code"), F.col("invoice_number")).alias("identity_key"),
+            F.coalesce("total_amount", F.lit(0)).cast("decimal(38,2)").alias("amount"),
+            F.coalesce(F.col("status").isin(*self.params.active_statuses), F.lit(False)).alias("is_active"),
+        ).where(F.col("identity_key").isNotNull())
+        before = earlier.select(*self._CLAIM).join(new.select("identity_key").distinct(), "identity_key", "left_semi")
+        claims = before.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
+        per_document = claims.groupBy("identity_key", "document_id").agg(
+            F.min(F.struct("_age", "invoice_key", "amount")).alias("_first"),
+            F.max_by(F.when(F.col("is_active"), F.struct("amount")), F.when(F.col("is_active"), F.struct("_age", "invoice_key"))).alias("_active"),
+        )
+        active = per_document.where(F.col("_active").isNotNull())
+        top = first_per_key(active, ["identity_key"], [F.col("document_id").desc()], 2).groupBy("identity_key").agg(
+            F.max(F.struct("document_id", F.col("_active.amount").alias("amount"))).alias("_newest"),
+            F.min(F.struct("document_id", F.col("_active.amount").alias("amount"))).alias("_older"),
+        )
+        facts = new.join(per_document.drop("_active"), ["identity_key", "document_id"]).join(top, "identity_key", "left")
+        later = (F.col("_first._age") == 0) | (F.col("_first.invoice_key") < F.col("invoice_key"))
+        other = F.when(F.col("_newest.document_id") != F.col("document_id"), F.col("_newest")).when(
+            F.col("_older.document_id") != F.col("document_id"), F.col("_older")
+        )
+        kind = F.when(later, F.lit("inside")).when(other.isNotNull(), F.lit("across"))
+        against = F.when(later, F.col("_first.amount")).otherwise(other["amount"])
+        return facts.select(
+            *self._CLAIM, kind.alias("kind"),
+            F.when(later, F.col("document_id")).otherwise(other["document_id"]).alias("conflict_document"),
+            F.when(kind.isNotNull(), against != F.col("amount")).alias("amount_changed"),
+        )
 
 
 class CompletionHandler:

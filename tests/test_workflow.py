@@ -1,11 +1,10 @@
 """Replay of approval actions, and streams against tables."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from docaudit.operators import workflow as W
-from docaudit.streaming import events as E, jobs as J
+from docaudit.streaming import jobs as J
 
 APPROVE, TRANSFER, SIGN, REJECT, REVOKE = "APPROVE", "TRANSFER", "ADD_SIGN", "REJECT", "REVOKE"
 
@@ -33,13 +32,6 @@ def test_replay(spark, steps, errors, instance, document, pending):
     assert run(spark, *steps) == (errors, instance, document, pending)
 
 
-def test_reuse_survives_batch_borders():
-    frame = pd.DataFrame({"request_key": [1, 1, 1, 2], "event_id": [1, 2, 3, 4], "at_us": [0, 5, 11, 12]})
-    fold = E._reuse(10)
-    split = pd.concat(list(fold(iter([frame[:2], frame[2:]]))))
-    assert split["hit"].tolist() == [False, True, False, False]
-
-
 def test_duplicate_stream_finds_what_the_table_finds(spark, tmp_path):
     from docaudit.operators import invoices as I
 
@@ -47,8 +39,14 @@ def test_duplicate_stream_finds_what_the_table_finds(spark, tmp_path):
         [(1, 5, "APPROVED", 1), (1, 5, "APPROVED", 2), (2, 5, "APPROVED", 1), (3, 6, "DRAFT", 1), (4, 6, "APPROVED", 1)])]
     df = spark.createDataFrame(rows, "document_id long, invoice_key string, invoice_code string, invoice_number string, document_no string, status string, a int").select(
         "*", F.col("a").cast("decimal(14,2)").alias("total_amount"), F.lit("x").alias("issue_date"), F.lit("s").alias("seller_tax_id"), F.lit("n").alias("seller_name"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    J.use_rocksdb(spark)
-    got = J.run_available(J.duplicate_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), "update").collect()
-    assert sorted((r.document_id, r.kind) for r in got) == [(1, "inside"), (2, "across")]
-    assert I.duplicates_inside(df).count() == 1
+    source, job = str(tmp_path / "in"), str(tmp_path / "job")
+    run = lambda: sorted(
+        (r.document_id, r.kind, r.conflict_document, r.amount_changed)
+        for r in J.run_available(spark.readStream.schema(df.schema).parquet(source), "append", J.DuplicateHandler(), job).where("kind is not null").collect()
+    )
+    df.coalesce(1).write.parquet(source)
+    first = [(1, "across", 2, False), (1, "inside", 1, True), (2, "across", 1, True), (3, "across", 4, False)]
+    assert run() == first and I.duplicates_inside(df).count() == 1
+    # A later batch meets the claims of the earlier one; those keep their judgement.
+    df.where("document_id = 1 and a = 1").withColumn("document_id", F.lit(9).cast("long")).coalesce(1).write.mode("append").parquet(source)
+    assert run() == [*first, (9, "across", 2, False)]
