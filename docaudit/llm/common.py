@@ -13,7 +13,7 @@ from docaudit.session import materialize, tune
 #: Rows and bytes in one Arrow batch: what a Python worker holds at once.
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "128",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 #: Stands for a missing doc_id where an order is needed: after every real id.
@@ -65,7 +65,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the text of one is about ``limit`` bytes, or a single longer text."""
     for batch in batches:
         if not batch.num_rows:

@@ -162,7 +162,7 @@ def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
         for v in [*values, None]:
             rows.append(v)
             size += len(v) if isinstance(v, str) else 0
-            if size > 2 << 20 or len(rows) == 512:
+            if size > 1 << 20 or len(rows) == 256:
                 found.append(model.predict(rows))
                 rows, size = [], 0
         if rows:

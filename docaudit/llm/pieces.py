@@ -26,7 +26,7 @@ from docaudit.llm.common import texts
 MARK = 0xFF  # never a byte of UTF-8
 BLANK_SIGN = "▁"
 #: Chunks remembered by a worker, and the longest that is solved in the common array; both cost time only.
-MEMO, TOGETHER = 400_000, 48
+MEMO, TOGETHER = 150_000, 48
 #: An unknown character scores this much below the worst piece.
 UNKNOWN_GAP = 10.0
 
@@ -223,8 +223,8 @@ class PieceModel:
             self.memo.clear()
             new = list(known)
         short = sorted((c for c in new if len(c) <= TOGETHER), key=len)
-        for i in range(0, len(short), 4096):
-            some = short[i : i + 4096]
+        for i in range(0, len(short), 2048):
+            some = short[i : i + 2048]
             self.memo.update(zip(some, self.solve(some), strict=True))
         self.memo.update((c, self.solve_long(c)) for c in new if len(c) > TOGETHER)
         for chunks in split:
