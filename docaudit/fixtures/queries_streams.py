@@ -8,6 +8,8 @@ from docaudit.fixtures.oracle_parts import IDENTITY
 from docaudit.fixtures.registry import query
 from docaudit.fixtures.views import VIEWS, SparkDialect
 from docaudit.params import DEFAULTS
+from docaudit.schemas import EVENTS, names
+from docaudit.sources import tables
 from docaudit.streaming import events as E, jobs as J
 
 
@@ -172,5 +174,7 @@ def _(t):
 
 @query("io10_event_stream", ["v_audit_events"], "select seq, event_id, event, task_id from v_audit_events")
 def _(t):
-    stream = event_stream(t).withWatermark("occurred_at", "10 minutes").select("seq", "event_id", "event", "task_id")
+    folder = f"{J.shared_folder(t.spark)}/docaudit/events-{J.uuid.uuid4().hex}"
+    t.audit_events.select(*names(EVENTS)).write.parquet(folder)
+    stream = tables.read_event_stream(t.spark, folder).select("seq", "event_id", "event", "task_id")
     return J.run_available(stream, "append").drop("batch")

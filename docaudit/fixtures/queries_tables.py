@@ -276,7 +276,7 @@ def _(t):
     return W.assignees(chosen, t.nodes, t.users, _role_users(t)).select("document_id", "node_id", "assignee_id")
 
 
-@query("wf3_workflow_replay", ["v_actions"], """
+_REPLAY = """
     with recursive ins as materialized (select instance_id, min(operator_id) as applicant from v_actions group by 1),
     a as materialized (select v.*, applicant, row_number() over (partition by instance_id order by seq) as r from v_actions v join ins using (instance_id)),
     w as (
@@ -299,14 +299,29 @@ def _(t):
             when a.action = 'ADD_SIGN' and coalesce(a.add_sign_type not in ('BEFORE', 'AFTER'), true) then 'ADD_SIGN_TYPE_MISSING'
             when a.action = 'REVOKE' and w.appr then 'REVOKE_AFTER_APPROVAL' end as err
         from w join a on a.instance_id = w.instance_id and a.r = w.r + 1)))
-    select instance_id, seq, action, err is null as accepted, err as error, st as instance_status, doc as document_status, cast(ord as int) as current_order, cur as pending_assignee from w where r > 0""")
-def _(t):
+"""
+
+
+def _replayed(t):
     instances = t.actions.groupBy("instance_id").agg(F.min("operator_id").alias("applicant_id")).withColumn(
         "assignees", F.expr("array(cast(1 + instance_id % 4 as bigint), cast(1 + (instance_id + 1) % 4 as bigint))")
     )
     return W.replay(t.actions, instances)
 
 
+@query("wf3_workflow_replay", ["v_actions"], _REPLAY + """
+    select instance_id, seq, action, err is null as accepted, err as error, st as instance_status, doc as document_status, cast(ord as int) as current_order, cur as pending_assignee from w where r > 0""")
+def _(t):
+    return _replayed(t)
+
+
+@query("wf3_final_states", ["v_actions"], _REPLAY + """
+    select instance_id, arg_max(st, r) as instance_status, arg_max(doc, r) as document_status, cast(arg_max(ord, r) as int) as current_order,
+      (list(cur order by r desc))[1] as pending_assignee, count(*) filter (err is null) as accepted, count(*) filter (err is not null) as refused from w where r > 0 group by 1""")
+def _(t):
+    return W.final_states(_replayed(t))
+
+
 @query("wf4_action_violations", ["v_actions"], """
     with part as (select instance_id, task_no, user_id, min(seq) as joined from (select instance_id, task_no, operator_id as user_id, seq from v_actions
       union all select instance_id, task_no, target_user_id, seq from v_actions where action = 'TRANSFER' and target_user_id is not null) group by 1, 2, 3),

@@ -60,10 +60,6 @@ def safe_json_object(c: Column) -> Column:
     return F.coalesce(valid(body), valid(cut))
 
 
-def json_field(column: Column, payload: Column, key: str) -> Column:
-    """Column value, or the payload field of that name when the column is empty."""
-    return F.coalesce(F.nullif(column, F.lit("")), F.nullif(F.get_json_object(payload, f"$.{key}"), F.lit("")))
-
 
 def identity_key(code: Column, number: Column) -> Column:
     """CODE#NUMBER, or null when one part is blank."""

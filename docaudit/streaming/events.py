@@ -67,10 +67,6 @@ def normalize_events(events: DataFrame) -> DataFrame:
     })
 
 
-def split_valid(normalized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted events and rejects."""
-    return normalized.where(F.col("error").isNull()), normalized.where(F.col("error").isNotNull())
-
 
 def replay_after(events: DataFrame, requests: DataFrame) -> DataFrame:
     """SM2: events of a task after the requested event id; an unknown id replays all.
