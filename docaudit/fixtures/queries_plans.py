@@ -219,6 +219,22 @@ def _(t):
     return score.completeness(PL.build_plan(_plan_facts(t)), roles)
 
 
+@query("sco3_summary", ["v_documents"], """
+    with f as (select document_id, document_id % 4 as h, document_id % 3 as m, document_id % 5 as l, case document_id % 3 when 0 then 'COMPLETE' when 1 then 'DEGRADED' else 'INCOMPLETE' end as c from v_documents)
+    select document_id, concat_ws('；', '审核完整度 ' || c, '风险评分 ' || greatest(0, 100 - 25 * h - 10 * m - 3 * l) || ' 分', '高危 ' || h || ' 项，中危 ' || m || ' 项，低危 ' || l || ' 项',
+      case c when 'INCOMPLETE' then '未完成的必要环节 amount_agent' when 'DEGRADED' then '降级原因 policy_agent: DEGRADED' end,
+      case when document_id % 2 = 0 then '【标题】' end, case when c = 'INCOMPLETE' then '须人工复审，禁止自动放行' end) as summary from f""")
+def _(t):
+    rest = F.col("document_id") % 3
+    facts = t.documents.select(
+        "document_id", *[(F.col("document_id") % n).alias(f"{x}_count") for x, n in (("high", 4), ("medium", 3), ("low", 5))],
+        F.when(rest == 0, "COMPLETE").when(rest == 1, "DEGRADED").otherwise("INCOMPLETE").alias("audit_completeness"),
+        F.lit("amount_agent").alias("failed_roles"), F.lit("policy_agent: DEGRADED").alias("degraded_reasons"),
+        F.when(F.col("document_id") % 2 == 0, "【标题】").otherwise("").alias("leading"),
+    ).withColumns(score.risk_columns())
+    return facts.select("document_id", score.summary_text().alias("summary"))
+
+
 @query("sco3_leading_findings", ["v_stored_findings"], """
     select document_id, string_agg('【' || title || '】', '；' order by rule_code, subject_key) as leading from (
       select report_id as document_id, rule_code, finding_id as subject_key, title,
@@ -343,11 +359,15 @@ def _(t):
     da as (select *, {ACTION} as action from cp)
     select document_id, lvl as overall_risk_level, cast(greatest(0, 100 - 25 * h - 10 * m - 3 * l) as int) as risk_score, h as high_count, m as medium_count,
       l as low_count, comp as audit_completeness, amount_status, policy_status, anomaly_status, supplier_status, anomaly_reason, action,
+      concat_ws(',', case when amount_status = 'FAILED' then 'amount_agent' end, case when corporate and supplier_status in ('SKIPPED','FAILED') then 'supplier_agent' end) as failed_roles,
+      concat_ws(',', case when amount_status = 'DEGRADED' then 'amount_agent' end, case when policy_status = 'DEGRADED' then 'policy_agent' end,
+        case when anomaly_status = 'DEGRADED' or (anomaly_status = 'SKIPPED' and not contains(anomaly_reason, 'NOT_APPLICABLE')) then 'anomaly_agent' end,
+        case when supplier_status = 'DEGRADED' then 'supplier_agent' end) as degraded_roles,
       {STATE} as target_state, {NODES} as required_nodes from da""")
 def _(t):
     report = audit.audit(audit_inputs(t), with_summary=False).report
     return report.select(
         "document_id", "overall_risk_level", "risk_score", "high_count", "medium_count", "low_count", "audit_completeness",
-        "amount_status", "policy_status", "anomaly_status", "supplier_status", "anomaly_reason", "action", "target_state",
-        F.array_join("required_nodes", ",").alias("required_nodes"),
+        "amount_status", "policy_status", "anomaly_status", "supplier_status", "anomaly_reason", "failed_roles", "degraded_roles",
+        "action", "target_state", F.array_join("required_nodes", ",").alias("required_nodes"),
     )
