@@ -212,8 +212,8 @@ _PARSE = f"""{_TRIPLES}, {_FALL}, {_NUMBERS}, {_PARTIES}, {_TYPE},
       cast(total_cents / 100 as decimal(38,2)) as total_amount, cast(untaxed_cents / 100 as decimal(38,2)) as untaxed_amount, cast(tax_cents / 100 as decimal(38,2)) as tax_amount, tax_rate,
       seller_name, seller_tax_id, buyer_name, buyer_tax_id, dd.issue_date, case when ty.file_id is null then 'FAILED' when total_cents is null or number is null then 'NEED_REVIEW' else 'SUCCESS' end as parse_status,
       case when ty.file_id is null then 'OCR_PARSE_FAILED' else concat_ws(',', case when total_cents is null then 'INVOICE_TOTAL_AMOUNT_MISSING' end,
-        case when coalesce(untaxed_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_UNTAXED_AMOUNT_MISSING' end,
-        case when coalesce(tax_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_TAX_AMOUNT_MISSING' end, case when number is null then 'INVOICE_NUMBER_MISSING' end) end as quality_issues,
+        case when total_cents is not null and coalesce(untaxed_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_UNTAXED_AMOUNT_MISSING' end,
+        case when total_cents is not null and coalesce(tax_status, 'MISSING') = 'MISSING' and not coalesce(conflict, false) then 'INVOICE_TAX_AMOUNT_MISSING' end, case when number is null then 'INVOICE_NUMBER_MISSING' end) end as quality_issues,
       case when total_cents > 0 then {_CATEGORY} end as expense_type, case when total_cents > 0 then {_WORDS.format(c='(' + _CATEGORY + ')')} end as item_desc,
       case when total_cents > 0 then case when {_CATEGORY} = '住宿费' and (sh or contains(coalesce(seller_name, ''), '上海')) then '上海' else '北京' end end as expense_city,
       case when number is not null and total_cents is not null then sha256(coalesce(nc.code, 'NONE') || '#' || number || '#' || cast(cast(total_cents / 100 as decimal(38,2)) as varchar) || '#' || coalesce(dd.issue_date, 'UNKNOWN')) end as invoice_hash
