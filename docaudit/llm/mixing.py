@@ -3,21 +3,21 @@
 Sizes are counted once and stored; all else works on one short row per document. Targets are found on the table of
 sources: sources at their cap are clamped, what is left is shared among the others by weight, until none is above its
 cap. A document is taken floor(target / source size) times; the rest of a target is filled by documents in the order
-of a seeded hash. That order needs no global sort: words are summed per source and slice of the hash range, and only
-the slice in which the target falls is sorted, so a source with a third of all rows is no hot key.
+of a seeded hash, passing over those that do not fit. That order needs no global sort: words are summed per source and
+slice of the hash range, and only the slice in which the target falls is sorted, so a source with a third of all rows is
+no hot key. The draw stops at the first document that does not fit and is repeated with the gap that is left over the
+documents of at most its size, until none fits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docaudit.llm.common import ready, store
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2.0
 SLICES = 4096
-#: Documents of the rest that may be added to a source to close the gap to its target.
-FILLS = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,14 +56,45 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _same(left: str, right: str) -> Column:
+    return F.col(f"{left}.source").eqNullSafe(F.col(f"{right}.source"))
+
+
+def _bordered(by_slice: DataFrame, goals: DataFrame, amount: str) -> DataFrame:
+    """``goals`` with the slice in which the words of a source exceed ``amount`` and the words before it; null if none does."""
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    border = store(
+        by_slice.withColumn("before", before).alias("s").join(goals.alias("g"), _same("s", "g")).where(f"s.before + s.words > g.{amount}")
+        .groupBy("s.source").agg(F.min(F.struct("s.slice", "s.before")).alias("at"))
+        .select("source", F.col("at.slice").alias("border"), F.col("at.before").alias("before"))
+    )
+    return store(goals.alias("g").join(border.alias("b"), _same("g", "b"), "left").select("g.*", "b.border", "b.before"))
+
+
+def _drawn(placed: DataFrame, amount: str) -> DataFrame:
+    """``placed`` with drawn: the documents of a source, by draw, before their words exceed ``amount``."""
+    run = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = placed.where("slice = border").withColumn("drawn", F.col("before") + F.sum("size").over(run) <= F.col(amount))
+    outside = placed.where("border is null or slice <> border").withColumn("drawn", F.coalesce(F.col("slice") < F.col("border"), F.lit(True)) & (F.col(amount) > 0))
+    return outside.unionByName(inside)
+
+
+def _gaps(gaps: DataFrame, drawn: DataFrame) -> DataFrame:
+    """source and gap after the drawn documents."""
+    filled = drawn.where("drawn").groupBy("source").agg(F.sum("size").alias("filled"))
+    return store(
+        gaps.alias("g").join(filled.alias("f"), _same("g", "f"), "left").select("g.source", (F.col("g.gap") - F.coalesce("f.filled", F.lit(0))).alias("gap"))
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = 0) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, times, taken.
 
     size counts the words ``[^\\x20\\x09-\\x0D]+`` (null text: 0); taken = times * size. A document is taken whole once
-    for every full epoch of its source, and once more if its draw falls in the fraction that is left. The sum over a
-    source then misses its target by less than one document; the largest documents of the rest that fit into the gap are
-    added, the last one also if it goes beyond the target by less than it was missed. Draws depend on doc_id, size and seed only, so reruns agree; rows
-    that repeat both share a draw. A null source is a source of its own; a null doc_id is drawn like a value. Documents
+    for every full epoch of its source, and once more if it fits into what is left of the target when its turn comes in
+    the order of draws. In the end no document left out fits; the smallest of them is added if it goes beyond the target
+    by less than it was missed. Draws depend on doc_id, size and seed only, so reruns agree; rows that repeat both share
+    a draw. A null source is a source of its own; a null doc_id is drawn like a value. Documents
     of size 0 count as whole epochs only. Other columns are ignored; an empty table gives an empty result.
     """
     rows = store(sized(docs, seed).withColumn("row", F.monotonically_increasing_id()))
@@ -73,48 +104,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    same = lambda left, right: F.col(f"{left}.source").eqNullSafe(F.col(f"{right}.source"))
-
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = by_slice.withColumn("before", before)
-    border = store(
-        sums.alias("s").join(goals.alias("g"), same("s", "g")).where("s.before + s.words > g.rest")
-        .groupBy("s.source").agg(F.min(F.struct("s.slice", "s.before")).alias("at"))
-        .select("source", F.col("at.slice").alias("border"), F.col("at.before").alias("before"))
-    )
-    goals = store(goals.alias("g").join(border.alias("b"), same("g", "b"), "left").select("g.*", "b.border", "b.before"))
+    goals = _bordered(by_slice, goals, "rest")
 
     # One source has at most SLICES rows in by_slice; sources are few, and AQE broadcasts goals only when small.
-    placed = rows.alias("r").join(goals.alias("g"), same("r", "g")).select("r.*", "g.source_size", "g.target", "g.whole", "g.rest", "g.border", "g.before")
-    run = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (
-        placed.where("slice = border").withColumn("sum", F.col("before") + F.sum("size").over(run))
-        .withColumn("drawn", F.col("sum") <= F.col("rest"))
-    )
-    outside = placed.where("border is null or slice <> border").withColumn("sum", F.lit(None).cast("long")).withColumn("drawn", F.coalesce(F.col("slice") < F.col("border"), F.lit(True)) & (F.col("rest") > 0))
-    drawn = store(outside.unionByName(inside))
+    placed = rows.alias("r").join(goals.alias("g"), _same("r", "g")).select("r.*", "g.source_size", "g.target", "g.whole", "g.rest", "g.border", "g.before")
+    drawn = store(_drawn(placed, "rest"))
+    gaps = _gaps(goals.select("source", F.col("rest").alias("gap")), drawn)
 
-    filled = drawn.where("drawn").groupBy("source").agg(F.sum("size").alias("filled"))
-    gaps = store(
-        goals.alias("g").join(filled.alias("f"), same("g", "f"), "left")
-        .select("g.source", (F.col("g.rest") - F.coalesce("f.filled", F.lit(0))).alias("gap"))
+    free = drawn.where("not drawn and size > 0").select("source", "slice", "size", "draw", "doc_id", "row")
+    left, added = free, free.select("row").limit(0)
+    while True:
+        left = left.alias("p").join(gaps.alias("g"), _same("p", "g")).where("p.size <= g.gap").select("p.*")
+        by_slice = store(left.groupBy("source", "slice").agg(F.sum("size").alias("words")))
+        if by_slice.isEmpty():
+            break
+        edges = _bordered(by_slice, gaps, "gap")
+        step = store(_drawn(left.alias("p").join(edges.alias("g"), _same("p", "g")).select("p.*", "g.gap", "g.border", "g.before"), "gap"))
+        gaps = _gaps(gaps, step)
+        added = added.unionByName(step.where("drawn").select("row"))
+        left = step.where("not drawn").select("source", "slice", "size", "draw", "doc_id", "row")
+    added = store(added)
+    best = F.min(F.struct(*(F.col(f"p.{n}").alias(n) for n in ("size", "draw", "doc_id", "row"))))
+    beyond = (
+        free.join(added, "row", "left_anti").alias("p").join(gaps.alias("g"), _same("p", "g")).where("p.size - g.gap < g.gap")
+        .groupBy("p.source").agg(best.alias("best")).select("best.row")
     )
-    left = drawn.where("not drawn and size > 0").select("source", "size", "draw", "doc_id", "row")
-    added = None
-    for step in range(FILLS):
-        last = step == FILLS - 1
-        free = left if added is None else left.join(added.select("row"), "row", "left_anti")
-        miss = F.abs(F.col("p.size") - F.col("g.gap"))
-        fits = miss < F.abs(F.col("g.gap")) if last else F.col("p.size") <= F.col("g.gap")
-        best = F.min(F.struct(miss.alias("miss"), F.col("p.draw").alias("draw"), F.col("p.doc_id").alias("doc_id"), F.col("p.size").alias("size"), F.col("p.row").alias("row")))
-        chosen = store(
-            free.alias("p").join(gaps.alias("g"), same("p", "g")).where(fits)
-            .groupBy("p.source").agg(best.alias("best")).select("source", "best.size", "best.row")
-        )
-        added = chosen if added is None else store(added.unionByName(chosen))
-        gaps = store(
-            gaps.alias("g").join(chosen.alias("c"), same("g", "c"), "left").select("g.source", (F.col("g.gap") - F.coalesce("c.size", F.lit(0))).alias("gap"))
-        )
+    added = store(added.unionByName(beyond))
     extra = added.select("row", F.lit(1).alias("extra"))
     times = F.col("whole") + F.col("drawn").cast("long") + F.coalesce("extra", F.lit(0))
     return (

@@ -330,6 +330,24 @@ def test_mix(spark, share):
         assert rows(other, "doc_id", "taken") != rows(again, "doc_id", "taken")
 
 
+@pytest.mark.parametrize("huge", [1, 4])
+def test_mix_passes_over_documents_that_do_not_fit(spark, huge):
+    """A huge document at the border stops no draw: the result is that of one walk in the order of draws."""
+    rng = random.Random(9)
+    data = [(i, "w " * int(rng.lognormvariate(3, 1) + 1), "en", "a") for i in range(600)]
+    data += [(1000 + i, "w " * 12_000, "en", "a") for i in range(huge)]
+    docs = documents(spark, data)
+    got = mixing.mix(docs, share=0.4).collect()
+    target = got[0]["target"]
+    assert abs(sum(r["taken"] for r in got) - target) <= 3
+    gap, walked = target, set()
+    for r in mixing.sized(docs).orderBy("slice", "draw").collect():
+        if r["size"] <= gap:
+            gap -= r["size"]
+            walked.add(r["doc_id"])
+    assert walked <= {r["doc_id"] for r in got if r["times"]} and sum(r["times"] for r in got) <= len(walked) + 1
+
+
 def test_mix_empty_tables(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     got = mixing.mix(documents(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()
