@@ -24,9 +24,9 @@ from docaudit.llm.common import texts
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_UNITS = 24
+#: Characters of a candidate segment.
+MOST_CHARS = 80
 SAMPLE, ROUNDS, MARGIN = 40, 50, 2.0
-#: Units of context on both sides of a trigger.
-CONTEXT = 8
 
 Span = tuple[str, int, int]
 
@@ -83,9 +83,13 @@ def base_spans(text: str) -> list[Span]:
 # --- the field ---------------------------------------------------------------------------------------------------
 
 _UNIT = re.compile(r"[^\W\d_]+|[0-9]+|[ \t]+|.", re.DOTALL)
-_TRIGGER = re.compile(r"[0-9]{3,}|@|[\[(](?:at|AT)[\])]")
-_AT = re.compile(r"@|[\[(](?:at|AT)[\])]")
-_DOT = re.compile(r"\.|[\[(](?:dot|DOT)[\])]")
+_AT = re.compile(r"@|[\[({][aA][tT][\])}]")
+_DOT = re.compile(r"\.|[\[({][dD][oO][tT][\])}]")
+#: Every candidate segment holds one of these, but for digits that are further apart: digits in groups, at least 7 in all.
+_TRIGGER = re.compile(r"[0-9](?:[^\w\n]{0,3}[0-9]){6,}+|[0-9]{3,}|" + _AT.pattern + r"|[\[({][dD][oO][tT][\])}]")
+#: What shows that an address or a number goes on beyond a segment.
+_ON = re.compile(r"[ \t]?(?:@|[\[({](?:[aA][tT]|[dD][oO][tT])[\])}])|\.\w|[ .()/-]{0,2}[0-9]")
+_FROM = re.compile(r"(?:(?:@|[\[({](?:[aA][tT]|[dD][oO][tT])[\])}])[ \t]?|\w[._%+-]|[0-9][ .()/-]{0,2})\Z")
 _GROUPS = re.compile(r"[0-9]+")
 
 
@@ -94,7 +98,7 @@ def _grade(n: int, *edges: int) -> int:
 
 
 def segment_features(s: str, before: str, after: str) -> list[str]:
-    """Names of the whole-span features of a candidate segment and its two neighbouring characters."""
+    """Names of the whole-span features of a candidate segment and what stands before and after it."""
     groups = [len(g) for g in _GROUPS.findall(s)]
     digits = sum(groups)
     letters = sum(c.isalpha() for c in s)
@@ -102,7 +106,7 @@ def segment_features(s: str, before: str, after: str) -> list[str]:
     names = [
         f"digits={_grade(digits, 1, 4, 7, 8, 10, 11, 13, 16, 20)}", f"letters={_grade(letters, 1, 3, 8)}", f"groups={_grade(len(groups), 1, 2, 3, 4, 5, 7)}",
         f"ats={min(len(ats), 2)}", f"blank={' ' in s or chr(9) in s}", f"first={_shape(s[0])}", f"last={_shape(s[-1])}",
-        f"before={_shape(before)}", f"after={_shape(after)}",
+        f"before={_shape(before[-1:])}", f"after={_shape(after[:1])}", f"from={_FROM.search(before) is not None}", f"on={_ON.match(after) is not None}",
     ]
     if len(ats) == 1:
         host = s[ats[0].end() :].strip()
@@ -116,6 +120,7 @@ def segment_features(s: str, before: str, after: str) -> list[str]:
     if not letters and not ats:
         names += [f"paren={'(' in s}", f"balanced={s.count('(') == s.count(')')}", f"dash={_grade(s.count('-'), 1, 2, 3)}", f"points={_grade(s.count('.'), 1, 3, 4)}"]
         names.append("sizes=" + "-".join(map(str, groups[-3:])) if len(groups) <= 5 and max(groups, default=0) <= 6 else "sizes=other")
+        names.append(f"signs={any(not c.isdigit() and c not in ' +().-/' for c in s)}")
         names.append(f"even={len(set(groups)) == 1 and len(groups) > 1}")
     return names
 
@@ -148,40 +153,37 @@ def stretch(text: str, low: int, high: int) -> Stretch:
         if text[end - 1].isalnum():
             for first in range(last, max(-1, last - MOST_UNITS), -1):
                 s = text[cut[first] : end]
-                if len(s) > 80:
+                if len(s) > MOST_CHARS:
                     break
                 if (s[0].isalnum() or s[0] in "+(") and (_AT.search(s) or sum(c.isdigit() for c in s) >= 7):
-                    here.append((first, segment_features(s, text[cut[first] - 1 : cut[first]], text[end : end + 1])))
+                    here.append((first, segment_features(s, text[max(0, cut[first] - 6) : cut[first]], text[end : end + 6])))
         made.ending.append(here)
     return made
 
 
 def stretches(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Bounds around triggers outside the taken spans, on one line each; overlapping ones are joined."""
+    """Bounds around triggers outside the taken spans, on one line each; overlapping ones are joined.
+
+    A stretch reaches as far on both sides of a trigger as a segment that holds it can."""
     if not _TRIGGER.search(text):
         return []
-    taken = sorted(taken)
     out: list[tuple[int, int]] = []
-    k, reached = 0, 0
-    for m in _TRIGGER.finditer(text):
-        while k < len(taken) and taken[k][1] <= m.start():
-            reached = max(reached, taken[k][1])
-            k += 1
-        if k < len(taken) and taken[k][0] < m.end():
-            continue
-        stop = taken[k][0] if k < len(taken) else len(text)
-        low, high = m.start(), m.end()
-        floor = max(reached, low - 60, text.rfind("\n", max(0, low - 60), low) + 1)
-        line = text.find("\n", high, high + 60)
-        ceiling = min(stop, high + 60, line if line >= 0 else len(text))
-        left = [u.start() for u in _UNIT.finditer(text, floor, low)]
-        low = left[-CONTEXT] if len(left) >= CONTEXT else floor
-        right = [u.end() for u in _UNIT.finditer(text, high, ceiling)]
-        high = right[CONTEXT - 1] if len(right) >= CONTEXT else ceiling
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
+    reached = 0
+    for start, end in [*sorted(taken), (len(text), len(text))]:
+        for m in _TRIGGER.finditer(text, reached, start) if reached < start else ():
+            low, high = m.span()
+            floor = max(reached, low - MOST_CHARS, text.rfind("\n", max(0, low - MOST_CHARS), low) + 1)
+            line = text.find("\n", high, high + MOST_CHARS)
+            ceiling = min(start, high + MOST_CHARS, line if line >= 0 else len(text))
+            left = [u.start() for u in _UNIT.finditer(text, floor, low)]
+            low = left[-MOST_UNITS] if len(left) >= MOST_UNITS else floor
+            right = [u.end() for u in _UNIT.finditer(text, high, ceiling)]
+            high = right[MOST_UNITS - 1] if len(right) >= MOST_UNITS else ceiling
+            if out and low <= out[-1][1] and out[-1][0] >= reached:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
+            else:
+                out.append((low, high))
+        reached = max(reached, end)
     return out
 
 
@@ -271,18 +273,33 @@ def variants(text: str, kind: str, start: int, end: int) -> Iterator[tuple[str,
     if kind == "email":
         user, _, host = s.partition("@")
         forms = [f"{user} (at) {host}", f"{user}[at]{host}", f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user}(at){host.replace('.', '(dot)')}"]
+        forms += [f"{user} {{at}} {host.replace('.', ' {dot} ')}", f"{user} (At) {host}"]
     elif kind == "phone":
         groups = re.findall(r"[0-9]+", s)
         local = groups[1:] if len(groups) > 2 and len(groups[0]) <= 3 else groups
         forms = ["-".join(local), "00" + " ".join(groups), ".".join(local)] if len(local) > 1 else []
         if len(local) == 3:
             forms.append(f"({local[0]}) {local[1]}-{local[2]}")
+        pairs = re.findall(r"[0-9]{2}", f"{'':0>{sum(map(len, local)) % 2}}" + "".join(local))
+        forms += [" ".join(pairs), ".".join(pairs), "-".join(pairs), f"00{groups[0][:3]} {' '.join(pairs)}"]
     else:
         forms = []
     for form in forms:
         yield text[:start] + form + text[end:], start, start + len(form)
 
 
+#: Digits in groups that are no phone number.
+_PLAIN = (
+    "on 12.05.2024 10:30 we met", "at 2024-05-12 10:30:45 it ran", "rows 10 20 30 40 50 60 70 of it", "prices 12, 34, 56, 78, 90 and more",
+    "1, 2, 3, 4, 5, 6, 7, 8, 9", "from 2019 to 2024, 345 of 678", "05/12/2024, 06/12/2024", "3.11.2.14.55 of 1.2.3.4.5.6.7.8",
+)
+
+
+def _open(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Bounds of the base spans that the field leaves out: not of four octets with a fifth group behind them."""
+    return [(a, b) for kind, a, b in base if kind != "ip" or not re.match(r"\.[0-9]", text[b : b + 2])]
+
+
 def _example(text: str, spans: list[Span]) -> tuple[Stretch, list[tuple[str, int, int]]]:
     s = stretch(text, 0, len(text))
     at = {o: i for i, o in enumerate(s.offsets)}
@@ -307,7 +324,7 @@ def _snippets(docs: DataFrame, sample: int) -> list[tuple[str, list[Span]]]:
                     for _, a, b in [s for s in spans if s[0] == kind][:1]:
                         if b - a <= 80:
                             rows.append((doc_id, kind, text[max(0, a - 60) : b + 60]))
-                bounds = stretches(text, [s[1:] for s in spans])
+                bounds = stretches(text, _open(text, spans))
                 if bounds:
                     rows.append((doc_id, "none", text[bounds[0][0] : bounds[0][1]][:400]))
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "snippet"]).astype({"doc_id": "Int64"})
@@ -321,13 +338,19 @@ def _snippets(docs: DataFrame, sample: int) -> list[tuple[str, list[Span]]]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiMarkov:
     """Train on a bounded sample of snippets; without any the field adds nothing."""
     data = []
-    for text, spans in _snippets(docs, sample):
+    for turn, (text, spans) in enumerate(_snippets(docs, sample)):
         data.append((text, spans))
         for kind, start, end in spans[:1]:
-            for other, a, b in variants(text, kind, start, end):
+            for i, (other, a, b) in enumerate(variants(text, kind, start, end)):
+                # In turn within its text, alone, and at the end of a sentence.
+                if (turn + i) % 3:
+                    lead, tail = ("", "") if (turn + i) % 3 == 1 else ("a, ", ".")
+                    data.append((lead + other[a:b] + tail, [(kind, len(lead), len(lead) + b - a)]))
+                    continue
                 shift = b - end
                 moved = [(k, x + shift * (x >= end), y + shift * (x >= end)) for k, x, y in spans if y <= start or x >= end]
                 data.append((other, sorted([(kind, a, b), *moved], key=lambda s: s[1])))
+    data += [(text, []) for text in _PLAIN] if data else []
     model = SemiMarkov()
     # A text with a span that is no candidate segment would teach the wrong thing.
     examples = [e for text, spans in data if len((e := _example(text, spans))[1]) == len(spans)]
@@ -339,8 +362,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> SemiMarkov:
 def all_spans(text: str, model: SemiMarkov) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans by kind and start."""
     base = base_spans(text)
-    taken = [s[1:] for s in base]
-    more = [s for low, high in stretches(text, taken) for s in model.decode(stretch(text, low, high))] if model.index else []
+    more = [s for low, high in stretches(text, _open(text, base)) for s in model.decode(stretch(text, low, high))] if model.index else []
     return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

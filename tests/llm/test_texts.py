@@ -98,6 +98,21 @@ def test_field_adds_what_patterns_miss(field, text, kind, found):
     assert base == [] and [(k, text[a:b]) for k, a, b in every] == [(kind, found)]
 
 
+WRITTEN_OUT = [f for s, k in [("first.last@mail.example.com", "email"), ("name@mail.example.com", "email"), ("+33 1 42 68 53 00", "phone"), ("+1 (743) 555-3824", "phone")]
+               for f, _, _ in pii.variants(s, k, 0, len(s))]
+WRITTEN_OUT += ["name [at] mail [dot] example [dot] com", "first.last (at) mail.sub.example.co.uk", "name (At) example.com", "name {at} example {dot} com", "0033 1 42 68 53 00", "01 42 68 53 00", "06.12.34.56.78"]
+
+
+@pytest.mark.parametrize("form", WRITTEN_OUT)
+def test_written_out_spans_are_seen_and_found_whole(field, form):
+    for before, after in [("", ""), ("a long line of many words that stands before it: " * 3, " and a long line of words after it" * 3), ("+1 (743) 555-3824, ", ".")]:
+        text = before + form + after
+        base, every = pii.all_spans(text, field)
+        seen = pii.stretches(text, pii._open(text, base))
+        assert any(a <= len(before) and len(before) + len(form) <= b for a, b in seen)
+        assert [text[a:b] for _, a, b in every if (_, a, b) not in base] == [form]
+
+
 @pytest.mark.parametrize("text", ["the year 2024 and 12 of 345 rows", "version 3.11.2 of it", "plain words at home", "a @ b", "12345 6789 pieces", ""])
 def test_field_leaves_clean_text_alone(field, text):
     assert pii.all_spans(text, field) == ([], [])
