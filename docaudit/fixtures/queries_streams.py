@@ -140,8 +140,8 @@ def _(t):
     select s.task_id, epoch_us(s.started_at) // 1000 as started_ms from s where not exists (select 1 from v_audit_events e where e.task_id = s.task_id and e.event in ('task_completed', 'task_failed')
       and e.occurred_at between s.started_at and s.started_at + to_seconds(120)) and s.started_at + to_seconds(720) <= (select max(occurred_at) from v_audit_events)""")
 def _(t):
-    J.use_rocksdb(t.spark)
-    return J.run_available(J.deadline_stream(event_stream(t)), "append").drop("batch")
+    landed = J.run_available(event_stream(t), "append", J.DeadlineHandler())
+    return J.DeadlineHandler.missed(landed).select("task_id", F.unix_millis("started_at").alias("started_ms"))
 
 
 @query("sm7_distinct_requests", ["v_verdict_requests"], """

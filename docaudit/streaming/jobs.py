@@ -1,13 +1,11 @@
-"""Stream jobs: stateful processors, completion handling, and a runner that lands results as tables."""
+"""Stream jobs: deadlines, completion handling, and a runner that lands results as tables."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F
 
 from docaudit.functions.ordered import first_per_key
 from docaudit.functions.scalars import identity_key
@@ -16,14 +14,7 @@ from docaudit.plans import decide
 from docaudit.schemas import names
 from docaudit.session import materialize, shared_folder
 from docaudit.sources.sinks import ReportStore
-from docaudit.streaming.events import TERMINAL
-
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Arbitrary state needs the RocksDB store; state is then kept on disk, not on the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+from docaudit.streaming.events import TERMINAL, missed_deadlines
 
 
 def run_available(
@@ -88,52 +79,48 @@ def newest(landed: DataFrame, keys: list[str]) -> DataFrame:
     return landed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-class DeadlineProcessor(StatefulProcessor):
-    """SM6: emits a task when its deadline passes on the event clock without a terminal event."""
-
-    def __init__(self, deadline_ms: int):
-        self.deadline_ms = deadline_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("task", "started_ms bigint, ended_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        started, ended = self.state.get() if self.state.exists() else (-1, -1)
-        for frame in rows:
-            times = frame["occurred_at"].astype("datetime64[ms]").astype("int64")
-            begins = times[frame["event"] == "task_started"]
-            ends = times[frame["event"].isin(TERMINAL)]
-            if len(begins):
-                started = int(begins.min()) if started < 0 else min(started, int(begins.min()))
-            if started >= 0:
-                ends = ends[ends >= started]
-            if len(ends):
-                ended = int(ends.min()) if ended < 0 else min(ended, int(ends.min()))
-        self.state.update((started, ended))
-        if started >= 0:
-            self.handle.registerTimer(started + self.deadline_ms)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        started, ended = self.state.get() if self.state.exists() else (-1, -1)
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if started >= 0 and started + self.deadline_ms == due and not started <= ended <= due:
-            yield pd.DataFrame({"task_id": [key[0]], "started_ms": [started]})
-
-    def close(self) -> None:
-        pass
-
-
-def deadline_stream(events: DataFrame, delay: str = "10 minutes", params: AuditParams = DEFAULTS) -> DataFrame:
-    """Tasks that miss the deadline; needs use_rocksdb."""
-    return (
-        events.select("task_id", "event", "occurred_at").withWatermark("occurred_at", delay)
-        .groupBy("task_id")
-        .transformWithStateInPandas(
-            DeadlineProcessor(params.task_deadline_s * 1000), "task_id string, started_ms bigint", "Append", "EventTime"
+class DeadlineHandler:
+    """SM6: tasks that miss the deadline on the event clock, judged against all events landed so far.
+
+    The landed table holds the starts and terminal events for ever, so no event is too late. A task gets a row
+    ``missed`` when its deadline and ``delay_s`` have passed on the clock (the newest event) without a terminal event
+    inside the deadline. If a later batch brings that event or an earlier start, a row ``withdrawn`` takes it back.
+    """
+
+    schema = "event string, task_id string, occurred_at timestamp"
+
+    def __init__(self, delay_s: int = 600, params: AuditParams = DEFAULTS):
+        self.delay_s, self.params = delay_s, params
+
+    def __call__(self, batch: DataFrame, target: str, earlier: DataFrame) -> None:
+        facts = materialize(self.facts(batch))
+        columns = names(self.schema)
+        now, before = materialize(self.late(earlier.select(columns).unionByName(facts))), materialize(self.missed(earlier))
+        same = lambda left, right: left.alias("l").join(
+            right.alias("r"), F.col("l.task_id").eqNullSafe(F.col("r.task_id")) & (F.col("l.started_at") == F.col("r.started_at")), "left_anti"
         )
-    )
+        verdict = lambda df, event: df.select(F.lit(event).alias("event"), "task_id", F.col("started_at").alias("occurred_at"))
+        facts.unionByName(verdict(same(now, before), "missed")).unionByName(verdict(same(before, now), "withdrawn")).write.mode("overwrite").parquet(target)
+
+    def facts(self, batch: DataFrame) -> DataFrame:
+        """First starts, terminal events, and one row ``clock`` with the newest event of a batch."""
+        events = batch.where(F.col("occurred_at").isNotNull()).select("event", "task_id", "occurred_at")
+        starts = events.where("event = 'task_started'").groupBy("event", "task_id").agg(F.min("occurred_at").alias("occurred_at"))
+        ends = events.where(F.col("event").isin(*TERMINAL)).distinct()
+        clock = events.agg(F.max("occurred_at").alias("occurred_at")).where("occurred_at is not null")
+        return starts.unionByName(ends).unionByName(clock.select(F.lit("clock").alias("event"), F.lit(None).cast("string").alias("task_id"), "occurred_at"))
+
+    def late(self, facts: DataFrame) -> DataFrame:
+        """task_id and started_at of the tasks that are late by what has landed."""
+        clock = facts.where("event = 'clock'").agg(F.max("occurred_at").alias("_clock"))
+        wait = F.make_dt_interval(secs=F.lit(self.params.task_deadline_s + self.delay_s))
+        return missed_deadlines(facts, self.params).crossJoin(clock).where(F.col("started_at") + wait <= F.col("_clock")).drop("_clock")
+
+    @staticmethod
+    def missed(landed: DataFrame) -> DataFrame:
+        """task_id and started_at of what is missed and not withdrawn."""
+        verdicts = landed.where("event in ('missed', 'withdrawn')").withColumnRenamed("occurred_at", "started_at")
+        return newest(verdicts, ["task_id", "started_at"]).where("event = 'missed'").drop("event")
 
 
 class DuplicateHandler:

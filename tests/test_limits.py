@@ -108,6 +108,21 @@ def test_a_job_resumes_and_consumes_nothing_twice(spark, tmp_path):
     assert landed.count() == 5 and landed.select("event_id").distinct().count() == 5
 
 
+def test_a_late_event_corrects_a_missed_deadline(spark, tmp_path):
+    source, job = str(tmp_path / "in"), str(tmp_path / "job")
+    run = lambda: J.run_available(spark.readStream.schema(EVENTS).parquet(source), "append", J.DeadlineHandler(), job)
+    missed = lambda df: sorted((r["task_id"], r["started_at"].minute) for r in J.DeadlineHandler.missed(df).collect())
+    append(spark, source, [event(0, "a"), event(0, "b", task="K2"), event(30, "c", "task_completed", "K2"), event(300, "d", task="K3")])
+    assert missed(run()) == []
+    append(spark, source, [event(3600, "e", "task_progress", "K9")])
+    assert missed(run()) == [("K1", 0), ("K3", 5)]
+    # Far behind the clock: the end of K1, an earlier start of K3, and a task not seen before.
+    append(spark, source, [event(60, "f", "task_completed"), event(240, "g", task="K3"), event(120, "h", task="K4")])
+    landed = run()
+    assert missed(landed) == [("K3", 4), ("K4", 2)]
+    assert sorted(r["task_id"] for r in landed.where("event = 'withdrawn'").collect()) == ["K1", "K3"]
+
+
 def test_completion_saves_reports_and_marks_failures(spark, tmp_path):
     store = ReportStore(spark, str(tmp_path / "store"))
     store.load(
