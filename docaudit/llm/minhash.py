@@ -1,6 +1,7 @@
 """Near-duplicate documents: one-permutation MinHash with optimal densification, bands, star-shaped candidates.
 
-1. Every text becomes its set of word shingles (64-bit hashes). Documents with the same set form one class, so
+1. Every text becomes its set of word shingles (64-bit hashes; a second set under a key drawn for the job tells classes
+   apart and confirms links). Documents with the same set form one class, so
    thousands of copies cost one row from here on.
 2. One-permutation hashing gives BINS minima per set from a single pass; empty bins borrow from a bin picked by
    a fixed hash sequence (optimal densification), which keeps each bin's match probability equal to the similarity
@@ -16,6 +17,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,32 +74,36 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, words_per_shingle: int) -> list[np.ndarray]:
+def _sets(batch: pa.RecordBatch, words_per_shingle: int, key: int = 0) -> list[np.ndarray]:
+    """The shingle sets of a batch, hashed under a key."""
     data, offsets = T.block(batch.column("text"))
     data = T.LOWER[data]
     starts, ends, first_word = T.words(data, offsets)
-    return T.distinct_rows(*T.shingles(T.span_hashes(data, starts, ends), first_word, words_per_shingle))
+    return T.distinct_rows(*T.shingles(T.word_hashes(data, starts, ends, key), first_word, words_per_shingle))
 
 
 _SIGNED_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
 _MULTIPLIERS = T.mix(np.arange(1, ROWS + 1, dtype=U)) | U(1)
 
 
-def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """Per document: set size, a 128-bit fingerprint of the set, band keys, and one byte per bin as a sketch."""
+def signatures(docs: DataFrame, words_per_shingle: int, key: int) -> DataFrame:
+    """Per document: set size, a 128-bit fingerprint of the set, band keys, and one byte per bin as a sketch.
+
+    Half of the fingerprint is of hashes under ``key``, the rest of plain ones, so that bands are the same in every run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows = []
-            for values in _sets(batch, words_per_shingle):
+            for values, keyed in zip(_sets(batch, words_per_shingle), _sets(batch, words_per_shingle, key), strict=True):
                 if not len(values):
                     rows.append((0, 0, 0, None, None))
                     continue
                 mins = signature(values)
                 keys = T.mix((mins.reshape(BANDS, ROWS) * _MULTIPLIERS).sum(1, dtype=U) + np.arange(BANDS, dtype=U))
                 a = T.mix(values).sum(dtype=U)
-                b = T.mix(values ^ U(0xA0761D6478BD642F)).sum(dtype=U)
-                rows.append((len(values), int(_signed(a)), int(_signed(b)), _signed(keys), (T.mix(mins) >> U(56)).astype(np.uint8).tobytes()))
+                b = T.mix(keyed).sum(dtype=U)
+                rows.append((len(keyed), int(_signed(a)), int(_signed(b)), _signed(keys), (T.mix(mins) >> U(56)).astype(np.uint8).tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
@@ -108,12 +114,12 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     return texts(docs).mapInArrow(run, _SIGNED_SCHEMA)
 
 
-def full_sets(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """(id, members): the sorted shingle hashes of every document."""
+def full_sets(docs: DataFrame, words_per_shingle: int, key: int) -> DataFrame:
+    """(id, members): the sorted shingle hashes of every document, under ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = _sets(batch, words_per_shingle)
+            sets = _sets(batch, words_per_shingle, key)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "members"])
 
     return texts(docs).mapInArrow(run, "id long, members binary")
@@ -223,7 +229,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     and is never kept. Other columns are ignored. An empty table gives an empty result.
     """
     threshold = percent / 100
-    signed = store(signatures(docs, words_per_shingle))
+    secret = secrets.randbits(63)  # links are confirmed on hashes that no text can be written against
+    signed = store(signatures(docs, words_per_shingle, secret))
     key = ["n_shingles", "set_a", "set_b"]
     classes = store(
         signed.where("n_shingles > 0").groupBy(*key)
@@ -238,7 +245,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     stars = placed.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     candidates = placed.select(F.col("id").alias("doc_id")).distinct()
     some = texts(docs).join(candidates, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = store(full_sets(some, words_per_shingle))
+    sets = store(full_sets(some, words_per_shingle, secret))
 
     links = store(_confirmed(_near_sketches(stars, reps, threshold), sets, percent))
     labels = components(links)

@@ -61,46 +61,21 @@ def unframe(data: memoryview | bytes, at: int = 0) -> tuple[int | None, int, np.
     return (None if doc_id == _NULL_ID else doc_id), before, ids, at + 16 + size
 
 
-class Memo:
-    """Ids by a unit's 64-bit hash: open addressing over arrays, so a block is looked up at once."""
-
-    def __init__(self, bits: int = 21):
-        self._mask = U((1 << bits) - 1)
-        self.clear()
+class Memo(T.SpanTable):
+    """Ids of the units a worker has seen."""
 
     def clear(self) -> None:
-        self._keys, self._rows = np.zeros(int(self._mask) + 1, U), np.zeros(int(self._mask) + 1, np.int32)
-        self.begin, self.size, self.ids, self.n, self._used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0, 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of every hash, -1 if unknown."""
-        out, slot, open_ = np.full(len(hashes), -1, np.int64), hashes & self._mask, np.arange(len(hashes))
-        while len(open_):
-            held = self._keys[slot]
-            hit = held == hashes[open_]
-            out[open_[hit]] = self._rows[slot[hit]]
-            on = ~hit & (held != 0)
-            open_, slot = open_[on], (slot[on] + U(1)) & self._mask
-        return out
-
-    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Distinct unknown hashes with their ids, one after the other."""
-        rows, slot, open_ = self.n + np.arange(len(hashes)), hashes & self._mask, np.arange(len(hashes))
-        while len(open_):
-            free = np.flatnonzero(self._keys[slot] == 0)
-            at, first = np.unique(slot[free], return_index=True)
-            taken = free[first]
-            self._keys[at], self._rows[at] = hashes[open_[taken]], rows[open_[taken]]
-            on = np.ones(len(open_), bool)
-            on[taken] = False
-            open_, slot = open_[on], (slot[on] + U(1)) & self._mask
-        while self._used + len(ids) > len(self.ids):
+        super().clear()
+        self.begin, self.size, self.ids, self._filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
+
+    def keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the units added last, one after the other."""
+        while self._filled + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self._used : self._used + len(ids)] = ids
-        self.begin = np.concatenate([self.begin, self._used + np.cumsum(sizes) - sizes])
+        self.ids[self._filled : self._filled + len(ids)] = ids
+        self.begin = np.concatenate([self.begin, self._filled + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
-        self._used += len(ids)
-        self.n += len(hashes)
+        self._filled += len(ids)
 
 
 class UnitEncoder:
@@ -109,7 +84,7 @@ class UnitEncoder:
     The file drops white space and splits the rest into runs of letters, single digits and runs of signs, lower-cased,
     each ending in an id that marks the end of a unit. So a text's ids are those of its units in order. A word of plain
     ASCII is cut into units here; a word with other characters, an apostrophe (contractions) or a < (special tokens) goes
-    to the library whole. Units are told apart by 64-bit hashes of their bytes.
+    to the library whole. A remembered unit is found by a hash and told apart by its bytes.
     """
 
     _PLAIN = np.full(256, 4, np.uint8)  # 0 space, 1 letter, 2 digit, 3 sign, 4 left to the library
@@ -143,6 +118,15 @@ class UnitEncoder:
             return np.concatenate([np.array(i, np.uint32) for i in each]), np.array([len(i) for i in each])
         return ids, np.diff(ends, prepend=0)
 
+    def _spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of the given units."""
+        body = data.tobytes()
+        values = [body[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        if plain:
+            return self._together(values)
+        each = self._encode(values)
+        return np.concatenate([np.array(i, np.uint32) for i in each]), np.array([len(i) for i in each], np.int64)
+
     def _units(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and plainness of units, and the bytes to hash."""
         starts, ends, _ = T.words(raw, offsets)
@@ -168,26 +152,26 @@ class UnitEncoder:
         if self._memo.n > MEMO:
             self._memo.clear()
         starts, ends, plain, data = self._units(raw, offsets)
-        hashes = np.maximum(T.span_hashes(data, starts, ends), U(1))
-        rows = self._memo.find(hashes)
-        new, at = np.unique(hashes[rows < 0], return_index=True)
+        view, hashes = T.lanes(data), T.word_hashes(data, starts, ends)
+        rows = self._memo.find(hashes, view, starts, ends)
+        new = self._memo.unknown(hashes, rows, ends - starts)
+        for group in (new[plain[new]], new[~plain[new]]):
+            if len(group):
+                ids, sizes = self._spans(data, starts[group], ends[group], bool(plain[group[0]]))
+                self._memo.add(hashes[group], data, starts[group], ends[group])
+                self._memo.keep(ids, sizes)
         if len(new):
-            at = np.flatnonzero(rows < 0)[at]
-            body = data.tobytes()
-            for group in (at[plain[at]], at[~plain[at]]):
-                values = [body[a:b].decode() for a, b in zip(starts[group].tolist(), ends[group].tolist(), strict=True)]
-                if not values:
-                    continue
-                if plain[group[0]]:
-                    ids, sizes = self._together(values)
-                else:
-                    each = self._encode(values)
-                    ids, sizes = np.concatenate([np.array(i, np.uint32) for i in each]), np.array([len(i) for i in each])
-                self._memo.add(hashes[group], ids, sizes)
-            rows = self._memo.find(hashes)
-        sizes = self._memo.size[rows]
+            rows = self._memo.find(hashes, view, starts, ends)
+        ids, begin, sizes = self._memo.ids, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        known, odd = np.flatnonzero(rows >= 0), np.flatnonzero(rows < 0)
+        begin[known], sizes[known] = self._memo.begin[rows[known]], self._memo.size[rows[known]]
+        # Very long units, and those that share a hash with another, are not remembered.
+        if len(odd):
+            own, sizes[odd] = self._spans(data, starts[odd], ends[odd], False)
+            begin[odd] = len(ids) + np.cumsum(sizes[odd]) - sizes[odd]
+            ids = np.concatenate([ids, own])
         total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self._memo.ids[np.repeat(self._memo.begin[rows] - total[:-1], sizes) + np.arange(total[-1])]
+        flat = ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
         cuts = total[np.searchsorted(starts, offsets)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield np.append(flat[a:b], np.uint32(self._end_id))
@@ -244,9 +228,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             )
         if stream is not None:
             stream.close()
-            if files.get_file_info(final).type != pyarrow.fs.FileType.NotFound:
-                files.delete_file(final)
-            files.move(temporary, final)
+            if files.get_file_info(final).type == pyarrow.fs.FileType.NotFound:
+                files.move(temporary, final)
+            else:  # an earlier attempt has finished: both hold the same bytes, and readers may have it open
+                files.delete_file(temporary)
 
     dealt = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     index = dealt.mapInArrow(run, "file int, offset long, length long, n_tokens long, doc_id long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -62,13 +64,114 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte span, by differences of one running polynomial sum."""
+    """A 64-bit hash of every byte span, by differences of one running polynomial sum.
+
+    For features only: a polynomial modulo 2^64 has collisions that anyone can write down. To tell spans apart take
+    ``word_hashes``.
+    """
     powers, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(BYTE_VALUES[data] * powers[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+#: The first i bytes of a lane.
+_HEAD = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], U)
+#: Spans of more bytes are hashed one by one, and are not kept in a SpanTable.
+LONG_SPAN = 512
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on (and from the end) as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of every byte span under a key: eight bytes a step through ``mix``, so equal lanes cancel nowhere.
+
+    Spans of at most eight bytes and one length never collide. With a key that is drawn for the job nobody can write
+    longer ones down that do.
+    """
+    view, left, at = lanes(data), ends - starts, starts
+    salt = U(key & (2**64 - 1))
+    out = mix((left.astype(U) + U(1)) * U(0xD6E8FEB86659FD93) ^ salt)
+    for i in np.flatnonzero(left > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(salt).to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    open_ = np.flatnonzero((left > 0) & (left <= LONG_SPAN))
+    left, at = left[open_], at[open_]
+    while len(open_):
+        out[open_] = mix((out[open_] ^ (view[at] & _HEAD[np.minimum(left, 8)])) + salt)
+        on = left > 8
+        open_, at, left = open_[on], at[on] + 8, left[on] - 8
+    return out
+
+
+class SpanTable:
+    """Byte spans by their hash, open addressing over arrays, so a block is looked up at once. A hit needs the same bytes."""
+
+    CLASH = -2
+
+    def __init__(self, bits: int = 21):
+        self._mask = U((1 << bits) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self._keys, self._rows = np.zeros(int(self._mask) + 1, U), np.zeros(int(self._mask) + 1, np.int32)
+        self._body, self._used, self.n = np.zeros((1 << 20) + 8, np.uint8), 0, 0
+        self._begin, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray, view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row of every span of a block (``view``: its lanes), -1 if unknown, CLASH if another span has its hash."""
+        hashes = np.maximum(hashes, U(1))
+        out, slot, open_ = np.full(len(hashes), -1, np.int64), hashes & self._mask, np.arange(len(hashes))
+        while len(open_):
+            held = self._keys[slot]
+            hit = held == hashes[open_]
+            out[open_[hit]] = self._rows[slot[hit]]
+            on = ~hit & (held != 0)
+            open_, slot = open_[on], (slot[on] + U(1)) & self._mask
+        found = np.flatnonzero(out >= 0)
+        rows, at, left = out[found], starts[found], (ends - starts)[found]
+        same = self._size[rows] == left
+        out[found[~same]] = self.CLASH
+        open_, at, own, left = found[same], at[same], self._begin[rows[same]], left[same]
+        mine = np.ndarray(len(self._body) - 7, "<u8", self._body, strides=(1,))
+        while len(open_):
+            other = ((view[at] ^ mine[own]) & _HEAD[np.minimum(left, 8)]) != 0
+            out[open_[other]] = self.CLASH
+            on = ~other & (left > 8)
+            open_, at, own, left = open_[on], at[on] + 8, own[on] + 8, left[on] - 8
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Spans of distinct unknown hashes; they get the next rows in their order."""
+        hashes, sizes = np.maximum(hashes, U(1)), ends - starts
+        rows, slot, open_ = self.n + np.arange(len(hashes)), hashes & self._mask, np.arange(len(hashes))
+        while len(open_):
+            free = np.flatnonzero(self._keys[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            taken = free[first]
+            self._keys[at], self._rows[at] = hashes[open_[taken]], rows[open_[taken]]
+            on = np.ones(len(open_), bool)
+            on[taken] = False
+            open_, slot = open_[on], (slot[on] + U(1)) & self._mask
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        while self._used + total[-1] + 8 > len(self._body):
+            self._body = np.concatenate([self._body, np.zeros_like(self._body)])
+        self._body[self._used : self._used + total[-1]] = data[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        self._begin = np.concatenate([self._begin, self._used + total[:-1]])
+        self._size = np.concatenate([self._size, sizes])
+        self._used += int(total[-1])
+        self.n += len(hashes)
+
+    def unknown(self, hashes: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of the spans to add: one for every unknown hash, without the very long spans."""
+        at = np.flatnonzero((rows == -1) & (sizes <= LONG_SPAN))
+        return at[np.unique(np.maximum(hashes[at], U(1)), return_index=True)[1]]
+
+
 def shingles(word_hashes: np.ndarray, first_word: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive words inside a row, and the first shingle of every row (one more than rows).
 

@@ -30,6 +30,12 @@ def split_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", lower(text))
 
 
+def thue_morse(n):
+    """Two words of ``n`` letters that every polynomial hash modulo 2^64 confuses once ``n`` is 1,024 or more."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 class Union:
     def __init__(self):
         self.parent = {}

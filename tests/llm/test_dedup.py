@@ -8,7 +8,7 @@ from pyspark.sql import types as S
 
 from docaudit.llm import chunks, embeddings, lines, minhash
 from docaudit.llm.components import components
-from tests.llm.helpers import Union, documents, lower, rows, split_words
+from tests.llm.helpers import Union, documents, lower, rows, split_words, thue_morse
 
 LONG = "\n".join(f"line number {i} of a very long text {i * i}" for i in range(20_000))
 AWKWARD = [
@@ -230,3 +230,11 @@ def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32))
     assert np.allclose(np.linalg.norm(embeddings.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
     assert np.allclose(embeddings.hadamard(embeddings.hadamard(x)), x)
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_minhash_tells_confusable_words_apart(spark, n):
+    first, second = thue_morse(n)
+    data = [(1, f"x y {first} z"), (2, f"x y {second} z"), (3, first), (4, second), (5, f"X y {first} z")]
+    found = minhash.near_duplicates(documents(spark, data), words_per_shingle=3, percent=85)
+    assert rows(found, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from docaudit.llm import language, mixing, pieces, pii, quality, records
 from docaudit.llm import text as T
 from docaudit.llm.queries import tokenizer_file
-from tests.llm.helpers import documents, rows, split_words
+from tests.llm.helpers import documents, rows, split_words, thue_morse
 
 # --- words and hashes --------------------------------------------------------------------------------------------
 
@@ -367,3 +367,35 @@ def test_mix_empty_tables(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     got = mixing.mix(documents(spark, [(1, None, "en", None), (2, "", "en", "a")])).collect()
     assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0), (0.0, 0)]
+
+
+def test_word_hashes_and_span_table():
+    rng = np.random.default_rng(5)
+    words = [*thue_morse(256), *thue_morse(1024), *thue_morse(2048), "", "a", "\x00", "a\x00", "x" * 8, "x" * 9, "y" * 513]
+    words += ["".join(rng.choice(list("abc"), rng.integers(1, 30))) for _ in range(3000)]
+    words = sorted(set(words))
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = np.concatenate([[0], ends[:-1]])
+    for key in (0, 12345):
+        assert len(np.unique(T.word_hashes(data, starts, ends, key))) == len(words)
+    hashes = T.word_hashes(data, starts, ends) & np.uint64(0xFFF)  # so few that they clash
+    table = T.SpanTable(14)
+    rows = table.find(hashes, T.lanes(data), starts, ends)
+    assert (rows == -1).all()
+    new = table.unknown(hashes, rows, ends - starts)
+    table.add(hashes[new], data, starts[new], ends[new])
+    rows = table.find(hashes, T.lanes(data), starts, ends)
+    assert (rows[new] == np.arange(len(new))).all() and (np.delete(rows, new) < 0).all() and (rows == table.CLASH).any()
+
+
+def test_records_of_confusable_words(spark):
+    import public_tokenizers
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    data = [(i, w) for i, w in enumerate([*thue_morse(1024), *thue_morse(2048), "q" * 5000, "a b"])]
+    got = rows(records.encoded_documents(documents(spark, data), path, 2), "doc_id", "n_tokens", "ids_crc32")
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 2] for _, t in data]
+    assert got == [(i, len(v), zlib.crc32(np.array(v, "<u4").tobytes())) for i, v in enumerate(ids)]
