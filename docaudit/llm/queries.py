@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, quality, records
+from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, quality, records, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=3, percent=85)
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)

@@ -166,6 +166,9 @@ class SpanTable:
         self._used += int(total[-1])
         self.n += len(hashes)
 
+    def span(self, row: int) -> bytes:
+        return self._body[self._begin[row] : self._begin[row] + self._size[row]].tobytes()
+
     def unknown(self, hashes: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Places of the spans to add: one for every unknown hash, without the very long spans."""
         at = np.flatnonzero((rows == -1) & (sizes <= LONG_SPAN))
