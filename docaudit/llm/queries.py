@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, quality, records, token_counts
+from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, quality, records, runs, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_counts")
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
