@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, quality, records, runs, token_counts
+from docaudit.llm import chunks, embeddings, language, lines, minhash, mixing, pieces, pii, prefix_trie, quality, records, runs, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -135,6 +135,36 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+@query(
+    "op12_prefix_trie",
+    r"""
+    with clean as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations where conv_id is not null),
+    coded as (select conv_id, turn, sha256(strlen(r) || ':' || r || t) as k, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as w from clean),
+    given as (select conv_id, list({'k': k, 'w': w} order by turn nulls first, k[:32]) as turns from coded group by conv_id),
+    bytes as (select conv_id, turns, flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0])) as steps from given),
+    crc as (select conv_id, turns, xor(list_reduce(steps, lambda c, e: xor(xor(c, e) >> 1, case when xor(c, e) % 2 = 1 then 3988292384 else 0 end), 4294967295::bigint), 4294967295) % 4 as h from bytes),
+    rebuilt as (
+      select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns
+      from crc c left join given b on b.conv_id = c.conv_id - c.conv_id % 20),
+    prefixes as (select conv_id, unnest(range(0, len(turns) + 1)) as d, turns from rebuilt),
+    named as (select conv_id, d, turns[1:d] as p, d = len(turns) as ends from prefixes),
+    nodes as (
+      select p, d, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+      from named group by p, d),
+    kids as (select p[1:d - 1] as p, d - 1 as d, count(*) as n_children from nodes where d > 0 group by 1, 2),
+    full_nodes as (select n.*, coalesce(k.n_children, 0) as n_children from nodes n left join kids k on k.p = n.p and k.d = n.d),
+    above as (select p, d, n_convs, n_children, unnest(range(0, d + 1)) as a from full_nodes),
+    folded as (
+      select p[1:a] as p, a as d, count(*) filter (n_children = 0) as n_leaves, sum(case when d = 0 then 0 else (n_convs - 1) * p[d].w end) as saved_tokens
+      from above group by 1, 2)
+    select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, n.n_children::bigint as n_children, f.n_leaves, f.saved_tokens::bigint as saved_tokens, n.ends_sha256
+    from full_nodes n join folded f on f.p = n.p and f.d = n.d left join nodes u on n.d > 0 and u.p = n.p[1:n.d - 1] and u.d = n.d - 1
+    """,
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
