@@ -9,6 +9,7 @@ from docaudit.fixtures.registry import query
 from docaudit.fixtures.views import VIEWS, SparkDialect
 from docaudit.params import DEFAULTS
 from docaudit.schemas import EVENTS, names
+from docaudit.session import new_path
 from docaudit.sources import tables
 from docaudit.streaming import events as E, jobs as J
 
@@ -165,7 +166,7 @@ def _(t):
       case when later then fa else oa end <> amount as amount_changed from x where later or od is not null""")
 def _(t):
     claims = t.invoices.join(t.documents.select("document_id", "document_no", "status"), "document_id")
-    folder = f"{J.shared_folder(t.spark)}/docaudit/claims-{J.uuid.uuid4().hex}"
+    folder = new_path(t.spark, "claims")
     claims.coalesce(8).write.parquet(folder)
     stream = t.spark.readStream.schema(claims.schema).parquet(folder)
     landed = J.run_available(stream, "append", J.DuplicateHandler()).where("kind is not null")
@@ -174,7 +175,7 @@ def _(t):
 
 @query("io10_event_stream", ["v_audit_events"], "select seq, event_id, event, task_id from v_audit_events")
 def _(t):
-    folder = f"{J.shared_folder(t.spark)}/docaudit/events-{J.uuid.uuid4().hex}"
+    folder = new_path(t.spark, "events")
     t.audit_events.select(*names(EVENTS)).write.parquet(folder)
     stream = tables.read_event_stream(t.spark, folder).select("seq", "event_id", "event", "task_id")
     return J.run_available(stream, "append").drop("batch")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from docaudit.fixtures.oracle_parts import CITY
 from docaudit.fixtures.registry import query
 from docaudit.functions import geo
 from docaudit.operators import analytics as A, lifecycle as L, workflow as W
-from docaudit.session import shared_folder
+from docaudit.session import new_path
 from docaudit.sources import sinks, tables
 
 # ---------------------------------------------------------------- sources and sinks
@@ -82,7 +80,7 @@ def _saved(t, name: str):
     tasks = t.reports.where("report_id % 2 = 0").select(
         "task_id", "document_id", F.lit("RUNNING").alias("status"), F.lit(70).alias("progress_pct")
     )
-    store = sinks.ReportStore(t.spark, f"{shared_folder(t.spark)}/docaudit/reports-{uuid.uuid4().hex}")
+    store = sinks.ReportStore(t.spark, new_path(t.spark, "reports"))
     store.load(old, found, tasks)
     store.save(new, fresh)
     return store.read(name)

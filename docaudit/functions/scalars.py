@@ -214,6 +214,6 @@ def cache_key(prefix: str, **fields: Column) -> Column:
 
 
 def fraction_box(value: Column, extent: Column) -> Column:
-    """Pixel position on the 0-1000 grid, clamped."""
-    grid = (value / extent * 1000).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(1000), grid))
+    """Pixel position on the 0-1000 grid, clamped; null where the page has no extent."""
+    grid = F.try_divide(value.cast("double"), extent.cast("double")) * 1000
+    return F.when(grid.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1000.0), grid)).cast("int"))

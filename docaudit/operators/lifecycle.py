@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docaudit import params as P
-from docaudit.functions.ordered import chunked_lag, first_per_key
-
+from docaudit.functions.ordered import HOT_ROWS, Step, chunked_lag, chunked_scan, first_per_key
 
 
 def idempotent_create(requests: DataFrame, order: list[str]) -> DataFrame:
@@ -28,39 +27,20 @@ def one_task_per_version(submissions: DataFrame) -> DataFrame:
 
 
 def _with_previous(events: DataFrame) -> DataFrame:
-    """Status events with the state before each one; a document is cut by month."""
-    cut = events.withColumn("_cut", F.date_trunc("month", "occurred_at"))
-    return chunked_lag(cut, ["document_id"], ["_cut"], ["occurred_at", "event_id"], ["status"]).withColumn(
-        "from_status", F.coalesce("prev.status", F.lit("DRAFT"))
-    ).drop("_cut", "prev")
+    """Status events with the state before each one."""
+    moves = chunked_lag(events, ["document_id"], ["occurred_at", "event_id"], ["status"])
+    return moves.withColumn("from_status", F.coalesce("prev.status", F.lit("DRAFT"))).drop("prev")
 
 
 def is_resubmission(from_status: Column, to_status: Column) -> Column:
     return (to_status == "SUBMITTED") & from_status.isin(*P.RESUBMITTABLE)
 
 
-def assign_versions(events: DataFrame) -> DataFrame:
-    """LC3: version of a document after each status event; a resubmission adds one.
-
-    Resubmissions are summed per month first, so the running total of a busy document is spread.
-    """
-    flagged = _with_previous(events).withColumn(
-        "_step", is_resubmission(F.col("from_status"), F.col("status")).cast("int")
-    ).withColumn("_cut", F.date_trunc("month", "occurred_at"))
-    months = flagged.groupBy("document_id", "_cut").agg(F.sum("_step").alias("_sum"))
-    before = Window.partitionBy("document_id").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    base = months.select("document_id", "_cut", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("document_id", "_cut").orderBy("occurred_at", "event_id").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return (
-        flagged.withColumn("_run", F.sum("_step").over(inside))
-        .join(base, ["document_id", "_cut"])
-        .select(
-            "document_id", "event_id", "from_status", "status",
-            (1 + F.col("_base") + F.col("_run")).cast("int").alias("version"),
-        )
-    )
+def assign_versions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """LC3: version of a document after each status event; a resubmission adds one."""
+    flagged = _with_previous(events).withColumn("_step", is_resubmission(F.col("from_status"), F.col("status")).cast("int"))
+    counted = chunked_scan(flagged, ["document_id"], ["occurred_at", "event_id"], {"_run": Step("sum", F.col("_step"), inclusive=True)}, hot_rows)
+    return counted.select("document_id", "event_id", "from_status", "status", (1 + F.coalesce("_run", F.lit(0))).cast("int").alias("version"))
 
 
 def allowed_transition(from_status: Column, to_status: Column) -> Column:
@@ -145,10 +125,10 @@ def link_attachments(invoices: DataFrame, attachments: DataFrame) -> DataFrame:
 def ingest_defaults(invoices: DataFrame, zero_fill_total: bool = False) -> DataFrame:
     """LC8: defaults of a stored invoice. A missing total stays missing unless ``zero_fill_total``."""
     unknown = F.concat(F.lit("UNKNOWN_"), F.sha2(F.concat_ws("|", F.col("document_id").cast("string"), "invoice_key"), 256))
-    total = F.coalesce("total_amount", F.lit(0)) if zero_fill_total else F.col("total_amount")
+    total = F.coalesce("total_amount", F.lit(0).cast("decimal(14,2)")) if zero_fill_total else F.col("total_amount")
     return invoices.withColumns({
         "invoice_code": F.coalesce(F.nullif("invoice_code", F.lit("")), F.lit("NONE")),
         "invoice_number": F.coalesce(F.nullif("invoice_number", F.lit("")), unknown),
         "invoice_type": F.coalesce(F.nullif("invoice_type", F.lit("")), F.lit("增值税电子普通发票")),
-        "total_amount": total.cast("decimal(14,2)"),
+        "total_amount": total,  # of any size: extraction returns amounts beyond 14 digits
     })

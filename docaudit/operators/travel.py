@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docaudit import params as P
 from docaudit.functions import geo
 from docaudit.functions.findings import emit, finding_row
-from docaudit.functions.ordered import chunked_lag
+from docaudit.functions.ordered import HOT_ROWS, Step, chunked_lag, chunked_scan
 from docaudit.functions.scalars import contains_any, is_lodging, strip
 from docaudit.params import DEFAULTS, AuditParams
 
@@ -132,31 +132,19 @@ def _hours(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / 3.6e9
 
 
-def point_pairs(points: DataFrame, by_day: bool = False) -> DataFrame:
-    """Every point with the point before it in its scope.
-
-    Scopes are cut by hour, or, for points dated by day, by instant and block of points; a scope
-    with a third of all points never meets in one window.
-    """
-    if by_day:
-        cut = points.withColumn("_cut", F.col("event_time")).withColumn(
-            "_block", F.floor(F.col("point_no") / 65536)
-        )
-        chunk = ["_cut", "_block"]
-    else:
-        cut = points.withColumn("_cut", F.date_trunc("hour", "event_time"))
-        chunk = ["_cut"]
+def point_pairs(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every point with the point before it in its scope; points of one instant follow their number."""
     return chunked_lag(
-        cut, ["scope_id"], chunk, ["event_time", "point_no", "point_id"],
-        ["point_id", "event_time", "city_name", "latitude", "longitude"],
-    ).drop(*chunk)
+        points, ["scope_id"], ["event_time", "point_no", "point_id"],
+        ["point_id", "event_time", "city_name", "latitude", "longitude"], hot_rows=hot_rows,
+    )
 
 
-def point_collisions(points: DataFrame, params: AuditParams = DEFAULTS, by_day: bool = False) -> DataFrame:
+def point_collisions(points: DataFrame, params: AuditParams = DEFAULTS) -> DataFrame:
     """R09: neighbours in time at least 100 km apart, at the same instant or faster than possible."""
     prev = F.col("prev")
     pairs = (
-        point_pairs(points, by_day)
+        point_pairs(points)
         .where(prev.isNotNull())
         .withColumn("km", geo.distance_km(prev["latitude"], prev["longitude"], F.col("latitude"), F.col("longitude")))
         .withColumn("hours", _hours(F.col("event_time"), prev["event_time"]))
@@ -257,20 +245,21 @@ def hotel_before_arrival(segments: DataFrame, lines: DataFrame) -> DataFrame:
     ))
 
 
-def segment_overlaps(segments: DataFrame) -> DataFrame:
-    """R09: the next segment departs before the previous one arrives (neighbours by departure)."""
-    timed = segments.where(F.col("departure_time").isNotNull() & F.col("arrival_time").isNotNull()).withColumn(
-        "_day", F.to_date("departure_time")
-    )
-    pairs = chunked_lag(
-        timed, ["document_id"], ["_day"], ["departure_time", "segment_id"],
-        ["segment_id", "departure_time", "arrival_time", "transport_no"],
-    )
+def segment_overlaps(segments: DataFrame, prev_max: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """R09: the next segment departs before the previous one arrives.
+
+    The previous one is the neighbour by departure, or with ``prev_max`` the one of all earlier departures that arrives
+    last, so a short trip inside a long one hides nothing.
+    """
+    timed = segments.where(F.col("departure_time").isNotNull() & F.col("arrival_time").isNotNull())
+    carried = F.struct("arrival_time", "segment_id", "departure_time", "transport_no")
+    step = Step("max" if prev_max else "last", carried)
+    pairs = chunked_scan(timed, ["document_id"], ["departure_time", "segment_id"], {"prev": step}, hot_rows)
     hits = pairs.where(F.col("departure_time") < F.col("prev.arrival_time"))
     return emit(hits, finding_row(
         "overlap",
         F.concat_ws("|", F.col("prev.segment_id"), "segment_id"),
-        title=F.lit("相邻行程时间重叠"),
+        title=F.lit("行程时间重叠" if prev_max else "相邻行程时间重叠"),
         actual={"previous_arrival": F.col("prev.arrival_time"), "departure": F.col("departure_time")},
         expected={"overlap_allowed": F.lit(False)},
     ))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,27 +46,67 @@ def local_session(app: str = "docaudit", cores: str = "*", **conf: str) -> Spark
     return tune(spark)
 
 
+#: Temporary folder of a local application that names none, and the tables an application has stored, by application id.
+_LOCAL_FOLDERS: dict[str, str] = {}
+_STORED: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the one the cluster names, or a temporary one in local mode.
 
-    A cluster must name a folder that all machines share; there is no other way to run.
+    A cluster must name a folder that all machines share; there is no other way to run. A local application that names
+    none gets one folder of its own, which goes when Python ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and re.match(r"local(\[|$)", spark.sparkContext.master):
-        folder = tempfile.mkdtemp(prefix="docaudit-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if folder is None:
+    if folder is not None:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="docaudit-")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
+    return _LOCAL_FOLDERS[app]
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A fresh path in the shared folder, noted for ``release``."""
+    path = f"{shared_folder(spark).rstrip('/')}/docaudit/{kind}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a result that several branches use to the shared folder and read it back.
 
-    The table survives lost executors, cuts the lineage and keeps column pruning.
+    The table survives lost executors, cuts the lineage and keeps column pruning. It stays until ``release``.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder.rstrip('/')}/docaudit/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this application has stored (from the ``since``-th path on); returns the number of paths.
+
+    Results that still read those tables can no longer be computed: write them first.
+    """
+    paths = _STORED.get(spark.sparkContext.applicationId, [])
+    gone = paths[since:]
+    del paths[since:]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at the end of the block what was stored inside it: write results inside, then nothing is left behind."""
+    since = len(_STORED.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, since)

@@ -1,5 +1,8 @@
 """Values beyond the usual sizes, resumed stream jobs, and the report store."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -8,7 +11,6 @@ from pyspark.sql import functions as F
 
 from docaudit.functions import scalars as S
 from docaudit.operators import extract as E, invoices as I, lifecycle as L
-from docaudit.session import shared_folder
 from docaudit.sources.sinks import ReportStore
 from docaudit.streaming import jobs as J
 
@@ -148,5 +150,33 @@ def test_completion_saves_reports_and_marks_failures(spark, tmp_path):
     assert {r["task_id"]: r["status"] for r in store.read("tasks").collect()} == {"K1": "COMPLETED", "K9": "RUNNING"}
 
 
-def test_shared_folder_is_named(spark):
-    assert shared_folder(spark)
+def test_plain_install_runs_and_cleans_up(tmp_path):
+    """A local session without any configuration: stored tables get a folder, and scratch() leaves nothing behind."""
+    code = """
+import glob, sys
+from pyspark.sql import SparkSession
+from docaudit.session import materialize, release, scratch, shared_folder
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+kept = materialize(spark.range(5))
+with scratch(spark):
+    assert materialize(spark.range(7)).count() == 7
+    assert len(glob.glob(shared_folder(spark) + "/docaudit/*")) == 2
+assert len(glob.glob(shared_folder(spark) + "/docaudit/*")) == 1 and kept.count() == 5
+assert release(spark) == 1 and not glob.glob(shared_folder(spark) + "/docaudit/*")
+print(shared_folder(spark))
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert not os.path.exists(done.stdout.strip().splitlines()[-1])
+
+
+def test_pages_without_extent_and_large_totals(spark):
+    rows = [(10.0, 100.0), (10.0, 0.0), (-5.0, 100.0), (1e300, 1.0), (None, 10.0), (10.0, None)]
+    boxes = spark.createDataFrame(rows, "v double, e double").select(S.fraction_box(F.col("v"), F.col("e")).alias("b"))
+    assert [r["b"] for r in boxes.collect()] == [100, None, 0, 1000, None, None]
+    big = spark.sql("select 1L document_id, 'k' invoice_key, null invoice_code, '' invoice_number, null invoice_type, cast('99999999999999999999.25' as decimal(38,2)) total_amount")
+    row = L.ingest_defaults(big).first()
+    assert str(row["total_amount"]) == "99999999999999999999.25" and row["invoice_code"] == "NONE"
+    assert L.ingest_defaults(big.withColumn("total_amount", F.lit(None).cast("decimal(14,2)")), zero_fill_total=True).first()["total_amount"] == 0

@@ -110,9 +110,8 @@ def points(spark, *rows):
     ([("2024-01-01 09:59:00", "北京"), ("2024-01-01 10:01:00", "上海")], ["false"]),
 ])
 def test_point_collisions(spark, rows, simultaneous):
-    for by_day in (False, True):
-        found = travel.point_collisions(points(spark, *rows), by_day=by_day).collect()
-        assert [r.actual_value["is_simultaneous"] for r in found] == simultaneous
+    found = travel.point_collisions(points(spark, *rows)).collect()
+    assert [r.actual_value["is_simultaneous"] for r in found] == simultaneous
 
 
 def segment(spark, **values):
