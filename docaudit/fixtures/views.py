@@ -27,6 +27,10 @@ class SparkDialect:
     def add_minutes(ts: str, minutes: str) -> str:
         return f"timestampadd(MINUTE, cast(floor({minutes}) as int), cast({ts} as timestamp))"
 
+    @staticmethod
+    def add_days(day: str, days: str) -> str:
+        return f"date_add(date '{day}', cast({days} as int))"
+
     @staticmethod
     def ts(expr: str) -> str:
         return f"cast({expr} as timestamp)"
@@ -49,6 +53,10 @@ class DuckDialect:
     def add_minutes(ts: str, minutes: str) -> str:
         return f"({ts} + to_minutes(cast(floor({minutes}) as bigint)))"
 
+    @staticmethod
+    def add_days(day: str, days: str) -> str:
+        return f"(date '{day}' + cast({days} as int))"
+
     @staticmethod
     def ts(expr: str) -> str:
         return f"cast({expr} as timestamp)"
@@ -225,6 +233,18 @@ def v_segments(d):
     from {d.t('lineitem')}"""
 
 
+def v_trips(d):
+    """Segments gathered by carrier: many overlap, short ones inside long ones."""
+    start = d.add_minutes("l_shipdate", "l_quantity * 20")
+    return f"""
+    select l_suppkey as document_id, concat({_pad('l_orderkey', 10)}, '-', {_LINE_KEY}) as segment_id,
+      case when l_partkey % 19 = 0 then null else {start} end as departure_time,
+      case when l_partkey % 13 = 0 then null else {d.add_minutes('l_shipdate', 'l_quantity * 20 + 30 + l_discount * 90000')} end
+        as arrival_time,
+      concat('G', cast(l_partkey % 1000 as string)) as transport_no
+    from {d.t('lineitem')}"""
+
+
 def v_doc_points(d):
     return f"""
     select l_orderkey as scope_id, cast(l_linenumber as bigint) as point_no, {_LINE_KEY} as point_id,
@@ -517,6 +537,65 @@ def v_tickets(d):
     from {d.numbered('orders', len(rows))} n"""
 
 
+def v_policy_versions(d):
+    return f"""
+    select p_partkey % 40 as policy_key, cast(floor(p_partkey / 40) as bigint) as version_no,
+      {d.add_days('1995-01-01', 'p_partkey * 613 % 2500')} as effective_from
+    from {d.t('part')}"""
+
+
+def v_policy_uses(d):
+    """Lines and the policy version they were settled by; four of ten lie with one policy."""
+    return f"""
+    select l_orderkey as document_id, {_LINE_KEY} as line_key,
+      case when l_partkey % 10 < 4 then 0 else l_suppkey % 41 end as policy_key, (l_orderkey * 7 + l_partkey) % 53 as used_version,
+      case when l_partkey % 37 = 0 then null else cast(l_shipdate as date) end as expense_day
+    from {d.t('lineitem')}"""
+
+
+def v_expenses(d):
+    """Lines with their applicant; a third of the documents is one applicant's."""
+    return f"""
+    select l_orderkey as document_id, case when o_orderkey % 3 = 0 then 1 when o_custkey % 90 = 0 then null else o_custkey end as applicant_id,
+      case l_partkey % 5 when 0 then '采购' when 1 then '招待' when 2 then '办公' when 3 then '会务' else null end as category,
+      case when l_suppkey % 31 = 0 then null else cast(l_shipdate as date) end as expense_day,
+      case when l_partkey % 53 = 0 then null when l_partkey % 47 = 0 then -{_AMOUNT} else {_AMOUNT} end as amount
+    from {d.t('lineitem')} join {d.t('orders')} on l_orderkey = o_orderkey"""
+
+
+def v_contracts(d):
+    return f"""
+    select c_custkey as contract_id, case when c_custkey % 31 = 0 then null
+      when c_custkey = 7 then cast(900000 as decimal(14,2)) else cast(1500 + c_custkey % 4000 as decimal(14,2)) end as contract_total
+    from {d.t('customer')}"""
+
+
+def v_payments(d):
+    """One payment per order; three of ten go to one contract."""
+    return f"""
+    select case when o_orderkey % 10 < 3 then 7 when o_orderkey % 71 = 0 then null else o_custkey end as contract_id,
+      cast(o_orderdate as date) as paid_on, o_orderkey as document_id,
+      case when o_orderkey % 41 = 0 then null
+        else cast(cast(o_totalprice as decimal(14,2)) * cast(0.01 as decimal(3,2)) as decimal(14,2)) end as amount
+    from {d.t('orders')}"""
+
+
+def _prepaid(d, condition: str, factor: str) -> str:
+    return f"""
+    select case when o_orderkey % 10 < 3 then 7 else o_custkey end as account_id, cast(o_orderdate as date) as day, o_orderkey as entry_id,
+      case when o_orderkey % 61 = 0 then null
+        else cast(cast(o_totalprice as decimal(14,2)) * cast({factor} as decimal(3,2)) as decimal(14,2)) end as amount
+    from {d.t('orders')} where {condition}"""
+
+
+def v_advances(d):
+    return _prepaid(d, "o_orderstatus = 'F'", "0.06")
+
+
+def v_offsets(d):
+    return _prepaid(d, "o_orderstatus <> 'F'", "0.03")
+
+
 VIEWS = {name: fn for name, fn in list(globals().items()) if name.startswith("v_") and callable(fn)}
 
 

@@ -13,6 +13,8 @@ from docaudit.schemas import FINDINGS, names
 RULES = {
     "header_line": ("R01_HEADER_LINE_MISMATCH", "单据总额与明细行累加不符", "high", "amount_agent", False),
     "invoice_sum": ("R02_INVOICE_SUM_MISMATCH", "发票价税合计与申报总额不符", "high", "amount_agent", False),
+    "contract": ("R03_CONTRACT_OVERPAYMENT", "合同累计付款超过合同总额", "high", "amount_agent", False),
+    "prepayment": ("R04_PREPAYMENT_OVER_OFFSET", "预付款超额冲销", "high", "amount_agent", False),
     "tax": ("R05_TAX_AMOUNT_MISMATCH", "发票不含税金额与税额之和异常", "medium", "amount_agent", True),
     "policy_exceeded": ("R05_POLICY_EXCEEDED", "差旅住宿费用超标", "medium", "policy_agent", True),
     "manual": ("R07_MANUAL_OVERRIDE_FLAG", "经办人手动修正票面数据提示", "medium", "amount_agent", True),
@@ -25,6 +27,8 @@ RULES = {
     "overlap": ("R09_TRAVEL_SEGMENT_OVERLAP", "多段交通行程时间重叠冲突", "high", "anomaly_agent", True),
     "sequential": ("R10_SEQUENTIAL_INVOICES", "同商户连号发票拆单风险", "medium", "anomaly_agent", True),
     "unregistered": ("R12_SUPPLIER_UNREGISTERED", "统一社会信用代码校验失败", "high", "supplier_agent", False),
+    "policy_version": ("R12_POLICY_VERSION_MISMATCH", "报销所依据的制度版本已废止", "low", "policy_agent", True),
+    "split_purchase": ("R07_SPLIT_PURCHASE", "同申请人同科目短期累计超审批阈值", "high", "anomaly_agent", True),
     "dishonest": ("R13_SUPPLIER_DISHONEST", "供应商为最高法失信被执行人 (老赖)", "high", "supplier_agent", False),
     "policy_missing": ("R14_POLICY_NOT_FOUND", "差旅城市缺失或无对应制度标准", "low", "policy_agent", True),
     "shell": ("R15_SHELL_COMPANY", "供应商经营状态异常 (已注销/吊销/空壳)", "high", "supplier_agent", False),
@@ -32,10 +36,12 @@ RULES = {
     "scope": ("R17_SUPPLIER_SCOPE_DEVIATION", "供应商经营范围与采购业务严重偏离", "high", "supplier_agent", True),
 }
 
-# Advice per rule code, in our own words.
+# Advice per rule code or rule variant, in our own words.
 ADVICE = {
     "R01": "核对明细金额后重新提交",
     "R02": "补齐发票或调整申报金额",
+    "R03": "核对合同总额与已付款项，停止超付",
+    "R04": "核对预付余额后调整冲销金额",
     "R05": "复核金额，超出部分自理或特批",
     "R07": "对照原票核实修改后的金额",
     "R08": "剔除重复使用的发票",
@@ -48,6 +54,8 @@ ADVICE = {
     "R16": "补充公务证明材料",
     "R17": "核查供应商履约能力",
     "H99": "该维度未完成核验，请人工复核",
+    "policy_version": "按现行制度版本重新核定",
+    "split_purchase": "合并金额后按审批权限重新申报",
 }
 
 _TITLE_LIMIT = 128
@@ -89,7 +97,7 @@ def finding_row(
         _text_map(expected).alias("expected_value"),
         F.substring(head, 1, _TITLE_LIMIT).alias("title"),
         (head if description is None else description).alias("description"),
-        F.lit(ADVICE[code[:3]]).alias("suggestion"),
+        F.lit(ADVICE.get(rule) or ADVICE[code[:3]]).alias("suggestion"),
         F.array(*[F.lit(e) for e in evidence]).cast("array<string>").alias("evidence_ids"),
     )
 

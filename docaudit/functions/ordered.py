@@ -82,9 +82,10 @@ def chunked_scan(df: DataFrame, group: list[str], order: list[str], steps: dict[
     joined = folded.join(carried.alias("c"), _same("f", "c", [*group, "_piece"]), "left")
     cut = joined.select(
         *[F.col(f"f.{c}") for c in df.columns],
-        *[s.join(F.col(f"c._c_{n}"), F.col(f"f._h_{n}")).cast(plain.schema[n].dataType).alias(n) for n, s in steps.items()],
+        *[s.join(F.col(f"c._c_{n}"), F.col(f"f._h_{n}")).alias(n) for n, s in steps.items()],
     )
-    return plain.unionByName(cut)
+    # A sum of sums has more digits than a sum.
+    return plain.unionByName(cut.withColumns({n: F.col(n).cast(plain.schema[n].dataType) for n, s in steps.items() if s.how == "sum"}))
 
 
 def chunked_lag(df: DataFrame, group: list[str], order: list[str], carry: list[str], name: str = "prev", hot_rows: int = HOT_ROWS) -> DataFrame:

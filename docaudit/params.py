@@ -70,6 +70,8 @@ class AuditParams:
     high_overrun: str = "1.5"
     auto_approve_limit: str = "500.00"
     cfo_limit: str = "10000.00"
+    split_days: int = 3
+    split_limit: str = "3000.00"
     score_high: int = 25
     score_medium: int = 10
     score_low: int = 3
