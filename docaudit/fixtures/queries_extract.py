@@ -6,53 +6,60 @@ from pyspark.sql import functions as F
 
 from docaudit.fixtures.oracle_parts import city_map
 from docaudit.fixtures.registry import query
+from docaudit.fixtures.views import capital_digit
 from docaudit.functions.scalars import fraction_box
 from docaudit.operators import extract as E, tickets as K
 
-# The view prints every amount with two decimals and nothing else in that shape, so a plain pattern is enough.
-_M = r"""m as materialized (select file_id, token_idx, text, confidence, cast(cast(regexp_extract(text, '([0-9]+\.[0-9]{2})', 1) as decimal(20,2)) * 100 as bigint) as cents
-      from v_tokens where regexp_matches(text, '[0-9]+\.[0-9]{2}'))"""
+# A token of the view holds at most one amount, and no other digits before it (a date with dots begins like an amount).
+_M = r"""m as materialized (select file_id, token_idx, text, confidence, regexp_matches(text, '价税合计|小写|总计') as lt, regexp_matches(text, '合计|金额|不含税') as lu,
+      cast(cast(replace(regexp_extract(text, '([0-9][0-9,]*(\.[0-9]{2})?)', 1), ',', '') as decimal(20,2)) * 100 as bigint) as cents
+      from v_tokens where regexp_matches(text, '[0-9]\.[0-9]{2}($|[^0-9])|¥[0-9]|[0-9]元'))"""
 _R = r"""rt as materialized (select file_id, token_idx * 2 as idx, confidence, cast(cast(regexp_extract(text, '([0-9]{1,2}(\.[0-9]{1,2})?)\s*%', 1) as decimal(6,2)) / 100 as decimal(8,4)) as rate
       from v_tokens where regexp_matches(text, '[0-9]\s*%') union all
       select file_id, token_idx * 2 + 1, confidence, cast(0 as decimal(8,4)) from v_tokens where contains(text, '免税') or contains(text, '不征税'))"""
 _D = r"""dt as materialized (select file_id, token_idx, case when xmin > 780 then 'tax' else 'amount' end as kind,
       cast(cast(regexp_extract(text, '([0-9]+\.[0-9]{2})', 1) as decimal(20,2)) * 100 as bigint) as cents
       from v_tokens where regexp_full_match(text, '[¥￥]?\s*[0-9]+\.[0-9]{2}') and ymin between 260 and 720 and xmin > 550)"""
-_C = "cap as (select file_id, 123400 as capital from v_tokens where contains(text, '壹仟贰佰叁拾肆圆整'))"
-_LAB_T = "regexp_matches({0}.text, '价税合计|小写|总计')"
-_LAB_U = "regexp_matches({0}.text, '合计|金额|不含税')"
+_ONE, _TWO, _THREE = (capital_digit("o_orderkey", n) for n in (1, 2, 3))
+_C = f"""cap as materialized (select o_orderkey as file_id, cast(case o_orderkey % 4 when 0 then ({_ONE} * 10000 + {_TWO} * 1000 + {_THREE} * 100) * 100
+      when 1 then ({_ONE} * 100000000 + {_TWO} * 10000000 + {_THREE}) * cast(100 as bigint) when 2 then ({_ONE} * 10 + {_TWO}) * 100 + {_THREE} * 10 + {_ONE}
+      else ({_ONE} * 100 + {_TWO}) * 100 end as bigint) as capital from orders where o_orderkey % 3 = 0)"""
 _TRIPLES = f"""{_M}, {_R}, {_D}, {_C},
     dl as materialized (select file_id, coalesce(list(cents) filter (where kind = 'amount'), []) as amts, coalesce(list(cents) filter (where kind = 'tax'), []) as txs from dt group by 1),
     rl as materialized (select file_id, list(rate order by idx) as rates from rt group by 1),
-    t0 as materialized (select a.file_id, a.token_idx as i, b.token_idx as j, c.token_idx as k, a.cents as u, b.cents as x, c.cents as t, a.confidence as uc, b.confidence as xc, c.confidence as tc,
-      {_LAB_T.format('c')} as lt, {_LAB_U.format('a')} as lu, round_even(b.cents::double / a.cents, 4) as ratio,
-      list_filter(coalesce(dl.amts, []), lambda z: z <> a.cents and z <> c.cents) as la, list_filter(coalesce(dl.txs, []), lambda z: z <> b.cents and z <> c.cents) as lx,
-      coalesce(rl.rates, []) as rates, coalesce(abs(c.cents - cap.capital) <= 1, false) as capok
-      from m a join m b on b.file_id = a.file_id and b.token_idx <> a.token_idx join m c on c.file_id = a.file_id and c.token_idx <> a.token_idx and c.token_idx <> b.token_idx
-      left join dl on dl.file_id = a.file_id left join rl on rl.file_id = a.file_id left join cap on cap.file_id = a.file_id
-      where abs(a.cents + b.cents - c.cents) <= 1),
+    pairs as materialized (select a.file_id, a.token_idx as i, b.token_idx as j, a.cents as u, b.cents as x, a.confidence as uc, b.confidence as xc, a.lu,
+      unnest([a.cents + b.cents - 1, a.cents + b.cents, a.cents + b.cents + 1]) as want
+      from m a join m b on b.file_id = a.file_id where b.token_idx <> a.token_idx),
+    found as materialized (select p.file_id, p.i, p.j, c.token_idx as k, p.u, p.x, c.cents as t, p.uc, p.xc, c.confidence as tc, c.lt, p.lu
+      from pairs p join m c on c.file_id = p.file_id and c.cents = p.want where c.token_idx <> p.i and c.token_idx <> p.j),
+    t0 as materialized (select f.*, round_even(f.x::double / f.u, 4) as ratio,
+      list_filter(coalesce(dl.amts, []), lambda z: z <> f.u and z <> f.t) as la, list_filter(coalesce(dl.txs, []), lambda z: z <> f.x and z <> f.t) as lx,
+      coalesce(rl.rates, []) as rates, coalesce(abs(f.t - cap.capital) <= 1, false) as capok
+      from found f left join dl on dl.file_id = f.file_id left join rl on rl.file_id = f.file_id left join cap on cap.file_id = f.file_id),
     t1 as (select *, coalesce(len(la) > 0 and abs(u - list_sum(la)) <= 1, false) as aok, coalesce(len(lx) > 0 and abs(x - list_sum(lx)) <= 1, false) as xok,
       list_filter(rates, lambda r: abs(ratio - r) <= 0.005)[1] as printed from t0),
     t2 as (select *, case when aok then 10 else 0 end + case when xok then 10 else 0 end + case when printed is not null then 10 else 0 end + case when capok then 15 else 0 end
       + case when lt then 5 else 0 end + case when lu then 3 else 0 end as score from t1),
     best as materialized (select * from (select *, row_number() over (partition by file_id order by score desc, i, j, k) as rn from t2) where rn = 1)"""
 _RATE = "cast(coalesce(case when printed <> 0 then printed end, ratio) as decimal(18,4))"
-_FALL = f"""fm as (select m.*, cap.capital from m left join cap using (file_id) where m.file_id not in (select file_id from best)),
-    ft as materialized (select file_id, coalesce(arg_min(token_idx, token_idx) filter (where {_LAB_T.format('fm')}), arg_min(token_idx, token_idx) filter (where abs(cents - capital) <= 1),
+_FALL = """fm as materialized (select m.*, cap.capital from m left join cap using (file_id) where not exists (select 1 from best where best.file_id = m.file_id)),
+    ft as materialized (select file_id, coalesce(arg_min(token_idx, token_idx) filter (where lt), arg_min(token_idx, token_idx) filter (where abs(cents - capital) <= 1),
       arg_min(token_idx, (-cents, token_idx))) as ti, max(capital) as capital from fm group by 1),
-    fb as (select f.*, ft.capital as cap2, tt.cents as t, tt.confidence as tc from fm f join ft using (file_id) join m tt on tt.file_id = f.file_id and tt.token_idx = ft.ti),
-    fx as (select file_id, min(token_idx) as xi from fb where contains(text, '税额') and cents < t group by 1),
-    fu as (select fb.file_id, min(token_idx) as ui from fb left join fx using (file_id) where {_LAB_U.format('fb')} and cents < t and token_idx is distinct from xi group by 1),
-    fr as (select file_id, arg_min(rate, idx) as rate, arg_min(confidence, idx) as rc from rt group by 1),
+    fb as materialized (select f.*, ft.capital as cap2, tt.cents as t, tt.confidence as tc from fm f join ft using (file_id) join m tt on tt.file_id = f.file_id and tt.token_idx = ft.ti),
+    fx as materialized (select file_id, min(token_idx) as xi from fb where contains(text, '税额') and cents < t group by 1),
+    fu as materialized (select fb.file_id, min(token_idx) as ui from fb left join fx using (file_id) where lu and cents < t and token_idx is distinct from xi group by 1),
+    fr as materialized (select file_id, arg_min(rate, idx) as rate, arg_min(confidence, idx) as rc from rt group by 1),
     fall as materialized (select ft.file_id, tt.cents as t, tt.confidence as tc, coalesce(abs(tt.cents - ft.capital) <= 1, false) as sure, mx.cents as x0, mx.confidence as xc0, mu.cents as u0, mu.confidence as uc0, fr.rate, fr.rc
       from ft join m tt on tt.file_id = ft.file_id and tt.token_idx = ft.ti left join fx on fx.file_id = ft.file_id left join m mx on mx.file_id = ft.file_id and mx.token_idx = fx.xi
       left join fu on fu.file_id = ft.file_id left join m mu on mu.file_id = ft.file_id and mu.token_idx = fu.ui left join fr on fr.file_id = ft.file_id),
-    amt as (select file_id, t as total_cents, 'CONFIRMED' as total_status, u as untaxed_cents, 'CONFIRMED' as untaxed_status, x as tax_cents, 'CONFIRMED' as tax_status, {_RATE} as tax_rate,
-        'CONFIRMED' as rate_status, true as eq, aok, xok, {_RATE} <> 0 as rok, false as conflict from best
+    amt as materialized (select file_id, t as total_cents, 'CONFIRMED' as total_status, u as untaxed_cents, 'CONFIRMED' as untaxed_status, x as tax_cents, 'CONFIRMED' as tax_status, {RATE} as tax_rate,
+        'CONFIRMED' as rate_status, true as eq, aok, xok, {RATE} <> 0 as rok, false as conflict,
+        least(1.0, tc + 0.05) as total_conf, least(1.0, uc + 0.05) as untaxed_conf, least(1.0, xc + 0.05) as tax_conf, 0.99::double as rate_conf from best
       union all select file_id, t, case when sure then 'CONFIRMED' else 'UNCERTAIN' end, case when (x0 is null) <> (u0 is null) then coalesce(u0, t - x0) end,
         case when (x0 is null) = (u0 is null) then 'MISSING' when u0 is null then 'DERIVED' else 'CONFIRMED' end,
         case when (x0 is null) <> (u0 is null) then coalesce(x0, t - u0) end, case when (x0 is null) = (u0 is null) then 'MISSING' when x0 is null then 'DERIVED' else 'CONFIRMED' end,
-        cast(rate as decimal(18,4)), case when rate is null then 'MISSING' else 'CONFIRMED' end, (x0 is null) <> (u0 is null), false, false, false, x0 is not null and u0 is not null from fall)"""
+        cast(rate as decimal(18,4)), case when rate is null then 'MISSING' else 'CONFIRMED' end, (x0 is null) <> (u0 is null), false, false, false, x0 is not null and u0 is not null,
+        tc, case when (x0 is null) <> (u0 is null) then coalesce(uc0, least(tc, xc0) * 0.9) end, case when (x0 is null) <> (u0 is null) then coalesce(xc0, least(tc, uc0) * 0.9) end, rc from fall)""".replace("{RATE}", _RATE)
 
 
 def _whole(*names: str):
@@ -72,10 +79,12 @@ def _(t):
     )
 
 
-@query("ex3_dates", ["v_tokens"], r"""
-    select file_id, token_idx, regexp_extract(text, '([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})', 1) || '-' || regexp_extract(text, '([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})', 2) || '-' ||
-      regexp_extract(text, '([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})', 3) as issue_date
-    from v_tokens where regexp_matches(text, '[0-9]{4}年') and cast(regexp_extract(text, '([0-9]{4})年', 1) as int) between 2000 and 2035""")
+_DAY = r"([0-9]{4})\s*[年\-\./]\s*([0-9]{1,2})\s*[月\-\./]\s*([0-9]{1,2})"
+_DATE = f"(regexp_extract(text, '{_DAY}', 1) || '-' || lpad(regexp_extract(text, '{_DAY}', 2), 2, '0') || '-' || lpad(regexp_extract(text, '{_DAY}', 3), 2, '0'))"
+_DATED = f"regexp_matches(text, '{_DAY}') and cast(regexp_extract(text, '{_DAY}', 1) as int) between 2000 and 2035"
+
+
+@query("ex3_dates", ["v_tokens"], f"select file_id, token_idx, {_DATE} as issue_date from v_tokens where {_DATED}")
 def _(t):
     return E.date_candidates(t.tokens).select("file_id", "token_idx", "issue_date")
 
@@ -90,8 +99,12 @@ def _(t):
 _NUMBERS = r"""nn as (select file_id,
       coalesce(arg_min(regexp_extract(text, '(?:发票号码|No|NO|N0|凭证号|单号)[:：\s\.]*([0-9A-Za-z]{8,20})', 1), token_idx) filter (where regexp_matches(text, '(?:发票号码|No|NO|N0|凭证号|单号)[:：\s\.]*[0-9A-Za-z]{8,20}')),
         arg_min(text, token_idx) filter (where regexp_full_match(text, '[0-9]{8}|[0-9]{20}'))) as number,
+      coalesce(arg_min(confidence, token_idx) filter (where regexp_matches(text, '(?:发票号码|No|NO|N0|凭证号|单号)[:：\s\.]*[0-9A-Za-z]{8,20}')),
+        arg_min(confidence, token_idx) filter (where regexp_full_match(text, '[0-9]{8}|[0-9]{20}')) * 0.9) as number_conf,
+      arg_min(confidence, token_idx) filter (where regexp_matches(text, '发票代码[:：\s]*[0-9]{10,12}')) as c1_conf,
       arg_min(regexp_extract(text, '发票代码[:：\s]*([0-9]{10,12})', 1), token_idx) filter (where regexp_matches(text, '发票代码[:：\s]*[0-9]{10,12}')) as c1 from v_tokens group by 1),
-    nc as (select n.file_id, n.number, coalesce(n.c1, (select arg_min(k.text, k.token_idx) from v_tokens k where k.file_id = n.file_id and regexp_full_match(k.text, '[0-9]{10}|[0-9]{12}')
+    nc as (select n.file_id, n.number, n.number_conf, coalesce(n.c1_conf, (select arg_min(k.confidence, k.token_idx) * 0.85 from v_tokens k where k.file_id = n.file_id and regexp_full_match(k.text, '[0-9]{10}|[0-9]{12}')
+      and k.text is distinct from n.number)) as code_conf, coalesce(n.c1, (select arg_min(k.text, k.token_idx) from v_tokens k where k.file_id = n.file_id and regexp_full_match(k.text, '[0-9]{10}|[0-9]{12}')
       and k.text is distinct from n.number)) as code from nn n)"""
 
 
@@ -105,7 +118,7 @@ def _(t):
     return E.detail_rows(t.tokens).withColumn("cents", F.col("cents").cast("bigint"))
 
 
-@query("ex7_capital_amounts", ["v_tokens"], f"with {_C} select file_id, cast(capital as bigint) as capital from cap")
+@query("ex7_capital_amounts", ["v_tokens"], f"with {_C} select file_id, capital from cap")
 def _(t):
     return E.capital_amounts(t.tokens).withColumn("capital", F.col("capital").cast("bigint"))
 
@@ -124,7 +137,7 @@ def _(t):
 @query("ex9_amount_fallback", ["v_tokens"], f"""
     with {_TRIPLES}, {_FALL} select file_id, total_cents, total_status, untaxed_cents, untaxed_status, tax_cents, tax_status, tax_rate, rate_status, eq as amount_equation_valid, conflict as amount_conflict from amt""")
 def _(t):
-    return E.amount_fields(t.stored("tokens")).select(
+    return E.amount_fields(t.tokens).select(
         "file_id", "total_status", "untaxed_status", "tax_status", "tax_rate", *_whole("total_cents", "untaxed_cents", "tax_cents"),
         "rate_status", "amount_equation_valid", "amount_conflict",
     )
@@ -137,7 +150,13 @@ _PARTIES = rf"""tk as (select *, regexp_extract(text, '([0-9A-HJ-NPQRTUWXY]{{2}}
     pt as (select file_id, arg_min(tid, token_idx) filter (where tid <> '' and sell) as sc, arg_min(tid, token_idx) filter (where tid <> '' and not sell and buy) as bc,
       arg_min(tid, token_idx) filter (where tid <> '') as ac, arg_min(nm, token_idx) filter (where nm <> '' and sell) as sn1, arg_min(nm, token_idx) filter (where nm <> '' and not sell and buy) as bn1,
       arg_min(trim(text), token_idx) filter (where ymin > 600 and regexp_matches(text, '(公司|有限公司|商行|酒店)$')) as sn2,
-      arg_min(trim(text), token_idx) filter (where ymin < 450 and regexp_matches(text, '(公司|有限公司|学校)$')) as bn2 from tk group by 1),
+      arg_min(trim(text), token_idx) filter (where ymin < 450 and regexp_matches(text, '(公司|有限公司|学校)$')) as bn2,
+      arg_min(confidence, token_idx) filter (where tid <> '' and sell) as scf, arg_min(confidence, token_idx) filter (where tid <> '' and not sell and buy) as bcf,
+      arg_min(confidence, token_idx) filter (where tid <> '') as acf, arg_min(confidence, token_idx) filter (where nm <> '' and sell) as sn1f,
+      arg_min(confidence, token_idx) filter (where nm <> '' and not sell and buy) as bn1f,
+      arg_min(confidence, token_idx) filter (where ymin > 600 and regexp_matches(text, '(公司|有限公司|商行|酒店)$')) * 0.9 as sn2f,
+      arg_min(confidence, token_idx) filter (where ymin < 450 and regexp_matches(text, '(公司|有限公司|学校)$')) * 0.9 as bn2f from tk group by 1),
+    pf as (select file_id, coalesce(sn1f, sn2f) as seller_conf, coalesce(bn1f, bn2f) as buyer_conf, coalesce(scf, case when bcf is null then acf end) as seller_code_conf, bcf as buyer_code_conf from pt),
     pa as (select file_id, coalesce(sn1, sn2) as seller_name, coalesce(bn1, bn2) as buyer_name, coalesce(sc, case when bc is null then ac end) as seller_tax_id, bc as buyer_tax_id from pt)"""
 
 
@@ -201,9 +220,7 @@ def _(t):
 
 
 _PARSE = f"""{_TRIPLES}, {_FALL}, {_NUMBERS}, {_PARTIES}, {_TYPE},
-    dd as (select file_id, arg_min(regexp_extract(text, '([0-9]{{4}})年([0-9]{{1,2}})月([0-9]{{1,2}})', 1) || '-' || regexp_extract(text, '([0-9]{{4}})年([0-9]{{1,2}})月([0-9]{{1,2}})', 2) || '-' ||
-      regexp_extract(text, '([0-9]{{4}})年([0-9]{{1,2}})月([0-9]{{1,2}})', 3), token_idx) as issue_date from v_tokens
-      where regexp_matches(text, '[0-9]{{4}}年') and cast(regexp_extract(text, '([0-9]{{4}})年', 1) as int) between 2000 and 2035 group by 1),
+    dd as (select file_id, arg_min({_DATE}, token_idx) as issue_date, arg_min(confidence, token_idx) as issued_conf from v_tokens where {_DATED} group by 1),
     ff as (select c_custkey as file_id from customer union select o_orderkey from orders)"""
 
 
@@ -222,16 +239,21 @@ def _(t):
     files = t.source("orders").select(F.col("o_orderkey").alias("file_id")).union(
         t.source("customer").select("c_custkey")
     ).distinct()
-    return E.parse_invoices(t.stored("tokens"), files).select(
+    return E.parse_invoices(t.tokens, files).select(
         "file_id", "invoice_code", "invoice_number", "invoice_type", "total_amount", "untaxed_amount", "tax_amount", "tax_rate",
         "seller_name", "seller_tax_id", "buyer_name", "buyer_tax_id", "issue_date", "parse_status", "quality_issues",
         "expense_type", F.col("line.item_desc").alias("item_desc"), "expense_city", "invoice_hash",
     )
 
 
-@query("ex16_confidence")
+@query("ex16_confidence", ["v_tokens"], f"""
+    with {_PARSE}, cf as (select ty.file_id, list_filter([total_conf, untaxed_conf, tax_conf, rate_conf, seller_conf, seller_code_conf, buyer_conf, buyer_code_conf, issued_conf, number_conf, code_conf, 0.98::double],
+        lambda c: c is not null) as c, total_cents, number
+      from ty left join nc using (file_id) left join amt using (file_id) left join pf using (file_id) left join dd using (file_id))
+    select file_id, round(cast(cast(list_reduce(c, lambda a, b: a + b) / len(c) as varchar) as decimal(24,20)), 3)::double as confidence,
+      case when total_cents is null or number is null then 'NEED_REVIEW' else 'SUCCESS' end as parse_status from cf""")
 def _(t):
-    return E.parse_invoices(t.stored("tokens")).select("file_id", "confidence", "parse_status")
+    return E.parse_invoices(t.tokens).select("file_id", "confidence", "parse_status")
 
 
 @query("ex17_box_grid", ["v_tokens"], """

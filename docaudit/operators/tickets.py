@@ -19,7 +19,7 @@ DEPARTS = (
 )
 TICKET_TOP = r"(?U)\b([A-Z][0-9A-Z]{6,12})\b"
 TICKET_ANY = r"(?U)\b([A-Z][0-9A-Z]{7,12})\b"
-PASSENGER = r"\d{6}[\d\*]{6,12}[0-9Xx*]{1,4}\s*([一-龥]{2,4})"
+PASSENGER = r"\d{6}[\d\*]{6,12}[0-9Xx*]{1,4}\s*([\u4e00-\u9fa5]{2,4})"
 
 # Seats in order of preference, and wording of a ticket.
 SEATS = ("商务座", "特等座", "一等座", "二等座", "高级软卧", "软卧", "硬卧", "动卧", "硬座", "软座", "无座")

@@ -41,8 +41,9 @@ def compare(df, con, sql):
     if a == b:
         return None
     diff = [(x, y) for x, y in zip(a, b) if x != y][:1]
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [y for y in b if y not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a = [x for x in a if x not in in_b][:2]
+    only_b = [y for y in b if y not in in_a][:2]
     return f"rows {len(a)} vs {len(b)} {columns} spark-only {only_a} duckdb-only {only_b} {diff if not only_a and not only_b else ''}"
 
 
