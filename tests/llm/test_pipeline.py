@@ -6,7 +6,8 @@ import pytest
 
 import corpus_pipeline as C
 from docaudit.llm.queries import ORACLES, QUERIES
-from tests.llm.helpers import SCHEMA, Union, documents, lower, split_words
+from docaudit.llm import mixing
+from tests.llm.helpers import SCHEMA, Union, documents, lower, split_words, thue_morse
 
 SOUNDS = {"xx": ["ka", "to", "mi", "re", "su", "no"], "yy": ["schl", "ung", "pfe", "ber", "ich", "gen"]}
 
@@ -94,6 +95,31 @@ def test_encoding_stage_loses_nothing(stages):
     assert stages[4].count() == stages[3].count() and stages[4].where("not round_trip").count() == 0
 
 
+def test_mixing_stage_by_row(spark):
+    """Rows without an id, and rows that repeat one, are copied as often as the mix takes them together."""
+    rng = random.Random(2)
+    data = [(None, "w " * n, "xx", s) for n, s in [(20, "a"), (20, "a"), (20, "b"), (40, "b"), (40, None), (60, "c"), (80, "c")]]
+    data += [(i % 9, " ".join(rng.choices(["p", "q"], k=10 + i % 4)), "yy", rng.choice(["a", "b"])) for i in range(40)]
+    docs = documents(spark, data)
+    words = sum(len(t.split()) for _, t in kept(C.mix_sources(spark, docs, "unused")))
+    taken = mixing.mix(docs).collect()
+    assert words == sum(r["taken"] for r in taken) and words <= 2 * sum(r["size"] for r in taken)
+
+
+def test_near_stage_without_ids(spark):
+    """Of near copies without an id one row stays, an id goes before none, and confusable words are no copies."""
+    left = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:-1], f"x{k}"]) for k in range(6)]
+    first, second = thue_morse(1024)
+    data = [(None, near[0]), (None, near[1]), (None, near[2]), (None, "quite another text of some words"), (None, None), (None, "")]
+    data += [(1, f"a b c d {first}"), (2, f"a b c d {second}")]
+    found = left(C.near_dedup(spark, documents(spark, data), "unused"))
+    assert [t for _, t in found if t in near] and sum(t in near for _, t in found) == 1 and len(found) == 6
+    found = left(C.near_dedup(spark, documents(spark, [*data, (7, near[3])]), "unused"))
+    assert [(d, t) for d, t in found if t in near] == [(7, near[3])]
+
+
 def test_empty_table_runs_through(spark):
     docs = documents(spark, [])
     for _, stage in C.STAGES:
@@ -103,5 +129,5 @@ def test_empty_table_runs_through(spark):
 
 def test_registry():
     assert [n for n in QUERIES if n.startswith("op")] == sorted((n for n in QUERIES), key=lambda n: list(QUERIES).index(n))
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
