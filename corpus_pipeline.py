@@ -75,13 +75,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.sum("times").alias(sums), F.count("*").alias(rows_)
     )
     named = store(taken.where(F.col(sums) > 0))
-    found = docs.join(named, own[0].eqNullSafe(F.col(key[0])) & own[1].eqNullSafe(F.col(key[1])) & (own[2] == F.col(key[2])))
-    # Nearly every key is one row; only those of several rows are numbered.
-    alone = found.where(F.col(rows_) == 1).withColumn(copy, F.col(sums))
-    order = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
-    several = found.where(F.col(rows_) > 1).withColumn(place, F.row_number().over(order))
-    share = F.floor(F.col(sums) / F.col(rows_)) + (F.col(place) <= F.col(sums) % F.col(rows_)).cast("long")
-    counted = alone.unionByName(several.withColumn(copy, share).drop(place))
+
+    def met(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, own[0].eqNullSafe(F.col(key[0])) & own[1].eqNullSafe(F.col(key[1])) & (own[2] == F.col(key[2])))
+
+    counted = met(named.where(F.col(rows_) == 1)).withColumn(copy, F.col(sums))
+    several = named.where(F.col(rows_) > 1)
+    if not several.isEmpty():  # nearly every key is one row; only the others are numbered
+        order = Window.partitionBy(*key).orderBy(F.xxhash64("text"))
+        share = F.floor(F.col(sums) / F.col(rows_)) + (F.col(place) <= F.col(sums) % F.col(rows_)).cast("long")
+        counted = counted.unionByName(met(several).withColumn(place, F.row_number().over(order)).withColumn(copy, share).drop(place))
     return counted.where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*docs.columns)
 
 
