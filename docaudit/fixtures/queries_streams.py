@@ -14,6 +14,10 @@ from docaudit.sources import tables
 from docaudit.streaming import events as E, jobs as J
 
 
+#: Files of the claim stream that make one micro-batch.
+FILES_PER_BATCH = 256
+
+
 def event_stream(t, view: str = "v_audit_events"):
     """The view over the driver's events read as a stream."""
     source = t.source("events")
@@ -128,23 +132,36 @@ def _(t):
     return landed.select("task_id", "audit_version", "document_id", "status", "message", "action", "target_state", "workflow_error")
 
 
-@query("sm6_missed_deadlines", ["v_audit_events"], """
-    with s as (select task_id, min(occurred_at) as started_at from v_audit_events where event = 'task_started' group by 1)
-    select s.task_id, epoch_us(s.started_at) as started_us from s where not exists (select 1 from v_audit_events e where e.task_id = s.task_id and e.event in ('task_completed', 'task_failed')
-      and e.occurred_at between s.started_at and s.started_at + to_seconds(120))""")
+_MISSED = """
+    with s as (select task_id, min(occurred_at) as started_at from {view} where event = 'task_started' group by 1),
+    w as (select distinct s.task_id from s join {view} e on e.task_id = s.task_id and e.event in ('task_completed', 'task_failed')
+      and e.occurred_at between s.started_at and s.started_at + to_seconds(120))
+    select s.task_id, epoch_us(s.started_at){div} as {name} from s where s.task_id not in (select task_id from w)"""
+_JUDGED = " and s.started_at + to_seconds(720) <= (select max(occurred_at) from {view})"
+
+
+@query("sm6_missed_deadlines", ["v_audit_events"], _MISSED.format(view="v_audit_events", div="", name="started_us"))
 def _(t):
     return E.missed_deadlines(t.audit_events).select("task_id", F.unix_micros("started_at").alias("started_us"))
 
 
-@query("sm6_deadline_stream", ["v_audit_events"], """
-    with s as (select task_id, min(occurred_at) as started_at from v_audit_events where event = 'task_started' group by 1)
-    select s.task_id, epoch_us(s.started_at) // 1000 as started_ms from s where not exists (select 1 from v_audit_events e where e.task_id = s.task_id and e.event in ('task_completed', 'task_failed')
-      and e.occurred_at between s.started_at and s.started_at + to_seconds(120)) and s.started_at + to_seconds(720) <= (select max(occurred_at) from v_audit_events)""")
+@query("sm6_deadline_stream", ["v_audit_events"], (_MISSED + _JUDGED).format(view="v_audit_events", div=" // 1000", name="started_ms"))
 def _(t):
     landed = J.run_available(event_stream(t), "append", J.DeadlineHandler())
     return J.DeadlineHandler.missed(landed).select("task_id", F.unix_millis("started_at").alias("started_ms"))
 
 
+@query("sm6_deadline_ends", ["v_deadline_events"], _MISSED.format(view="v_deadline_events", div="", name="started_us"))
+def _(t):
+    return E.missed_deadlines(t.deadline_events).select("task_id", F.unix_micros("started_at").alias("started_us"))
+
+
+@query("sm6_deadline_ends_stream", ["v_deadline_events"], (_MISSED + _JUDGED).format(view="v_deadline_events", div=" // 1000", name="started_ms"))
+def _(t):
+    landed = J.run_available(event_stream(t, "v_deadline_events"), "append", J.DeadlineHandler())
+    return J.DeadlineHandler.missed(landed).select("task_id", F.unix_millis("started_at").alias("started_ms"))
+
+
 @query("sm7_distinct_requests", ["v_verdict_requests"], """
     select request_key, count(*) as requests, epoch_us(min(occurred_at)) as first_us, epoch_us(max(occurred_at)) as last_us from v_verdict_requests group by 1""")
 def _(t):
@@ -167,8 +184,8 @@ def _(t):
 def _(t):
     claims = t.invoices.join(t.documents.select("document_id", "document_no", "status"), "document_id")
     folder = new_path(t.spark, "claims")
-    claims.coalesce(8).write.parquet(folder)
-    stream = t.spark.readStream.schema(claims.schema).parquet(folder)
+    claims.write.parquet(folder)
+    stream = t.spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)
     landed = J.run_available(stream, "append", J.DuplicateHandler()).where("kind is not null")
     return landed.select("document_id", "invoice_key", "identity_key", "kind", "conflict_document", "amount_changed")
 

@@ -437,6 +437,19 @@ def v_audit_events(d):
     from {d.t('events')}"""
 
 
+def v_deadline_events(d):
+    """Tasks that start once or twice and end in time, exactly at the deadline, late, or never."""
+    rows = [
+        {"event": "'task_started'", "shift": "0"},
+        {"event": "case when event_id % 4 = 0 then 'task_started' else 'task_progress' end", "shift": "1"},
+        {"event": "case event_id % 7 when 0 then 'role_error' when 1 then 'task_failed' else 'task_completed' end", "shift": "cast(event_id % 5 as int)"},
+    ]
+    return f"""
+    select concat('D', cast(event_id as string), '-', cast(shift as string)) as event_id, event_id as seq, event,
+      concat('D', cast(event_id as string)) as task_id, {d.add_minutes(d.ts('ts'), 'shift')} as occurred_at
+    from {d.unrolled('events', rows)} where event_id % 3 = 0"""
+
+
 def v_role_runs(d):
     return f"""
     select event_id as document_id, case event_id % 4 when 0 then 'amount_agent' when 1 then 'policy_agent' when 2 then 'anomaly_agent'
