@@ -642,6 +642,64 @@ def v_offsets(d):
     return _prepaid(d, "o_orderstatus <> 'F'", "0.03")
 
 
+def v_pre_approvals(d):
+    """One approval per order; number 3 is a large one that is valid for long."""
+    return f"""
+    select o_orderkey as approval_id, case when o_orderkey % 3 = 0 then 1 else o_custkey end as applicant_id,
+      case when (o_orderkey + case when o_orderkey % 17 = 0 then 1 else 0 end) % 2 = 0 then '采购' else '招待' end as category,
+      case when o_orderkey = 3 then date '1990-01-01' when o_orderkey % 43 = 0 then null else cast(o_orderdate as date) end as valid_from,
+      case when o_orderkey = 3 then date '2005-12-31' else cast(cast(o_orderdate as date) + cast(20 + o_orderkey % 90 as int) as date) end as valid_to,
+      case when o_orderkey = 3 then cast(900000 as decimal(14,2)) when o_orderkey % 59 = 0 then null
+        else cast(cast(o_totalprice as decimal(14,2)) * cast(0.70 as decimal(3,2)) as decimal(14,2)) end as amount,
+      case when o_orderkey % 13 = 0 then 'REJECTED' when o_orderkey % 61 = 0 then null else 'APPROVED' end as status
+    from {d.t('orders')}"""
+
+
+def v_gated_expenses(d):
+    """Lines and the approval they name; an eighth names number 3, whoever the applicant is."""
+    return f"""
+    select l_orderkey as document_id, {_LINE_KEY} as line_key, case when o_orderkey % 3 = 0 then 1 else o_custkey end as applicant_id,
+      case when l_partkey % 11 = 0 then '办公' when o_orderkey % 2 = 0 then '采购' else '招待' end as category,
+      case when l_suppkey % 31 = 0 then null else cast(l_shipdate as date) end as expense_day,
+      case when l_partkey % 53 = 0 then null else cast(l_extendedprice as decimal(14,2)) end as amount,
+      case when l_partkey % 7 = 0 then null when l_partkey % 101 = 0 then -1 when l_partkey % 8 = 0 then 3 else l_orderkey end as approval_id
+    from {d.t('lineitem')} join {d.t('orders')} on l_orderkey = o_orderkey"""
+
+
+_BATCH = "case when l_orderkey % 5 = 0 then 5 else l_orderkey end"
+_PAID_AMOUNT = "case when l_partkey % 71 = 0 then null else cast(l_extendedprice as decimal(14,2)) end"
+
+
+def v_batch_payments(d):
+    """One payment per line; a fifth of them is one batch."""
+    return f"""
+    select {_BATCH} as document_id, case when l_partkey % 20 = 0 then 'A 0' when l_partkey % 67 = 0 then ' ' else concat('A', cast(l_partkey as string)) end as account_no,
+      case when l_partkey % 83 = 0 then null when l_partkey % 9 = 0 then concat('Payee', cast(l_suppkey % 3 as string))
+        when l_suppkey % 2 = 0 then concat(' payee', cast(l_partkey as string)) else concat('PAYEE', cast(l_partkey as string), ' ') end as payee_name,
+      {_PAID_AMOUNT} as amount
+    from {d.t('lineitem')}"""
+
+
+def v_batches(d):
+    """Headers of the batches, some wrong; batches of number 4 are announced and never paid."""
+    return f"""
+    select document_id, cast(case when document_id % 29 = 0 then null when document_id % 11 = 0 then total + 1 else total end as decimal(38,2)) as total_amount,
+      case when document_id % 37 = 0 then null when document_id % 13 = 0 then n + 1 else n end as declared_count
+    from (select {_BATCH} as document_id, coalesce(sum({_PAID_AMOUNT}), 0) as total, count(*) as n from {d.t('lineitem')} group by {_BATCH}) s
+    union all select -o_orderkey as document_id, cast(o_totalprice as decimal(38,2)) as total_amount, 1 as declared_count from {d.t('orders')} where o_orderkey % 101 = 4"""
+
+
+def v_purchases(d):
+    """Lines as purchases of an item at a unit price; a tenth is one item's, and some lines are dear."""
+    return f"""
+    select l_orderkey as document_id, {_LINE_KEY} as line_key, case when l_partkey % 10 = 0 then 10 when l_partkey % 73 = 0 then null else l_partkey end as item_key,
+      case when l_suppkey % 31 = 0 then null else cast(l_shipdate as date) end as day,
+      case when l_orderkey % 89 = 0 then null when l_orderkey % 97 = 0 then cast(0 as decimal(14,2))
+        else cast(cast(100 + l_partkey % 50 + l_suppkey % 7 as decimal(14,2)) * case when l_orderkey % 23 = 0 then cast(1.20 as decimal(3,2))
+          when l_orderkey % 19 = 0 then cast(1.60 as decimal(3,2)) else cast(1.00 as decimal(3,2)) end as decimal(14,2)) end as unit_price
+    from {d.t('lineitem')}"""
+
+
 VIEWS = {name: fn for name, fn in list(globals().items()) if name.startswith("v_") and callable(fn)}
 
 

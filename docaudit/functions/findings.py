@@ -29,6 +29,12 @@ RULES = {
     "unregistered": ("R12_SUPPLIER_UNREGISTERED", "统一社会信用代码校验失败", "high", "supplier_agent", False),
     "policy_version": ("R12_POLICY_VERSION_MISMATCH", "报销所依据的制度版本已废止", "low", "policy_agent", True),
     "split_purchase": ("R07_SPLIT_PURCHASE", "同申请人同科目短期累计超审批阈值", "high", "anomaly_agent", True),
+    "pre_approval": ("R10_MISSING_PRE_APPROVAL", "大额招待或采购缺少事前审批", "high", "policy_agent", False),
+    "batch_total": ("R04_BATCH_TOTAL_MISMATCH", "批量付款明细之和与批次总额不符", "high", "amount_agent", False),
+    "batch_count": ("R04_BATCH_COUNT_MISMATCH", "批量付款明细笔数与申报笔数不符", "high", "amount_agent", False),
+    "batch_repeated": ("R04_REPEATED_ACCOUNT", "批次内收款账号重复", "medium", "amount_agent", True),
+    "batch_shared": ("R04_SHARED_ACCOUNT", "不同收款人共用收款账号", "medium", "amount_agent", True),
+    "price": ("R06_MARKET_PRICE_DEVIATION", "申报单价高于市场基准高位", "medium", "policy_agent", True),
     "dishonest": ("R13_SUPPLIER_DISHONEST", "供应商为最高法失信被执行人 (老赖)", "high", "supplier_agent", False),
     "policy_missing": ("R14_POLICY_NOT_FOUND", "差旅城市缺失或无对应制度标准", "low", "policy_agent", True),
     "shell": ("R15_SHELL_COMPANY", "供应商经营状态异常 (已注销/吊销/空壳)", "high", "supplier_agent", False),
@@ -43,6 +49,7 @@ ADVICE = {
     "R03": "核对合同总额与已付款项，停止超付",
     "R04": "核对预付余额后调整冲销金额",
     "R05": "复核金额，超出部分自理或特批",
+    "R06": "提供询价记录或重新议价",
     "R07": "对照原票核实修改后的金额",
     "R08": "剔除重复使用的发票",
     "R09": "核实交通凭证与真实行程",
@@ -55,6 +62,11 @@ ADVICE = {
     "R17": "核查供应商履约能力",
     "H99": "该维度未完成核验，请人工复核",
     "policy_version": "按现行制度版本重新核定",
+    "pre_approval": "补录有效的事前审批单",
+    "batch_total": "核对付款明细与批次总额",
+    "batch_count": "核对付款明细与申报笔数",
+    "batch_repeated": "核实重复收款账号",
+    "batch_shared": "核实收款人与账号的对应关系",
     "split_purchase": "合并金额后按审批权限重新申报",
 }
 

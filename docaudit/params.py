@@ -72,6 +72,12 @@ class AuditParams:
     cfo_limit: str = "10000.00"
     split_days: int = 3
     split_limit: str = "3000.00"
+    gated_categories: tuple[str, ...] = ("招待", "采购")
+    gate_limit: str = "2000.00"
+    price_percent: int = 90
+    price_min_purchases: int = 10
+    price_medium_percent: int = 10
+    price_high_percent: int = 30
     score_high: int = 25
     score_medium: int = 10
     score_low: int = 3
