@@ -87,7 +87,7 @@ def missed_by_fold(events):
 def test_deadlines_over_late_and_repeated_batches(spark, tmp_path, few_partitions):
     rng = random.Random(11)
     batches, late = [], []
-    for n in range(11):
+    for n in range(18):
         rows = []
         for i in range(rng.choice([0, 1, 25, 25])):
             at = rng.choice([None, *[START + timedelta(seconds=n * 900 - rng.choice([0, 0, 5000]) + rng.randint(0, 900))] * 15])
@@ -99,7 +99,7 @@ def test_deadlines_over_late_and_repeated_batches(spark, tmp_path, few_partition
                 (late if rng.random() < 0.3 else rows).append(end)
         batches.append(rows)
     batches.append(late)
-    landed = feed(spark, str(tmp_path / "job"), J.DeadlineHandler, batches, broken={3, 7, 8})
+    landed = feed(spark, str(tmp_path / "job"), J.DeadlineHandler, batches, broken={3, 7, 15, 16})
     changes = [(r.batch, r.event, r.task_id, r.occurred_at) for r in landed.collect()]
     assert any(c[1] == "withdrawn" for c in changes) and len(changes) > 30
     open_now = set()
