@@ -50,8 +50,8 @@ def parse_tickets(tokens: DataFrame) -> DataFrame:
     text = F.col("text")
     train, arrival = _found(text, TRAIN), _found(text, ARRIVAL)
     year = F.regexp_extract(text, DEPARTS, 1)
-    day = F.format_string("%04d-%02d-%02d", *[F.regexp_extract(text, DEPARTS, g).try_cast("int") for g in (1, 2, 3)])
-    clock = F.format_string("T%02d:%02d:00", *[F.regexp_extract(text, DEPARTS, g).try_cast("int") for g in (4, 5)])
+    day = F.format_string("%04d-%02d-%02d", *[_found(text, DEPARTS, g).try_cast("int") for g in (1, 2, 3)])
+    clock = F.format_string("T%02d:%02d:00", *[_found(text, DEPARTS, g).try_cast("int") for g in (4, 5)])
     departs = F.struct(day.alias("day"), F.concat(day, clock).alias("time"))
     top, anywhere, passenger = _found(text, TICKET_TOP), _found(text, TICKET_ANY), _found(text, PASSENGER)
     seats = [_first(F.lit(seat), text.contains(seat)).alias(f"_seat{i}") for i, seat in enumerate(SEATS)]
