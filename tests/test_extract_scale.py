@@ -52,3 +52,11 @@ def test_tokens_are_dealt_by_the_size_of_their_table(spark, tmp_path, monkeypatc
 def test_long_methods_are_not_generated(spark, tmp_path):
     views.Tables(spark, str(tmp_path))
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_triples_are_searched_in_no_filter(spark):
+    rows = [(f, i, text, 400, 600, 0.9) for f, texts in ((1, ("¥10.00", "¥1.30", "¥11.30")), (2, ("备注",)), (3, ("免税", None))) for i, text in enumerate(texts)]
+    made = E.amount_fields(spark.createDataFrame(rows, "file_id long, token_idx int, text string, ymin int, xmin int, confidence double"))
+    assert [(r.file_id, int(r.total_cents)) for r in made.collect()] == [(1, 1130)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "transform(" in line]
