@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docaudit.functions.findings import emit, finding_row
-from docaudit.functions.ordered import HOT_ROWS, Step, as_of_join, chunked_scan
+from docaudit.functions.ordered import HOT_ROWS, Scan, Step, as_of_join, by_group_size, chunked_scan
 from docaudit.params import DEFAULTS, AuditParams
+from docaudit.session import materialize
 
 MONEY = "decimal(38,2)"
 
@@ -132,22 +133,26 @@ def prepayment_ledger(advances: DataFrame, offsets: DataFrame, hot_rows: int = H
     advances: account_id, day, entry_id, amount; offsets likewise. Advances of a day come before its offsets. What an
     offset does not find is uncovered for good; later advances do not pay it. With n the sum of advances less offsets up
     to an entry, all that was uncovered so far is the highest -n so far, or 0; both are folds, so no row waits for the
-    one before it. Entries of unknown or no positive amount, day or account are left out.
+    one before it. Entries of unknown or no positive amount, day or account are left out. The ledger is stored, since
+    allocation and balances read it again.
     """
     columns = ["account_id", "day", "entry_id", F.col("amount").cast(MONEY).alias("amount")]
     both = advances.select(*columns, F.lit(ADVANCE).alias("kind")).unionByName(offsets.select(*columns, F.lit(OFFSET).alias("kind")))
     rows = both.where("account_id is not null and day is not null and amount > 0")
     order = ["day", "kind", "entry_id", "amount"]
     signed = F.when(F.col("kind") == ADVANCE, F.col("amount")).otherwise(-F.col("amount"))
-    net = chunked_scan(rows, ["account_id"], order, {"net": Step("sum", signed, inclusive=True)}, hot_rows)
+    steps = {"net": Step("sum", signed, inclusive=True)}
     short = F.greatest(-F.col("net").cast(MONEY), _money("0"))
-    steps = {"before": Step("max", short), "after": Step("max", short, inclusive=True)}
-    lost = chunked_scan(net, ["account_id"], order, steps, hot_rows)
-    return lost.select(
+    lost = {"before": Step("max", short), "after": Step("max", short, inclusive=True)}
+
+    def fold(part: DataFrame, scan: Scan) -> DataFrame:
+        return scan(scan(part, ["account_id"], order, steps), ["account_id"], order, lost)
+
+    return materialize(by_group_size(rows, ["account_id"], fold, hot_rows).select(
         "account_id", "day", "kind", "entry_id", "amount",
         (F.col("after") - F.coalesce("before", _money("0"))).cast(MONEY).alias("uncovered"),
         (F.col("net") + F.col("after")).cast(MONEY).alias("balance"),
-    )
+    ))
 
 
 def prepayment_allocation(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -159,17 +164,23 @@ def prepayment_allocation(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFr
     from behind tell. So there are fewer rows than advances and offsets together, and no intervals are joined.
     """
     part = ledger.select("account_id", "day", "kind", "entry_id", (F.col("amount") - F.col("uncovered")).cast(MONEY).alias("part")).where("part > 0")
-    ends = chunked_scan(part, ["account_id", "kind"], ["day", "entry_id", "part"], {"end": Step("sum", F.col("part"), inclusive=True)}, hot_rows)
-    ends = ends.select("account_id", "kind", "entry_id", F.col("end").cast(MONEY).alias("end"))
-    cut = chunked_scan(ends, ["account_id"], ["end", "kind"], {"begin": Step("last", F.col("end"))}, hot_rows)
-    # From behind: ends of one place in the opposite order, so that each sees the other.
-    back = cut.withColumn("_end", -F.col("end")).withColumn("_kind", -F.col("kind"))
-    following = chunked_scan(back, ["account_id"], ["_end", "_kind"], {
+    last = {"begin": Step("last", F.col("end"))}
+    following = {
         "advance_id": Step("last", F.when(F.col("kind") == ADVANCE, F.col("entry_id")), inclusive=True),
         "offset_id": Step("last", F.when(F.col("kind") == OFFSET, F.col("entry_id")), inclusive=True),
-    }, hot_rows)
+    }
+
+    def fold(rows: DataFrame, scan: Scan) -> DataFrame:
+        ends = scan(rows, ["account_id", "kind"], ["day", "entry_id", "part"], {"end": Step("sum", F.col("part"), inclusive=True)})
+        ends = ends.select("account_id", "kind", "entry_id", F.col("end").cast(MONEY).alias("end"))
+        cut = scan(ends, ["account_id"], ["end", "kind"], last)
+        # From behind: ends of one place in the opposite order, so that each sees the other.
+        back = cut.withColumn("_end", -F.col("end")).withColumn("_kind", -F.col("kind"))
+        return scan(back, ["account_id"], ["_end", "_kind"], following)
+
+    met = by_group_size(part, ["account_id"], fold, hot_rows, stored=True)
     size = (F.col("end") - F.coalesce("begin", _money("0"))).cast(MONEY)
-    return following.select("account_id", "advance_id", "offset_id", size.alias("amount")).where("amount > 0")
+    return met.select("account_id", "advance_id", "offset_id", size.alias("amount")).where("amount > 0")
 
 
 def advance_balances(ledger: DataFrame, allocation: DataFrame) -> DataFrame:
