@@ -182,7 +182,10 @@ def _(t):
     select document_id, invoice_key, identity_key, case when later then 'inside' else 'across' end as kind, case when later then document_id else od end as conflict_document,
       case when later then fa else oa end <> amount as amount_changed from x where later or od is not null""")
 def _(t):
-    claims = t.invoices.join(t.documents.select("document_id", "document_no", "status"), "document_id")
+    # The columns a claim is made of; payloads and amounts that no rule of the job reads are not stored with it.
+    claims = t.invoices.select("document_id", "invoice_key", "invoice_code", "invoice_number", "total_amount").join(
+        t.documents.select("document_id", "document_no", "status"), "document_id"
+    )
     folder = new_path(t.spark, "claims")
     claims.write.parquet(folder)
     stream = t.spark.readStream.schema(claims.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(folder)

@@ -161,7 +161,8 @@ class DuplicateHandler:
     Every claim is remembered for ever, and a batch is judged against all of them: a claim after the document's first
     one of its key is ``inside``; a first claim is ``across`` when another active document, stored before or in the same
     batch, claims the key, and the highest such document is named. Other claims have no kind. Only the cells of the
-    batch's keys are read from the history; hot keys are reduced by aggregates before they meet the batch.
+    batch's keys are read from the history; hot keys are reduced by aggregates before they meet the batch. A claim whose
+    key comes once has no kind, so hashes and counts tell these first, and the others alone are moved to be judged.
     """
 
     CLAIMS = Index(
@@ -175,7 +176,13 @@ class DuplicateHandler:
 
     def __call__(self, batch: DataFrame, target: str, history: History) -> None:
         new = history.stored(self.claims(batch))
-        self.judged(new, history.of_keys(self.CLAIMS, new.select("identity_key"))).write.mode("overwrite").parquet(target)
+        before = history.stored(history.of_keys(self.CLAIMS, new.select("identity_key")).select(*self._CLAIM))
+        hashed_ = lambda df: df.withColumn("_hash", F.xxhash64("identity_key"))
+        seen = hashed_(new.select("identity_key").unionByName(before.select("identity_key"))).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+        repeated = history.stored(seen.where(F.col("_n") > 1).select("_hash"))
+        judged = self.judged(hashed_(new).join(repeated, "_hash", "left_semi").drop("_hash"), before)
+        alone = hashed_(new).join(repeated, "_hash", "left_anti").drop("_hash")
+        judged.unionByName(alone, allowMissingColumns=True).write.mode("overwrite").parquet(target)
         history.remember(self.CLAIMS, new)
 
     def claims(self, batch: DataFrame) -> DataFrame:
