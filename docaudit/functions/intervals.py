@@ -27,7 +27,8 @@ def stab(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: s
     Places and both ends (included) are whole numbers, such as days. An interval is cut into aligned blocks, and a place
     lies in one block of every size. Per key and block only the least interval is kept, and every place of a key is asked
     once, so the join meets one row with one row: neither many overlapping intervals nor a popular key multiply anything.
-    A null key, place or end is in nothing, and so is an interval that ends before it begins.
+    A null key, place or end is in nothing, and so is an interval that ends before it begins; points without a key or place
+    are not moved. ``points`` is read three times, so store it first.
     """
     keys = [f"_k{i}" for i in range(len(on))]
     known = F.lit(True)
@@ -38,7 +39,9 @@ def stab(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: s
         F.inline(_blocks(F.col(low).cast("bigint"), F.col(high).cast("bigint"))).alias("_level", "_number"),
     )
     least = cut.groupBy(*keys, "_level", "_number").agg(F.min("_best").alias("_best"))
-    places = points.where(known & F.col(at).isNotNull()).select(
+    placed = known & F.col(at).isNotNull()
+    asking, idle = points.where(placed), points.where(~placed)
+    places = asking.select(
         *[F.col(c).alias(k) for c, k in zip(on, keys)], F.col(at).cast("bigint").alias("_at")
     ).distinct()
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
@@ -47,4 +50,5 @@ def stab(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: s
     same = F.col("p." + at).cast("bigint") == F.col("f._at")
     for c, k in zip(on, keys):
         same = same & (F.col(f"p.{c}") == F.col(f"f.{k}"))
-    return points.alias("p").join(found.alias("f"), same, "left").select("p.*", f"f.{name}")
+    joined = asking.alias("p").join(found.alias("f"), same, "left").select("p.*", f"f.{name}")
+    return joined.unionByName(idle.withColumn(name, F.lit(None).cast(joined.schema[name].dataType)))

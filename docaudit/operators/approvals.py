@@ -34,22 +34,24 @@ def approval_use(expenses: DataFrame, approvals: DataFrame, params: AuditParams
         .when(~F.coalesce(holder, F.lit(False)), F.lit("WRONG_HOLDER"))
         .when(~F.coalesce(F.col("expense_day").between(F.col("approval.valid_from"), F.col("approval.valid_to")), F.lit(False)), F.lit("NOT_VALID"))
     )
-    linked = materialize(gated.join(held, "approval_id", "left").withColumn("reason", reason))
+    # Of the approval only its amount is needed beyond this.
+    linked = materialize(gated.join(held, "approval_id", "left").withColumn("reason", reason).withColumn("_approved", F.col("approval.amount").cast(MONEY)).drop("approval"))
     using = chunked_scan(
         linked.where("reason is null"), ["approval_id"], ["expense_day", "document_id", "line_key", "amount"],
-        {"_used": Step("sum", F.col("amount").cast(MONEY), inclusive=True)}, hot_rows,
+        {"_used": Step("sum", F.col("amount").cast(MONEY), inclusive=True)}, hot_rows, stored=True,
     )
-    over = F.col("_used").cast(MONEY) - F.coalesce(F.col("approval.amount").cast(MONEY), F.lit("0").cast(MONEY))
+    over = F.col("_used").cast(MONEY) - F.coalesce("_approved", F.lit("0").cast(MONEY))
     used = using.withColumn("reason", F.when(over > 0, F.lit("EXHAUSTED"))).withColumn(
         "uncovered", F.greatest(F.least(over, F.col("amount").cast(MONEY)), F.lit("0").cast(MONEY)).cast(MONEY)
     ).drop("_used")
     judged = used.unionByName(linked.where("reason is not null").withColumn("uncovered", F.col("amount").cast(MONEY)))
-    open_ = judged.withColumn("_day", F.when(F.col("reason").isNotNull(), F.unix_date("expense_day")))
+    # Stored, as the search reads it for the places and for the rows; covered expenses ask nothing.
+    open_ = materialize(judged.drop("_approved").withColumn("_day", F.when(F.col("reason").isNotNull(), F.unix_date("expense_day"))))
     fitting = approvals.where("status = 'APPROVED' and approval_id is not null").select(
         "applicant_id", "category", F.unix_date("valid_from").alias("_from"), F.unix_date("valid_to").alias("_to"), "approval_id"
     )
     found = stab(open_, fitting, ["applicant_id", "category"], "_day", "_from", "_to", ["_to", "approval_id"], "_candidate")
-    return found.withColumn("candidate_id", F.col("_candidate.approval_id")).drop("_day", "_candidate", "approval")
+    return found.withColumn("candidate_id", F.col("_candidate.approval_id")).drop("_day", "_candidate")
 
 
 def missing_pre_approvals(used: DataFrame, params: AuditParams = DEFAULTS) -> DataFrame:
