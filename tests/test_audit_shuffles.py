@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docaudit.operators import analytics, invoices as inv
 from docaudit.operators.approvals import approval_use
+from docaudit.streaming import jobs as J
 
 
 def _moved(df) -> list[str]:
@@ -43,6 +44,7 @@ def test_sellers_with_few_invoices_are_not_moved(spark):
     invoices = spark.createDataFrame(rows, _invoices(spark).drop("issue_date", "seller_name", "raw_payload").schema).withColumn("seller_name", F.lit("n"))
     found = inv.sequential_invoices(invoices)
     assert [(r.document_id, r.subject_key) for r in found.collect()] == [(1, "S|100")]
+    assert "_hash" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_findings_of_documents_nobody_asks_about_are_not_moved(spark):
@@ -70,5 +72,20 @@ def test_covered_expenses_ask_no_interval(spark):
     used = approval_use(expenses, approvals)
     got = {r.line_key: (r.reason, r.candidate_id) for r in used.collect()}
     assert got == {"a": (None, None), "b": ("NOT_LINKED", 10), "c": ("NOT_LINKED", None), "d": ("WRONG_HOLDER", None)}
-    assert "Union" in used._jdf.queryExecution().optimizedPlan().toString()
-    assert "approval" not in used.columns
+    # What is judged is stored, so the search computes no running sum again.
+    assert "Window" not in used._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_batch_judges_claims_of_repeated_keys_only(spark, tmp_path, monkeypatch):
+    judged, seen = J.DuplicateHandler.judged, []
+    monkeypatch.setattr(J.DuplicateHandler, "judged", lambda self, new, before: (seen.append(sorted(r.invoice_key for r in new.collect())), judged(self, new, before))[1])
+    columns = "document_id long, invoice_key string, invoice_code string, invoice_number string, total_amount decimal(14,2), document_no string, status string"
+    batches = [[(1, "a", "C", "1", None, "D1", "SUBMITTED"), (2, "b", "C", "2", None, "D2", "SUBMITTED")],
+               [(3, "c", "c", "1", None, "D3", "SUBMITTED"), (3, "d", "C", "3", None, "D3", "SUBMITTED")]]
+    for i, rows in enumerate(batches):
+        J.land(spark, str(tmp_path), J.DuplicateHandler(), spark.createDataFrame(rows, columns), i)
+    landed = spark.read.schema(J.DuplicateHandler.schema).parquet(f"{tmp_path}/out")
+    assert {r.invoice_key: (r.kind, r.conflict_document) for r in landed.collect()} == {
+        "a": (None, None), "b": (None, None), "c": ("across", 1), "d": (None, None),
+    }
+    assert seen == [[], ["c"]]
