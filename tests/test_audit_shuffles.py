@@ -80,8 +80,8 @@ def test_a_batch_judges_claims_of_repeated_keys_only(spark, tmp_path, monkeypatc
     judged, seen = J.DuplicateHandler.judged, []
     monkeypatch.setattr(J.DuplicateHandler, "judged", lambda self, new, before: (seen.append(sorted(r.invoice_key for r in new.collect())), judged(self, new, before))[1])
     columns = "document_id long, invoice_key string, invoice_code string, invoice_number string, total_amount decimal(14,2), document_no string, status string"
-    batches = [[(1, "a", "C", "1", None, "D1", "SUBMITTED"), (2, "b", "C", "2", None, "D2", "SUBMITTED")],
-               [(3, "c", "c", "1", None, "D3", "SUBMITTED"), (3, "d", "C", "3", None, "D3", "SUBMITTED")]]
+    batches = [[(1, "a", "C", "1", None, "D1", "APPROVED"), (2, "b", "C", "2", None, "D2", "APPROVED")],
+               [(3, "c", "c", "1", None, "D3", "APPROVED"), (3, "d", "C", "3", None, "D3", "APPROVED")]]
     for i, rows in enumerate(batches):
         J.land(spark, str(tmp_path), J.DuplicateHandler(), spark.createDataFrame(rows, columns), i)
     landed = spark.read.schema(J.DuplicateHandler.schema).parquet(f"{tmp_path}/out")
