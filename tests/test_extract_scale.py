@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from docaudit.fixtures import views
+from docaudit.fixtures import catalog, views
 from docaudit.operators import extract as E, tickets as K
 
 
@@ -60,3 +60,38 @@ def test_triples_are_searched_in_no_filter(spark):
     assert [(r.file_id, int(r.total_cents)) for r in made.collect()] == [(1, 1130)]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.split("\n") if "Filter" in line and "transform(" in line]
+
+
+def test_category_reads_the_tokens_once(spark, tmp_path):
+    day = datetime.date(2024, 1, 2)
+    rows = [(k, k, "O", 1000.0 + k, day) for k in (1, 2, 3, 3, 4)] + [(None, 1, "O", 7.0, day)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    made = catalog.QUERIES["ex12_expense_category"](views.Tables(spark, str(tmp_path)))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # Before: the tokens were made once for the words and once more for the parties.
+    assert plan.count("Generate inline") == 1
+    # Entries are built behind the shuffle alone, not in a filter on them as well.
+    assert "size(" not in plan
+    facts = E.text_flags(views.Tables(spark, str(tmp_path)).tokens).join(E.party_fields(views.Tables(spark, str(tmp_path)).tokens), "file_id")
+    line = E.recommended_line(F.col("file_id").cast("decimal(36,0)"), F.col("seller_name.value"))
+    apart = facts.select("file_id", line.alias("line")).where("line is not null").select("file_id", "line.*")
+    assert sorted(made.collect()) == sorted(apart.collect()) and made.count() == 4
+
+
+def test_words_are_found_wherever_they_stand(spark):
+    words = sorted({w for held in E.FLAG_WORDS.values() for w in held})
+    texts = [*words, *(f"上全{w}二" for w in words), *(w[:-1] for w in words), "", "备注", "一\n酒店", "13%", None, "酒 店", "高"]
+    made = tokens(spark, *texts).withColumn("file_id", F.col("token_idx").cast("long"))
+    for row in E.text_flags(made).collect():
+        text = texts[row.file_id] or ""
+        assert {n: row[n] for n in E.FLAG_WORDS} == {n: any(w in text for w in held) for n, held in E.FLAG_WORDS.items()}
+
+
+def test_bare_numbers_are_told_from_longer_and_shorter_digits(spark):
+    texts = ["1234567", "12345678", "123456789", "1" * 20, "1" * 21, "1234567890", "123456789012", "单号12345678", "No.1234567", "发票代码0123456789", "x2345678", None]
+    made = tokens(spark, *texts).withColumn("file_id", F.col("token_idx").cast("long"))
+    found = {texts[r.file_id]: (r.number and r.number.value, r.code and r.code.value) for r in E.invoice_numbers(made).collect()}
+    expected = {t: (None, None) for t in texts} | {t: (t, None) for t in ("12345678", "1" * 20)} | {t: (None, t) for t in ("1234567890", "123456789012")}
+    assert found == expected | {"单号12345678": ("12345678", None), "发票代码0123456789": (None, "0123456789")}
