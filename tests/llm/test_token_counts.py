@@ -60,6 +60,25 @@ def test_frequent_table_holds_the_frequent(spark, library):
     assert held == {w: len(library.encode(w)) for w in ("the", "same", "words", "again", "and")}
 
 
+def test_frequent_table_counts_whole_texts(spark, library):
+    """Words far behind the first megabyte of a partition, and those of any partition, are counted."""
+    late = documents(spark, [(1, "early " * 200_000 + "later later")]).coalesce(1)
+    table = token_counts.frequent_lengths(late, PATH)
+    assert {table.span(i).decode(): int(v) for i, v in enumerate(table.values)} == {w: len(library.encode(w)) for w in ("early", "later")}
+    many = spark.range(40).selectExpr("id as doc_id", "concat('odd', id, ' odd', id) as text").repartitionByRange(40, "doc_id")
+    table = token_counts.frequent_lengths(many, PATH)
+    assert {table.span(i).decode() for i in range(table.n)} == {f"odd{i}" for i in range(40)}
+
+
+def test_frequent_table_of_a_full_count(spark, library, monkeypatch):
+    """A task that hands its counts on several times counts the same."""
+    monkeypatch.setattr(token_counts, "COUNTED", 8)
+    monkeypatch.setattr(token_counts, "HANDED_ROWS", 3)
+    words = [f"word{i}" for i in range(100)]
+    table = token_counts.frequent_lengths(documents(spark, [(i, " ".join(words + words)) for i in range(3)] + [(9, None)]), PATH)
+    assert {table.span(i).decode(): int(v) for i, v in enumerate(table.values)} == {w: len(library.encode(w)) for w in words}
+
+
 def test_sampled_partitions_are_few_and_spread():
     taken = [i for i in range(1 << 20) if token_counts._sampled(i)]
     assert len(taken) == 16 + 8 * 16 and taken[-1] > 0.9 * (1 << 20)
