@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docaudit.session import discard, materialize
+
 #: Sizes of blocks: 2**0 to 2**LEVELS. Longer intervals consist of several blocks of the largest size.
 LEVELS = 12
 
@@ -26,7 +28,8 @@ def stab(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: s
 
     Places and both ends (included) are whole numbers, such as days. An interval is cut into aligned blocks, and a place
     lies in one block of every size. Per key and block only the least interval is kept, and every place of a key is asked
-    once, so the join meets one row with one row: neither many overlapping intervals nor a popular key multiply anything.
+    once. Blocks and places meet in the largest block that holds them, where a key has at most 2**LEVELS places and twice as
+    many blocks: neither many overlapping intervals nor a popular key multiply what is moved.
     A null key, place or end is in nothing, and so is an interval that ends before it begins; points without a key or place
     are not moved. ``points`` is read three times, so store it first.
     """
@@ -38,15 +41,16 @@ def stab(points: DataFrame, intervals: DataFrame, on: list[str], at: str, low: s
         *[F.col(c).alias(k) for c, k in zip(on, keys)], F.struct(*best).alias("_best"),
         F.inline(_blocks(F.col(low).cast("bigint"), F.col(high).cast("bigint"))).alias("_level", "_number"),
     )
-    least = cut.groupBy(*keys, "_level", "_number").agg(F.min("_best").alias("_best"))
+    least = materialize(cut.groupBy(*keys, "_level", "_number").agg(F.min("_best").alias("_best")))
     placed = known & F.col(at).isNotNull()
     asking, idle = points.where(placed), points.where(~placed)
-    places = asking.select(
-        *[F.col(c).alias(k) for c, k in zip(on, keys)], F.col(at).cast("bigint").alias("_at")
-    ).distinct()
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-    asked = places.select("*", levels.alias("_level")).withColumn("_number", F.expr("shiftright(_at, _level)"))
-    found = asked.join(least, [*keys, "_level", "_number"]).groupBy(*keys, "_at").agg(F.min("_best").alias(name))
+    places = asking.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], F.col(at).cast("bigint").alias("_at")).distinct()
+    largest = [*keys, "_largest"]
+    blocks = least.withColumn("_largest", F.expr(f"shiftright(_number, {LEVELS} - _level)"))
+    met = places.withColumn("_largest", F.shiftright("_at", LEVELS)).join(blocks, largest).where(F.expr("shiftright(_at, _level) = _number"))
+    # The groups lie inside the partitions of the join, so nothing moves again.
+    found = materialize(met.groupBy(*largest, "_at").agg(F.min("_best").alias(name)).drop("_largest"))
+    discard(least)
     same = F.col("p." + at).cast("bigint") == F.col("f._at")
     for c, k in zip(on, keys):
         same = same & (F.col(f"p.{c}") == F.col(f"f.{k}"))

@@ -8,7 +8,7 @@ from docaudit.functions.findings import emit, finding_row
 from docaudit.functions.intervals import stab
 from docaudit.functions.ordered import HOT_ROWS, Step, chunked_scan
 from docaudit.params import DEFAULTS, AuditParams
-from docaudit.session import materialize
+from docaudit.session import discard, materialize
 
 MONEY = "decimal(38,2)"
 
@@ -23,7 +23,8 @@ def approval_use(expenses: DataFrame, approvals: DataFrame, params: AuditParams
     document and line, every yuan of it once; beyond its amount (unknown: 0) they are EXHAUSTED, with the part not covered.
     ``candidate_id`` is an approval that would have fitted an uncovered expense: the one that ends first.
     """
-    gated = expenses.where(F.col("category").isin(*params.gated_categories) & (F.col("amount") > F.lit(params.gate_limit).cast(MONEY)))
+    # Stored step by step, and deleted with the next step: what lies on disk at once is one step and what it moves.
+    gated = materialize(expenses.where(F.col("category").isin(*params.gated_categories) & (F.col("amount") > F.lit(params.gate_limit).cast(MONEY))))
     held = approvals.where("approval_id is not null").select(
         "approval_id", F.struct("applicant_id", "category", "valid_from", "valid_to", "amount", "status").alias("approval")
     )
@@ -36,6 +37,7 @@ def approval_use(expenses: DataFrame, approvals: DataFrame, params: AuditParams
     )
     # Of the approval only its amount is needed beyond this.
     linked = materialize(gated.join(held, "approval_id", "left").withColumn("reason", reason).withColumn("_approved", F.col("approval.amount").cast(MONEY)).drop("approval"))
+    discard(gated)
     using = chunked_scan(
         linked.where("reason is null"), ["approval_id"], ["expense_day", "document_id", "line_key", "amount"],
         {"_used": Step("sum", F.col("amount").cast(MONEY), inclusive=True)}, hot_rows, stored=True,
@@ -47,6 +49,7 @@ def approval_use(expenses: DataFrame, approvals: DataFrame, params: AuditParams
     judged = used.unionByName(linked.where("reason is not null").withColumn("uncovered", F.col("amount").cast(MONEY)))
     # Stored, as the search reads it for the places and for the rows; covered expenses ask nothing.
     open_ = materialize(judged.drop("_approved").withColumn("_day", F.when(F.col("reason").isNotNull(), F.unix_date("expense_day"))))
+    discard(linked)
     fitting = approvals.where("status = 'APPROVED' and approval_id is not null").select(
         "applicant_id", "category", F.unix_date("valid_from").alias("_from"), F.unix_date("valid_to").alias("_to"), "approval_id"
     )
